@@ -37,6 +37,11 @@ START, DEEPEST = 2, 5
 BUCKET = 100
 #: Estimated similarity from which sets of a bucket go to one class: four deviations under the threshold.
 LOOSE = 0.6
+#: A large bucket is first compared with its centre, the commonest token of each slot over about
+#: ``CENTRE`` of its sets. Sets that agree with it in ``LOOSE`` of the slots go to one class. Those that
+#: agree in ``TIGHT`` are not split further: distances obey the triangle inequality, so whatever is
+#: within 0.2 of them is in the centre's class too.
+CENTRE, TIGHT = 50, 0.82
 BLOCK = 200
 #: Ids up to this number (8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -160,6 +165,30 @@ def bucket_links(buckets: DataFrame, loose: float = LOOSE) -> DataFrame:
     return held.mapInArrow(run, "src long, dst long")
 
 
+def centred(big: DataFrame, sets: DataFrame) -> DataFrame:
+    """(path, rep, agree): the share of slots in which each set of a large bucket agrees with its centre; big: path, rep, n."""
+
+    def modes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, out, a = batch.column(1), [], 0
+            sig = _matrix(lists.flatten())
+            for n in lists.value_lengths().to_pylist():
+                s = np.sort(sig[a : a + n], axis=0)
+                a += n
+                count = (s[:, None, :] == s[None, :, :]).sum(axis=1)
+                out.append(s[count.argmax(axis=0), np.arange(SLOTS)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "centre"])
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_matrix(batch.column(2)) == _matrix(batch.column(3))).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], names=["path", "rep", "agree"])
+
+    chosen = big.where(F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / CENTRE)) == 0).join(sets, "rep")
+    centres = chosen.groupBy("path").agg(F.collect_list("signature").alias("signatures")).mapInArrow(modes, "path long, centre binary")
+    return big.join(sets, "rep").join(centres, "path").select("path", "rep", "signature", "centre").mapInArrow(agree, "path long, rep long, agree double")
+
+
 def loose_links(sets: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:
     """(src, dst) whose components hold every pair at the threshold with chance ``recall``; sets: rep, signature."""
     chance = THRESHOLD[1] / THRESHOLD[0] / SLOTS
@@ -172,11 +201,13 @@ def loose_links(sets: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -
         big = shared.where(F.col("n") > bucket)
         if big.isEmpty():
             break
-        if depth == DEEPEST:  # these share as many tokens as the depth: one class, whose pairs are compared below
-            least = big.groupBy("path").agg(F.min("rep").alias("dst"))
-            found = found.union(big.join(least, "path").where("rep <> dst").select(F.col("rep").alias("src"), "dst"))
-        else:
-            paths = next_paths(big.join(sets, "rep"), chance)
+        if depth < DEEPEST:
+            near = materialise(centred(big, sets), "near")
+            paths = next_paths(near.where(F.col("agree") < TIGHT).join(sets, "rep"), chance)
+            big = near.where(F.col("agree") >= LOOSE)
+        # else these share as many tokens as the depth: one class, whose pairs are compared below
+        least = big.groupBy("path").agg(F.min("rep").alias("dst"))
+        found = found.union(big.join(least, "path").where("rep <> dst").select(F.col("rep").alias("src"), "dst"))
     return found.distinct()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import chosen_path, exact_dedup, media, packing
+from pingmill.llm import chosen_path, exact_dedup, media, packing, suffix_dedup
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -33,8 +33,12 @@ def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_join, op4_chunk_recipe_dedup, op6_avi_clips, op7_bin_completion)}
+    return {f.__name__: f for f in (op2_chosen_path_join, op4_chunk_recipe_dedup, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
