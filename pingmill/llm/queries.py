@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import chosen_path, exact_dedup, media, packing, suffix_dedup
+from pingmill.llm import bpe, chosen_path, exact_dedup, html_extract, media, packing, suffix_dedup
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -25,6 +25,10 @@ def op4_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_hof_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op6_avi_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,12 @@ def op9_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_join, op4_chunk_recipe_dedup, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup)}
+    return {f.__name__: f for f in (op2_chosen_path_join, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup, op10_page_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
