@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import bpe, chosen_path, exact_dedup, html_extract, media, packing, suffix_dedup
+from pingmill.llm import bpe, chosen_path, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -17,10 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_block_max_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chosen_path_join, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup, op10_page_differencing)}
+    return {f.__name__: f for f in (op1_cotraining, op2_chosen_path_join, op3_block_max_neighbours, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup, op10_page_differencing)}
 
 
 def oracle_sql() -> dict[str, str]:
