@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import bpe, chosen_path, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
+from pingmill.llm import bpe, chosen_path, context_mixing, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -45,6 +45,10 @@ def op7_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,12 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining, op2_chosen_path_join, op3_block_max_neighbours, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op9_deep_shallow_dedup, op10_page_differencing)}
+    import corpus_pipeline
+
+    own = (
+        op1_cotraining, op2_chosen_path_join, op3_block_max_neighbours, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op8_context_mixing, op9_deep_shallow_dedup, op10_page_differencing,
+    )
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
