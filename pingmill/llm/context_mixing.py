@@ -7,8 +7,9 @@ for letters one to four bytes before. Their log odds are summed with weights fro
 chooses by how often two of the contexts were seen. A last stage refines the mixture by how often such
 predictions came true. Base-10 logarithms of the decisions' probabilities add up to the text's score.
 
-Passes over the training documents: word counts; counts in the tables; weights and refinement, learnt
-online while each decision is predicted without its own count. Every one covers all of them.
+Two passes over all training documents: word counts, and the tables with the weights and the refinement.
+In the second each task predicts its decisions from what it has counted so far, learns from the errors,
+and then counts them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pingmill.functions.storage import materialise
 
 #: Words with a code of their own; words whose counts are broadcast. Both lists are bounded.
-CODED, LISTED = 60_000, 200_000
+CODED, LISTED = 200_000, 200_000
 #: Slots of each predictor's table, as a power of two. Four tables of two counts are 32 MB.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
@@ -39,6 +40,9 @@ STEPS = 33
 WINDOW = 16_000
 END = b" "
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_N1, _N2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+#: Decisions that a task keeps before it counts them. What it predicts from is renewed at this many and at each doubling.
+FLUSH = 1 << 22
 
 
 def training(doc_id: Column) -> Column:
@@ -72,7 +76,7 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         nodes += [n for n, _ in reversed(path)]
         bits += [b for _, b in reversed(path)]
         starts.append(len(nodes))
-    return np.array(starts, np.int64), np.array(nodes, np.uint64), np.array(bits, np.uint8)
+    return np.array(starts, np.int64), np.array(nodes, np.uint32), np.array(bits, np.uint8)
 
 
 class Code(NamedTuple):
@@ -104,26 +108,20 @@ class Tokens(NamedTuple):
 def tokens(texts: list[list[bytes]], code: Code) -> Tokens:
     """All tokens of some texts, with the hashes of their contexts; contexts don't reach into another text."""
     get, end, escape = code.rank.get, code.coded, code.coded + 1
-    names: list[int] = []
-    spelt: list[bytes] = []
-    owner: list[int] = []
-    for d, words in enumerate(texts):
-        ids = [get(w, -1) for w in words]
-        for k, i in enumerate(ids):
-            if i < 0 or i >= code.coded:
-                spelt.append(words[k])
-                owner.append(d)
-                ids[k] = -2 - zlib.crc32(words[k])
-        names += ids
-        names.append(-1)
-    name = np.array(names, np.int64)
-    doc = np.repeat(np.arange(len(texts)), [len(w) + 1 for w in texts])
+    all_words = [w for words in texts for w in (*words, END)]
+    name = np.array([get(w, -2) for w in all_words], np.int64)
+    sizes = [len(w) + 1 for w in texts]
+    name[np.cumsum(sizes) - 1] = -1
+    other = np.flatnonzero((name == -2) | (name >= code.coded))
+    spelt = [all_words[k] for k in other.tolist()]
+    name[other] = [-2 - zlib.crc32(w) for w in spelt]
+    doc = np.repeat(np.arange(len(texts)), sizes)
     symbol = np.where(name >= 0, name, np.where(name == -1, end, escape))
     first = np.append(True, doc[1:] != doc[:-1])
     one = np.where(first, np.int64(-1), np.roll(name, 1)).astype(np.uint64)
     two = np.where(first | np.roll(first, 1), np.int64(-1), np.roll(name, 2)).astype(np.uint64)
     contexts = [np.zeros(len(name), np.uint64), (one + np.uint64(2)) * _M1, ((one + np.uint64(3)) * _M1 + two) * _M2, (two + np.uint64(5)) * _M2 ^ _M1]
-    return Tokens(doc, symbol, contexts, spelt, np.array(owner, np.int64))
+    return Tokens(doc, symbol, [_folded(c, k, 0) for k, c in enumerate(contexts)], spelt, doc[other])
 
 
 class Decisions(NamedTuple):
@@ -133,9 +131,17 @@ class Decisions(NamedTuple):
     kind: int  # 0 words, 1 letters
 
 
-def _slot(context: np.ndarray, node: np.ndarray, k: int, kind: int) -> np.ndarray:
-    x = (context + (node + np.uint64(1)) * _M2 + np.uint64(4 * kind + k + 1)) * _M1
-    return ((x ^ (x >> np.uint64(29))) * _M2 >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _folded(context: np.ndarray, k: int, kind: int) -> np.ndarray:
+    x = context + np.uint64(4 * kind + k + 1) * _M2
+    x = (x ^ (x >> np.uint64(31))) * _M1
+    return (x >> np.uint64(32)).astype(np.uint32)
+
+
+def _slot(context: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """node: times ``_N1``."""
+    x = (context ^ node) * _N2
+    x ^= x >> np.uint32(15)
+    return (x * _N1) >> np.uint32(32 - SLOT_BITS)
 
 
 def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions]:
@@ -143,8 +149,8 @@ def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions
         s = t.symbol[a : a + window]
         size = code.starts[s + 1] - code.starts[s]
         place = np.repeat(code.starts[s] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-        node = code.nodes[place]
-        slots = [_slot(np.repeat(c[a : a + window], size), node, k, 0) for k, c in enumerate(t.contexts)]
+        node = code.nodes[place] * _N1
+        slots = [_slot(np.repeat(c[a : a + window], size), node) for c in t.contexts]
         yield Decisions(np.repeat(t.doc[a : a + window], size), code.bits[place], slots, 0)
     for a in range(0, len(t.spelt), window):
         part = t.spelt[a : a + window]
@@ -156,41 +162,53 @@ def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions
         for k in range(1, PREDICTORS + 1):
             back = np.where(place >= k, np.roll(letters, k), 0).astype(np.uint64)
             history = history * np.uint64(257) + back + np.uint64(1)
-            contexts.append(history * _M1)
+            contexts.append(_folded(history * _M1, k - 1, 1))
         for b in range(0, len(letters), 2 * window):
             x = letters[b : b + 2 * window].astype(np.uint64)
             shift = np.arange(8, dtype=np.uint64)
             node = ((np.uint64(1) << shift) | (x[:, None] >> (np.uint64(8) - shift))).ravel()
             bit = ((x[:, None] >> (np.uint64(7) - shift)) & np.uint64(1)).astype(np.uint8).ravel()
-            slots = [_slot(np.repeat(c[b : b + 2 * window], 8), node, k, 1) for k, c in enumerate(contexts)]
+            node = node.astype(np.uint32) * _N1
+            slots = [_slot(np.repeat(c[b : b + 2 * window], 8), node) for c in contexts]
             yield Decisions(np.repeat(doc[b : b + 2 * window], 8), bit, slots, 1)
 
 
-_SEEN = np.searchsorted([1, 3, 12], np.arange(1024), "right")  # how often: never, 1-2, 3-11, more
-_LOG = np.log(np.arange(1 << 16) + 0.4).astype(np.float32)
+_SEEN = np.searchsorted([1, 3, 12], np.arange(1024), "right").astype(np.uint8)  # how often: never, 1-2, 3-11, more
+
+
+class Table(NamedTuple):
+    """What the counts say: log odds and how often they were seen, by predictor and slot."""
+
+    odds: np.ndarray
+    seen: np.ndarray
+
+
+def table_of(counts: np.ndarray) -> Table:
+    """counts: (PREDICTORS, SLOTS, 2)."""
+    odds, seen = np.empty((PREDICTORS, SLOTS), np.float32), np.empty((PREDICTORS, SLOTS), np.uint8)
+    for k in range(PREDICTORS):
+        zeros, ones = (counts[k, :, bit].astype(np.float32) for bit in (0, 1))
+        seen[k] = _SEEN[np.minimum(zeros + ones, 1023).astype(np.int32)]
+        odds[k] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+    return Table(odds, seen)
 
 
-def evidence(d: Decisions, table: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(inputs, gate): each predictor's log odds and a constant. table: (PREDICTORS, SLOTS, 2); own: without the decision's own count."""
-    n = len(d.bit)
-    x, seen = np.empty((PREDICTORS + 1, n), np.float32), []
+def evidence(d: Decisions, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, gate): each predictor's log odds and a constant."""
+    x = np.empty((PREDICTORS + 1, len(d.bit)), np.float32)
     x[-1] = 0.3
     for k, slot in enumerate(d.slots):
-        pair = table[k].view(np.uint32)[slot, 0]
-        zeros, ones = (pair & np.uint32(0xFFFF)).astype(np.int32), (pair >> np.uint32(16)).astype(np.int32)
-        if own:
-            zeros -= (d.bit == 0) & (zeros > 0)
-            ones -= (d.bit == 1) & (ones > 0)
-        x[k] = _LOG[ones] - _LOG[zeros]
-        seen.append(_SEEN[np.minimum(zeros + ones, 1023)] if k in (1, 2) else None)
-    return x, d.kind * 16 + seen[1] * 4 + seen[2]
+        np.take(table.odds[k], slot, out=x[k], mode="clip")
+    gate = table.seen[1][d.slots[1]] * np.uint8(4) + table.seen[2][d.slots[2]] + np.uint8(16 * d.kind)
+    return x, gate.astype(np.intp)
 
 
 def odds(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     z = np.zeros(x.shape[1], np.float32)
+    own = np.ascontiguousarray(weights.T, np.float32)
     for k in range(len(x)):
-        z += x[k] * weights[:, k].astype(np.float32)[gate]
-    return np.clip(z, -12, 12)
+        z += x[k] * own[k][gate]
+    return np.clip(z, -12, 12, out=z)
 
 
 def step_of(z: np.ndarray) -> np.ndarray:
@@ -203,21 +221,42 @@ def final(z: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
     return np.clip(p, 1e-5, 1 - 1e-5)
 
 
-def learn(found: Iterator[Decisions], table: np.ndarray, weights: np.ndarray, squares: np.ndarray, came: np.ndarray) -> int:
-    """Online steps over decisions, in place: adaptive gradient steps of the weights, then counts of what came true."""
-    n = 0
-    for d in found:
-        x, gate = evidence(d, table, True)
-        z = odds(x, gate, weights)
+class Learner:
+    """Counts, mixing weights and refinement of one task, learnt online."""
+
+    def __init__(self) -> None:
+        self.counts = np.zeros((PREDICTORS, SLOTS * 2), np.int32)
+        self.weights, self.squares = np.full((GATES, PREDICTORS + 1), 0.3), np.zeros((GATES, PREDICTORS + 1))
+        self.came = np.zeros((GATES, STEPS, 2))
+        self.waiting: list[list[np.ndarray]] = []
+        self.size = self.total = 0
+        self.renew = FLUSH // 4
+        self.table = table_of(np.zeros((PREDICTORS, SLOTS, 2), np.uint16))
+
+    def see(self, d: Decisions) -> None:
+        """Predicts, takes an adaptive gradient step with the mean error of each gate, and keeps the decisions to count."""
+        x, gate = evidence(d, self.table)
+        z = odds(x, gate, self.weights)
         error = d.bit - 1 / (1 + np.exp(-z))
         many = np.maximum(np.bincount(gate, minlength=GATES), 1)
         for k in range(PREDICTORS + 1):
             g = np.bincount(gate, error * x[k], GATES) / many
-            squares[:, k] += g * g
-            weights[:, k] += 0.05 * g / np.sqrt(squares[:, k] + 1e-6)
-        came += np.bincount((gate * STEPS + step_of(z)) * 2 + d.bit, minlength=GATES * STEPS * 2).reshape(came.shape)
-        n += len(d.bit)
-    return n
+            self.squares[:, k] += g * g
+            self.weights[:, k] += 0.05 * g / np.sqrt(self.squares[:, k] + 1e-6)
+        self.came += np.bincount((gate * STEPS + step_of(z)) * 2 + d.bit, minlength=self.came.size).reshape(self.came.shape)
+        self.waiting.append([slot * np.uint32(2) + d.bit for slot in d.slots])
+        self.size += len(d.bit)
+        if self.size >= FLUSH or self.total + self.size >= self.renew:
+            self.count()
+        if self.total >= self.renew:
+            self.renew = 2 * self.total
+            self.table = table_of(self.counts.reshape(PREDICTORS, SLOTS, 2))
+
+    def count(self) -> None:
+        for k in range(PREDICTORS if self.waiting else 0):
+            self.counts[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=SLOTS * 2).astype(np.int32)
+        self.total += self.size
+        self.waiting, self.size = [], 0
 
 
 # --- Spark ---------------------------------------------------------------------------------------
@@ -261,69 +300,64 @@ def word_counts(docs: DataFrame) -> DataFrame:
 PARTS = 64
 
 
-def tables(docs: DataFrame, code) -> np.ndarray:
-    """The predictors' counts over all decisions of the texts. Each task counts for itself; parts of the tables are added up."""
+def learnt(docs: DataFrame, code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The predictors' counts, the mixing weights and the refinement, over all decisions of the texts.
+
+    Each task learns for itself. Parts of the tables are added up by Spark; weights are averaged by the
+    decisions behind them. What reaches the driver has a fixed size, however many texts there are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((PREDICTORS, SLOTS * 2), np.int32)
+        own, any_ = Learner(), False
         for batch in batches:
             for part in _texts(batch.column(0)):
+                any_ = True
                 for d in decisions(tokens(part, code.value), code.value):
-                    for k in range(PREDICTORS):
-                        np.add.at(counts[k], d.slots[k] * 2 + d.bit, 1)
-        if not counts.any():
+                    own.see(d)
+        if not any_:
             return
-        parts = scaled(counts.reshape(-1, 2), 255).astype(np.uint8).reshape(PARTS, -1)
-        for k in range(PARTS):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(parts[k].tobytes(), "zstd", asbytes=True)], pa.binary())], names=["part", "data"])
+        own.count()
+        many = own.came.sum(axis=(1, 2))
+        cells = np.concatenate([(own.weights * many[:, None]).ravel(), many, own.came.ravel()])
+        parts = scaled(own.counts.reshape(-1, 2), 255).astype(np.uint8).reshape(PARTS, -1)
+        data = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts] + [cells.tobytes()]
+        for k, x in enumerate(data):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["part", "data"])
 
     size = PREDICTORS * SLOTS * 2 // PARTS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(pa.decompress(data.as_py(), size, "zstd", asbytes=True), np.uint8).astype(np.int64)
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(data) if k == PARTS else np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).astype(np.int64)
+                sums[k] = sums.get(k, 0) + x
         for k, x in sums.items():
-            x = scaled(x.reshape(-1, 2), 65535).astype("<u2")
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["part", "data"])
+            data = x.tobytes() if k == PARTS else pa.compress(scaled(x.reshape(-1, 2), 65535).astype("<u2").tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
     kind = "part int, data binary"
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, kind).repartition(PARTS, "part").mapInArrow(add, kind)
-    out = np.zeros((PARTS, size), "<u2")
-    for row in found.toLocalIterator():  # of a fixed size, however many texts there are
-        out[row["part"]] = np.frombuffer(pa.decompress(row["data"], size * 2, "zstd", asbytes=True), "<u2")
-    return out.reshape(PREDICTORS, SLOTS, 2)
-
-
-def scaled(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Pairs of counts in proportion, none over ``most`` and none lost."""
-    top = pairs.max(axis=1, keepdims=True)
-    return np.where(top > most, np.maximum(pairs * float(most) / np.maximum(top, 1), pairs > 0), pairs)
-
-
-def weights_of(docs: DataFrame, code, table) -> tuple[np.ndarray, np.ndarray]:
-    """Mixing weights and refinement, learnt online in each task and averaged by its decisions."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, squares = np.full((GATES, PREDICTORS + 1), 0.3), np.zeros((GATES, PREDICTORS + 1))
-        came, n = np.zeros((GATES, STEPS, 2)), 0
-        for batch in batches:
-            for part in _texts(batch.column(0)):
-                n += learn(decisions(tokens(part, code.value), code.value), table.value, weights, squares, came)
-        many = came.sum(axis=(1, 2))
-        cells = np.concatenate([(weights * many[:, None]).ravel(), many, came.ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells)), pa.int32()), pa.array(cells)], names=["cell", "x"])
-
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell int, x double").groupBy("cell").agg(F.sum("x").alias("x")).collect()
-    cells = np.zeros(GATES * (PREDICTORS + 2) + GATES * STEPS * 2)
-    for r in rows:
-        cells[r["cell"]] = r["x"]
+    counts, cells = np.zeros((PARTS, size), "<u2"), np.zeros(GATES * (PREDICTORS + 2) + GATES * STEPS * 2)
+    for k, data in zip(*found.toArrow().to_pydict().values(), strict=True):
+        if k == PARTS:
+            cells = np.frombuffer(data)
+        else:
+            counts[k] = np.frombuffer(pa.decompress(data, size * 2, "zstd", asbytes=True), "<u2")
     w, many, came = np.split(cells, [GATES * (PREDICTORS + 1), GATES * (PREDICTORS + 2)])
     weights = np.where(many[:, None] > 0, w.reshape(GATES, -1) / np.maximum(many, 1)[:, None], 0.3)
     came = came.reshape(GATES, STEPS, 2)
     centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-    return weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
+    return counts.reshape(PREDICTORS, SLOTS, 2), weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
+
+
+def scaled(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Pairs of counts in proportion, none over ``most`` and none lost."""
+    over = np.flatnonzero(np.maximum(pairs[:, 0], pairs[:, 1]) > most)
+    out = pairs.copy()
+    high = pairs[over]
+    out[over] = np.maximum(high * float(most) / high.max(axis=1, initial=1, keepdims=True), high > 0)
+    return out
 
 
 SCORED = "doc_id long, n_bytes long, n_tokens long, listed long, base double, score double, words array<binary>, counts array<int>"
@@ -338,20 +372,19 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     ``docs`` are not read.
     """
     spark = docs.sparkSession
-    learnt = docs.where(training(F.col("doc_id")))
-    counts = materialise(word_counts(learnt), "words")
+    taught = docs.where(training(F.col("doc_id")))
+    counts = materialise(word_counts(taught), "words")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("ends")).first()
     total, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
     # the empty output of tasks without documents counts an end zero times
     distinct -= int(distinct > 0 and ends == 0)
     listed = [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(LISTED).collect()]
     code = spark.sparkContext.broadcast(code_of(listed, ends, total))
-    table = spark.sparkContext.broadcast(tables(learnt, code))
-    model = spark.sparkContext.broadcast(weights_of(learnt, code, table))
+    model = spark.sparkContext.broadcast(learnt(taught, code))
     floor = math.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, refined = model.value
+        table, weights, refined = table_of(model.value[0]), *model.value[1:]
         c, logs = code.value, np.log10(code.value.counts + 0.1)
         end = math.log10(ends + 0.1)
         for batch in batches:
@@ -359,7 +392,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             for part in _texts(batch.column(1)):
                 score, out = np.zeros(len(part)), []
                 for d in decisions(tokens(part, c), c):
-                    x, gate = evidence(d, table.value, False)
+                    x, gate = evidence(d, table)
                     p = final(odds(x, gate, weights), gate, refined)
                     score += np.bincount(d.doc, np.log10(np.where(d.bit == 1, p, 1 - p)), len(part))
                 for k, words in enumerate(part):
