@@ -21,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pingmill.functions.storage import materialise
+from pingmill.llm.words import commonest
+
 #: Words that are encoded once and broadcast, with their ids about 30 MB.
 COMMON = 200_000
 #: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step.
@@ -110,10 +113,10 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def common_words(docs: DataFrame, pattern: str, limit: int = COMMON) -> DataFrame:
-    """The ``limit`` commonest words of the texts, with their counts over all documents."""
+    """At most ``limit`` of the commonest words of the texts, with their counts over all documents."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
     counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where("n > 1").orderBy(F.desc("n"), "word").limit(limit)
+    return commonest(materialise(counts.where("n > 1"), "words"), limit)
 
 
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -132,8 +135,9 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     maps = rank_map(ranks)
     spark = docs.sparkSession
     top = common_words(docs, pattern, common).where(F.octet_length("word") <= LONG).select("word", encode_word(F.col("word"), maps).alias("ids"))
-    rows = top.collect()  # at most ``common`` short words
-    known = spark.sparkContext.broadcast(({r.word: k for k, r in enumerate(rows)}, [np.array(r.ids, "<u4").tobytes() for r in rows]))
+    found = top.toArrow()  # at most ``common`` short words
+    encoded = [np.array(ids, "<u4").tobytes() for batch in found.column("ids").chunks for ids in batch.to_pylist()]
+    known = spark.sparkContext.broadcast(({w: k for k, w in enumerate(found.column("word").to_pylist())}, encoded))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex

@@ -2,8 +2,8 @@
 
 A text is a sequence of binary decisions: a Huffman code walks to each word, or to an escape after which
 the word is spelt bit by bit. Each decision has several predictors, counts of 0 and 1 in tables that are
-addressed by a hash of a context: for words none, the word before, the two before, the one before that;
-for letters one to four bytes before. Their log odds are summed with weights from the set that a gate
+addressed by a hash of a context: for words none, the word before, the two before; for letters two to
+four bytes before. Their log odds are summed with weights from the set that a gate
 chooses by how often two of the contexts were seen. A last stage refines the mixture by how often such
 predictions came true. Base-10 logarithms of the decisions' probabilities add up to the text's score.
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -27,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingmill.functions.storage import materialise
+from pingmill.llm.words import commonest, slices, span_hashes, word_bounds
 
 #: Words with a code of their own; words whose counts are broadcast. Both lists are bounded.
-CODED, LISTED = 200_000, 200_000
-#: Slots of each predictor's table, as a power of two. Four tables of two counts are 32 MB.
+CODED, LISTED = 160_000, 160_000
+#: Slots of each predictor's table, as a power of two. Three tables of two counts are 24 MB.
+#: The first has a slot of its own for each node of the code, in its lower half.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
-PREDICTORS = 4
+PREDICTORS = 3
 GATES = 32
 STEPS = 33
 #: Tokens whose decisions are handled at once.
@@ -58,70 +59,93 @@ def huffman(counts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each symbol the place of its code, and all codes' node numbers and bits."""
     heap = [(n, k) for k, n in enumerate(counts)]
     heapq.heapify(heap)
-    parent: dict[int, tuple[int, int]] = {}
-    node = len(counts)
+    symbols = node = len(counts)
+    parent, side = np.full(2 * symbols, -1, np.int64), np.zeros(2 * symbols, np.uint8)
     while len(heap) > 1:
-        for bit in (0, 1):
-            n, k = heapq.heappop(heap)
-            parent[k] = (node, bit)
-            total = n if bit == 0 else total + n
-        heapq.heappush(heap, (total, node))
+        (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+        parent[a] = parent[b] = node
+        side[b] = 1
+        heapq.heappush(heap, (n + m, node))
         node += 1
-    starts, nodes, bits = [0], [], []
-    for k in range(len(counts)):
-        path = []
-        while k in parent:
-            k, bit = parent[k]
-            path.append((k, bit))
-        nodes += [n for n, _ in reversed(path)]
-        bits += [b for _, b in reversed(path)]
-        starts.append(len(nodes))
-    return np.array(starts, np.int64), np.array(nodes, np.uint32), np.array(bits, np.uint8)
+    path, at = [], np.arange(symbols)
+    while (parent[at] >= 0).any():
+        path.append((np.where(at >= 0, parent[at], -1), side[at]))
+        at = np.where(parent[at] >= 0, parent[at], node - 1)
+    sizes = np.sum([up >= 0 for up, _ in path], axis=0, dtype=np.int64) if path else np.zeros(symbols, np.int64)
+    starts = np.append(0, np.cumsum(sizes))
+    nodes, bits = np.zeros(starts[-1], np.uint32), np.zeros(starts[-1], np.uint8)
+    for k, (up, bit) in enumerate(path):
+        has = np.flatnonzero(up >= 0)
+        nodes[starts[has + 1] - 1 - k], bits[starts[has + 1] - 1 - k] = up[has], bit[has]
+    return starts, nodes, bits
 
 
 class Code(NamedTuple):
     """Symbols: listed words by rank below ``coded``, then the end, then the escape."""
 
-    rank: dict[bytes, int]
-    counts: np.ndarray
+    hashes: np.ndarray  # of the listed words, in order
+    ranks: np.ndarray  # by hash
+    counts: np.ndarray  # by rank
     coded: int
     starts: np.ndarray
     nodes: np.ndarray
     bits: np.ndarray
 
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for words that are not listed."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.ranks[at], -1)
 
-def code_of(listed: list[tuple[bytes, int]], ends: int, total: int, coded: int = CODED) -> Code:
-    coded = min(coded, sum(n > 1 for _, n in listed))  # words seen once are spelt, as new ones will be
-    own = [n for _, n in listed[:coded]]
+
+def code_of(words: list[bytes], counts: list[int], ends: int, total: int, coded: int = CODED) -> Code:
+    """words: the commonest first."""
+    coded = min(coded, sum(n > 1 for n in counts))  # words seen once are spelt, as new ones will be
+    own = counts[:coded]
     escape = max(1, total - ends - sum(own))
-    return Code({w: k for k, (w, _) in enumerate(listed)}, np.array([n for _, n in listed], np.int64), coded, *huffman([*own, max(1, ends), escape]))
+    sizes = np.array([len(w) for w in words], np.int64)
+    stop = np.cumsum(sizes)
+    hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), stop - sizes, stop) if words else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    return Code(hashes[order], order, np.array(counts, np.int64), coded, *huffman([*own, max(1, ends), escape]))
 
 
 class Tokens(NamedTuple):
     doc: np.ndarray
     symbol: np.ndarray
+    rank: np.ndarray  # -1 for the end, -2 for words that are not listed
     contexts: list[np.ndarray]
-    spelt: list[bytes]
+    data: np.ndarray
+    starts: np.ndarray  # of the spelt words in data
+    stops: np.ndarray
     spelt_doc: np.ndarray
 
 
-def tokens(texts: list[list[bytes]], code: Code) -> Tokens:
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, code: Code) -> Tokens:
     """All tokens of some texts, with the hashes of their contexts; contexts don't reach into another text."""
-    get, end, escape = code.rank.get, code.coded, code.coded + 1
-    all_words = [w for words in texts for w in (*words, END)]
-    name = np.array([get(w, -2) for w in all_words], np.int64)
-    sizes = [len(w) + 1 for w in texts]
-    name[np.cumsum(sizes) - 1] = -1
-    other = np.flatnonzero((name == -2) | (name >= code.coded))
-    spelt = [all_words[k] for k in other.tolist()]
-    name[other] = [-2 - zlib.crc32(w) for w in spelt]
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    symbol = np.where(name >= 0, name, np.where(name == -1, end, escape))
+    data = _LOWER[data]
+    starts, stops, before = word_bounds(data, offsets)
+    rows = len(offsets) - 1
+    doc = np.repeat(np.arange(rows), np.diff(before) + 1)
+    ends = before[1:] + np.arange(rows)
+    word = np.ones(len(doc), bool)
+    word[ends] = False
+    hashes = span_hashes(data, starts, stops) if len(starts) else np.zeros(0, np.uint64)
+    known = code.rank(hashes)
+    rank, name = np.full(len(doc), -1, np.int64), np.zeros(len(doc), np.uint64)
+    rank[word], name[word] = np.where(known < 0, -2, known), hashes
+    symbol = np.where(rank == -1, code.coded, np.where((rank >= 0) & (rank < code.coded), rank, code.coded + 1))
     first = np.append(True, doc[1:] != doc[:-1])
-    one = np.where(first, np.int64(-1), np.roll(name, 1)).astype(np.uint64)
-    two = np.where(first | np.roll(first, 1), np.int64(-1), np.roll(name, 2)).astype(np.uint64)
-    contexts = [np.zeros(len(name), np.uint64), (one + np.uint64(2)) * _M1, ((one + np.uint64(3)) * _M1 + two) * _M2, (two + np.uint64(5)) * _M2 ^ _M1]
-    return Tokens(doc, symbol, [_folded(c, k, 0) for k, c in enumerate(contexts)], spelt, doc[other])
+    one = np.where(first, np.uint64(1), np.roll(name, 1))
+    two = np.where(first | np.roll(first, 1), np.uint64(1), np.roll(name, 2))
+    contexts = [np.zeros(len(name), np.uint64), one * _M1, (one * _M1 + two) * _M2]
+    other = (known < 0) | (known >= code.coded)
+    return Tokens(doc, symbol, rank, [_folded(c, k, 0) for k, c in enumerate(contexts)], data, starts[other], stops[other], doc[word][other])
 
 
 class Decisions(NamedTuple):
@@ -132,7 +156,7 @@ class Decisions(NamedTuple):
 
 
 def _folded(context: np.ndarray, k: int, kind: int) -> np.ndarray:
-    x = context + np.uint64(4 * kind + k + 1) * _M2
+    x = context + np.uint64((4 * kind + k + 1) * int(_M2) & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(31))) * _M1
     return (x >> np.uint64(32)).astype(np.uint32)
 
@@ -150,19 +174,21 @@ def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions
         size = code.starts[s + 1] - code.starts[s]
         place = np.repeat(code.starts[s] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
         node = code.nodes[place] * _N1
-        slots = [_slot(np.repeat(c[a : a + window], size), node) for c in t.contexts]
+        slots = [code.nodes[place], *(_slot(np.repeat(c[a : a + window], size), node) for c in t.contexts[1:])]
         yield Decisions(np.repeat(t.doc[a : a + window], size), code.bits[place], slots, 0)
-    for a in range(0, len(t.spelt), window):
-        part = t.spelt[a : a + window]
-        letters = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        size = np.array([len(w) + 1 for w in part])
+    for a in range(0, len(t.starts), window):
+        begin, size = t.starts[a : a + window], t.stops[a : a + window] - t.starts[a : a + window] + 1
         doc = np.repeat(t.spelt_doc[a : a + window], size)
-        place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        last = np.cumsum(size) - 1
+        letters = t.data[np.minimum(np.repeat(begin, size) + place, len(t.data) - 1)]
+        letters[last] = 32
         history, contexts = np.zeros(len(letters), np.uint64), []
-        for k in range(1, PREDICTORS + 1):
+        for k in range(1, PREDICTORS + 2):
             back = np.where(place >= k, np.roll(letters, k), 0).astype(np.uint64)
             history = history * np.uint64(257) + back + np.uint64(1)
-            contexts.append(_folded(history * _M1, k - 1, 1))
+            if k > 1:
+                contexts.append(_folded(history * _M1, k, 1))
         for b in range(0, len(letters), 2 * window):
             x = letters[b : b + 2 * window].astype(np.uint64)
             shift = np.arange(8, dtype=np.uint64)
@@ -170,6 +196,7 @@ def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions
             bit = ((x[:, None] >> (np.uint64(7) - shift)) & np.uint64(1)).astype(np.uint8).ravel()
             node = node.astype(np.uint32) * _N1
             slots = [_slot(np.repeat(c[b : b + 2 * window], 8), node) for c in contexts]
+            slots[0] |= np.uint32(SLOTS // 2)
             yield Decisions(np.repeat(doc[b : b + 2 * window], 8), bit, slots, 1)
 
 
@@ -262,19 +289,6 @@ class Learner:
 # --- Spark ---------------------------------------------------------------------------------------
 
 
-def _texts(column: pa.Array) -> Iterator[list[list[bytes]]]:
-    """Words of a few texts at a time."""
-    part, size = [], 0
-    for text in column.cast(pa.binary()):
-        part.append(words_of(text.as_py() or b""))
-        size += len(part[-1])
-        if size > 4 * WINDOW:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; the end of a text counts as the word of one space."""
 
@@ -285,10 +299,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
-            for part in _texts(batch.column(0)):
-                for words in part:
-                    counts.update(words)
-                counts[END] += len(part)
+            for text in batch.column(0).cast(pa.binary()):
+                counts.update(words_of(text.as_py() or b""))
+            counts[END] += batch.num_rows
             if len(counts) > 500_000:
                 yield out()
                 counts.clear()
@@ -310,9 +323,9 @@ def learnt(docs: DataFrame, code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, any_ = Learner(), False
         for batch in batches:
-            for part in _texts(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0)):
                 any_ = True
-                for d in decisions(tokens(part, code.value), code.value):
+                for d in decisions(tokens(data, offsets, code.value), code.value):
                     own.see(d)
         if not any_:
             return
@@ -378,8 +391,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     total, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
     # the empty output of tasks without documents counts an end zero times
     distinct -= int(distinct > 0 and ends == 0)
-    listed = [(bytes(r["word"]), r["n"]) for r in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(LISTED).collect()]
-    code = spark.sparkContext.broadcast(code_of(listed, ends, total))
+    found = commonest(counts.where(F.col("word") != F.lit(END)), LISTED).toArrow()  # at most LISTED rows
+    listed = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    code = spark.sparkContext.broadcast(code_of([w for _, w in listed], [n for n, _ in listed], ends, total))
     model = spark.sparkContext.broadcast(learnt(taught, code))
     floor = math.log10(total + 0.1 * (distinct + 1))
 
@@ -388,24 +402,27 @@ def lm_scores(docs: DataFrame) -> DataFrame:
         c, logs = code.value, np.log10(code.value.counts + 0.1)
         end = math.log10(ends + 0.1)
         for batch in batches:
-            at = 0
-            for part in _texts(batch.column(1)):
-                score, out = np.zeros(len(part)), []
-                for d in decisions(tokens(part, c), c):
+            for a, b, data, offsets in slices(batch.column(1)):
+                n, out = b - a, []
+                score, t = np.zeros(n), tokens(data, offsets, c)
+                for d in decisions(t, c):
                     x, gate = evidence(d, table)
                     p = final(odds(x, gate, weights), gate, refined)
-                    score += np.bincount(d.doc, np.log10(np.where(d.bit == 1, p, 1 - p)), len(part))
-                for k, words in enumerate(part):
-                    own = [c.rank.get(w, -1) for w in words]
-                    known = np.array([i for i in own if i >= 0], np.int64)
-                    rest = Counter(w for w, i in zip(words, own, strict=True) if i < 0)
-                    out.append((len(words) + 1, len(known), float(logs[known].sum()) + end, float(score[k]), list(rest), list(rest.values())))
-                rows = slice(at, at + len(part))
-                at += len(part)
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-                sizes = [len(x.as_py() or b"") for x in batch.column(1)[rows].cast(pa.binary())]
+                    score += np.bincount(d.doc, np.log10(np.where(d.bit == 1, p, 1 - p)), n)
+                listed = t.rank >= 0
+                known = np.bincount(t.doc[listed], minlength=n)
+                base = np.bincount(t.doc[listed], logs[t.rank[listed]], n) + end
+                new = t.rank[t.rank != -1] == -2
+                starts, stops, _ = word_bounds(t.data, offsets)
+                owner, raw = t.doc[t.rank == -2], t.data.tobytes()
+                rest = [raw[i:j] for i, j in zip(starts[new].tolist(), stops[new].tolist(), strict=True)]
+                cut = np.searchsorted(owner, np.arange(n + 1)).tolist()
+                rare = [Counter(rest[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[rows], pa.array(sizes, pa.int64()), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True))],
+                    [
+                        batch.column(0)[a:b], *(pa.array(x) for x in (np.diff(offsets), np.bincount(t.doc, minlength=n), known, base, score)),
+                        pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int32())),
+                    ],
                     names=["doc_id", "n_bytes", "n_tokens", "listed", "base", "score", "words", "counts"],
                 )
 
