@@ -79,7 +79,7 @@ def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005) -> Dat
     both = ends.select(
         "user_id", "trip_id", "dep_ts",
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat")), F.struct(F.lit(1).alias("side"), F.col("t_lon").alias("lon"), F.col("t_lat").alias("lat")))).alias("e"),
-    ).select("user_id", "trip_id", "dep_ts", "e.*", )
+    ).select("user_id", "trip_id", "dep_ts", "e.*")
     labelled = cluster_points(both.withColumn("idx", F.col("trip_id") * 2 + F.col("side")), ["user_id"], eps, 1)
     centres = cluster_centroids(labelled, ["user_id"])
     pair = labelled.groupBy("user_id", "trip_id").agg(F.max(F.when(F.col("side") == 0, F.col("label"))).alias("o"), F.max(F.when(F.col("side") == 1, F.col("label"))).alias("d"))
@@ -117,9 +117,9 @@ def stay_points(pings: DataFrame, radius_km: float = 0.3, least_s: int = 600) ->
     def step(s: Column, p: Column) -> Column:
         far = haversine_km(s["lat"], s["lon"], p["lat"], p["lon"]) > radius_km
         repeat = (p["ts"] == s["ts"]) & (p["lon"] == s["plon"]) & (p["lat"] == s["plat"])
-        # the stay lasts until the point that leaves
-        stay = F.struct(s["begin"].alias("arrival_ts"), (p["ts"] - s["begin"]).alias("duration"), s["lon"].alias("lon"), s["lat"].alias("lat"))
-        stays = F.when(p["ts"] - s["begin"] > least_s, F.concat(s["stays"], F.array(stay))).otherwise(s["stays"])
+        # the stay lasts until the last point before the one that leaves
+        stay = F.struct(s["begin"].alias("arrival_ts"), (s["ts"] - s["begin"]).alias("duration"), s["lon"].alias("lon"), s["lat"].alias("lat"))
+        stays = F.when(s["ts"] - s["begin"] > least_s, F.concat(s["stays"], F.array(stay))).otherwise(s["stays"])
         n = s["n"] + 1
         left = F.struct(p["ts"].alias("begin"), p["lon"].alias("lon"), p["lat"].alias("lat"), F.lit(1).cast("long").alias("n"), p["ts"].alias("ts"), p["lon"].alias("plon"), p["lat"].alias("plat"), stays.alias("stays"))
         more = F.struct(s["begin"].alias("begin"), ((s["lon"] * s["n"] + p["lon"]) / n).alias("lon"), ((s["lat"] * s["n"] + p["lat"]) / n).alias("lat"), n.alias("n"), p["ts"].alias("ts"), p["lon"].alias("plon"), p["lat"].alias("plat"), s["stays"].alias("stays"))

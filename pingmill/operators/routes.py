@@ -90,11 +90,14 @@ def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88)
     b = shapes.select("user_id", F.col("trip_id").alias("trip_j"), F.col("p").alias("b"))
     pairs = a.join(b, "user_id").where("trip_i < trip_j")
 
+    def least(x, along):
+        far = F.transform(F.filter("b", lambda y: F.abs(y["along"] - along) <= window / 2), lambda y: F.pow(y["lon"] - x["lon"], 2) + F.pow(y["lat"] - x["lat"], 2))
+        return F.sqrt(F.array_min(far)) / PLANAR
+
     def nearest(x):
         gap = F.transform("b", lambda y: F.struct(F.abs(y["position"] - x["position"]).alias("g"), y["k"].alias("k"), y["along"].alias("along")))
-        partner = F.array_min(gap)["along"]
-        far = F.transform(F.filter("b", lambda y: F.abs(y["along"] - partner) <= window / 2), lambda y: F.sqrt(F.pow(y["lon"] - x["lon"], 2) + F.pow(y["lat"] - x["lat"], 2)) / PLANAR)
-        return F.array_min(far)
+        # an array of one, so that the partner is looked for once
+        return F.transform(F.array(F.array_min(gap)["along"]), lambda along: least(x, along))[0]
 
     found = F.array_sort(F.transform("a", nearest))
     at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1

@@ -43,7 +43,11 @@ def read_zones(spark: SparkSession, path: str, id_property: str) -> DataFrame:
 
 
 def with_boxes(rings: DataFrame) -> DataFrame:
-    box = {f"{m}_{c}": f(F.transform("ring", lambda p, c=c: p[c])) for c in ("lon", "lat") for m, f in (("min", F.array_min), ("max", F.array_max))}
+    def edge(least: bool, c: str):
+        values = F.transform("ring", lambda p: p[c])
+        return F.array_min(values) if least else F.array_max(values)
+
+    box = {f"{m}_{c}": edge(m == "min", c) for c in ("lon", "lat") for m in ("min", "max")}
     return rings.withColumns(box)
 
 
