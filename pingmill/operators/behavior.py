@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pingmill.functions.classes import income_bucket, income_level, period_of_day
 
-USER = Window.partitionBy("user_id")
+def _user():
+    return Window.partitionBy("user_id")
 
 
 def matched_only(routes: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def unmatched_share(routes: DataFrame) -> DataFrame:
 
 
 def relative_excess(routes: DataFrame) -> DataFrame:
-    return routes.withColumn("excess", F.col("tt") / F.min("tt").over(USER) - 1)
+    return routes.withColumn("excess", F.col("tt") / F.min("tt").over(_user()) - 1)
 
 
 def user_dispersion(routes: DataFrame) -> DataFrame:
@@ -73,12 +74,12 @@ def route_dist_by_period(routes: DataFrame, scheme: str = "weekday") -> DataFram
 
 def travel_time_index(routes: DataFrame, least: int = 10) -> DataFrame:
     """Mean over free-flow time by user and hour; free flow: the user's least over all weekday matched trips."""
-    free = weekday_only(matched_only(routes)).withColumn("free_flow", F.min("tt").over(USER))
+    free = weekday_only(matched_only(routes)).withColumn("free_flow", F.min("tt").over(_user()))
     return free.groupBy("user_id", "dep_hour").agg((F.avg("tt") / F.min("free_flow")).alias("tti"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def relative_gap(routes: DataFrame, least: int = 10) -> DataFrame:
-    free = weekday_only(matched_only(routes)).withColumn("free_flow", F.min("tt").over(USER)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "dep_hour")))
+    free = weekday_only(matched_only(routes)).withColumn("free_flow", F.min("tt").over(_user())).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "dep_hour")))
     return free.where(F.col("_n") >= least).withColumn("gap", F.greatest((F.col("tt") - F.col("free_flow")) / F.col("free_flow"), F.lit(0.0))).drop("_n")
 
 
@@ -107,7 +108,7 @@ def reliability_by_income(rel: DataFrame, profile: DataFrame) -> DataFrame:
 def dominant_route(routes: DataFrame, more_than: int = 4) -> DataFrame:
     """Users with more trips and at least two routes: the commonest route, the least id of equal ones, and its share."""
     per = matched_only(routes).groupBy("user_id", "route_id").agg(F.count(F.lit(1)).alias("n"))
-    ranked = per.select("*", F.sum("n").over(USER).alias("n_trips"), F.count(F.lit(1)).over(USER).alias("n_routes"), F.row_number().over(USER.orderBy(F.desc("n"), "route_id")).alias("_rank"))
+    ranked = per.select("*", F.sum("n").over(_user()).alias("n_trips"), F.count(F.lit(1)).over(_user()).alias("n_routes"), F.row_number().over(_user().orderBy(F.desc("n"), "route_id")).alias("_rank"))
     return ranked.where((F.col("_rank") == 1) & (F.col("n_trips") > more_than) & (F.col("n_routes") >= 2)).select("user_id", "route_id", "n_trips", "n_routes", (F.col("n") / F.col("n_trips")).alias("share"))
 
 

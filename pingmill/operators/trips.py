@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from pingmill.functions.geo import grid_id, haversine_km, neighbour_grids
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "ping_id")
-BY_TRIP = Window.partitionBy("user_id", "trip_id").orderBy("ts", "ping_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "ping_id")
+
+
+def by_trip():
+    return Window.partitionBy("user_id", "trip_id").orderBy("ts", "ping_id")
 
 
 def filter_accuracy(pings: DataFrame, most: float = 150) -> DataFrame:
@@ -55,9 +59,9 @@ def sample_intervals(pings: DataFrame, order: str = "ping_id") -> DataFrame:
     return pings.select("user_id", "ts", gap.alias("interval_s")).where("interval_s > 0")
 
 
-def legs(points: DataFrame, window=BY_TRIP) -> DataFrame:
+def legs(points: DataFrame, window=None) -> DataFrame:
     """Each point with the seconds and km from the one before; null at the first."""
-    before = {c: F.lag(c).over(window) for c in ("ts", "lon", "lat")}
+    before = {c: F.lag(c).over(window or by_trip()) for c in ("ts", "lon", "lat")}
     return points.select("*", (F.col("ts") - before["ts"]).alias("leg_s"), haversine_km(before["lat"], before["lon"], F.col("lat"), F.col("lon")).alias("leg_km"))
 
 
@@ -72,12 +76,12 @@ def _numbered(points: DataFrame, breaks: Column, more_than: int, by: list[str])
 def segment_trips(points: DataFrame, gap_h: float = 0.3, jump_km: float = 10, more_than: int = 5) -> DataFrame:
     """Breaks before a point that ends a leg longer than ``gap_h`` hours or ``jump_km`` km; short pieces go."""
     breaks = (F.col("leg_s") > gap_h * 3600) | (F.col("leg_km") > jump_km)
-    return _numbered(legs(points, BY_USER), breaks, more_than, ["user_id"]).drop("leg_s", "leg_km")
+    return _numbered(legs(points, by_user()), breaks, more_than, ["user_id"]).drop("leg_s", "leg_km")
 
 
 def segment_trips_fine(points: DataFrame, gap_s: float = 60, jump_deg: float = 0.01, more_than: int = 5) -> DataFrame:
-    flat = F.sqrt(F.pow(F.col("lon") - F.lag("lon").over(BY_USER), 2) + F.pow(F.col("lat") - F.lag("lat").over(BY_USER), 2))
-    timed = points.withColumn("_s", F.col("ts") - F.lag("ts").over(BY_USER)).withColumn("_d", flat)
+    flat = F.sqrt(F.pow(F.col("lon") - F.lag("lon").over(by_user()), 2) + F.pow(F.col("lat") - F.lag("lat").over(by_user()), 2))
+    timed = points.withColumn("_s", F.col("ts") - F.lag("ts").over(by_user())).withColumn("_d", flat)
     return _numbered(timed, (F.col("_s") > gap_s) | (F.col("_d") > jump_deg), more_than, ["user_id"]).drop("_s", "_d")
 
 
@@ -128,25 +132,25 @@ def survival_counts(per_user: DataFrame, col: str = "n_trips") -> DataFrame:
 def arc_length(points: DataFrame) -> DataFrame:
     """Running km along each trip, and the share of the whole; 0 for trips without length."""
     whole = Window.partitionBy("user_id", "trip_id")
-    run = legs(points).withColumn("along_km", F.sum(F.coalesce("leg_km", F.lit(0.0))).over(BY_TRIP.rowsBetween(Window.unboundedPreceding, 0)))
+    run = legs(points).withColumn("along_km", F.sum(F.coalesce("leg_km", F.lit(0.0))).over(by_trip().rowsBetween(Window.unboundedPreceding, 0)))
     total = F.max("along_km").over(whole)
     return run.withColumn("total_km", total).withColumn("position", F.when(F.col("total_km") > 0, F.col("along_km") / F.col("total_km")).otherwise(0.0))
 
 
 def trip_vectors(points: DataFrame, most: float = 0.1) -> DataFrame:
-    dx, dy = F.lead("lon").over(BY_TRIP) - F.col("lon"), F.lead("lat").over(BY_TRIP) - F.col("lat")
+    dx, dy = F.lead("lon").over(by_trip()) - F.col("lon"), F.lead("lat").over(by_trip()) - F.col("lat")
     return points.select("user_id", "trip_id", "ts", dx.alias("dx"), dy.alias("dy")).where(F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2) <= most)
 
 
 def trip_to_grids(points: DataFrame) -> DataFrame:
     """The cells a trip passes, without repeats in a row."""
     celled = points.withColumn("grid", grid_id(F.col("lon"), F.col("lat")))
-    return celled.withColumn("_before", F.lag("grid").over(BY_TRIP)).where("_before is null or grid <> _before").drop("_before")
+    return celled.withColumn("_before", F.lag("grid").over(by_trip())).where("_before is null or grid <> _before").drop("_before")
 
 
 def split_grid_runs(cells: DataFrame, w: int = 2, more_than: int = 5) -> DataFrame:
     """Splits cell sequences where the next cell is outside the neighbourhood; keeps runs of more cells than ``more_than``."""
-    near = F.array_contains(neighbour_grids(F.lag("grid").over(BY_TRIP), w), F.col("grid"))
+    near = F.array_contains(neighbour_grids(F.lag("grid").over(by_trip()), w), F.col("grid"))
     flagged = cells.withColumn("_far", F.coalesce(~near, F.lit(False))).withColumnRenamed("trip_id", "source_trip")
     return _numbered(flagged, F.col("_far"), more_than, ["user_id", "source_trip"]).drop("_far")
 

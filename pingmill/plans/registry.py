@@ -151,11 +151,11 @@ def trip_to_grids(s, d):
 
 
 @query(f"""WITH {CELLS}, f AS (SELECT *, lag(grid) OVER w AS b FROM cells WINDOW w AS (PARTITION BY user_id, trip_id ORDER BY ts, ping_id)),
-    x AS (SELECT *, coalesce(NOT list_contains(list_transform(range(25), lambda i: b + (i // 5 - 2) * 699 + i % 5 - 2), grid), false) AS far FROM f),
+    x AS (SELECT *, coalesce(NOT list_contains(list_transform(range(225), lambda i: b + (i // 15 - 7) * 699 + i % 15 - 7), grid), false) AS far FROM f),
     r AS (SELECT *, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, trip_id ORDER BY ts, ping_id) AS run FROM x), n AS (SELECT *, count(*) OVER (PARTITION BY user_id, trip_id, run) AS n FROM r)
     SELECT user_id, trip_id AS source_trip, ping_id, dense_rank() OVER (PARTITION BY user_id, trip_id ORDER BY run) AS trip_id FROM n WHERE n > 5""")
 def split_grid_runs(s, d):
-    return trips.split_grid_runs(trips.trip_to_grids(segmented(s, d))).select("user_id", "source_trip", "ping_id", "trip_id")
+    return trips.split_grid_runs(trips.trip_to_grids(segmented(s, d)), w=7).select("user_id", "source_trip", "ping_id", "trip_id")
 
 
 OD_CELLS = f"""{fx.D_ENDS}, c AS (SELECT user_id, trip_id, {GRID.format(lon='s_lon', lat='s_lat')} AS o_grid, {GRID.format(lon='t_lon', lat='t_lat')} AS d_grid FROM ends)"""
@@ -497,4 +497,4 @@ def home_from_stays(s, d):
 
 @query()
 def detect_routes(s, d):
-    return routes.detect_routes(segmented(s, d), samples=20)
+    return routes.detect_routes(segmented(s, d), samples=10)
