@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
     found = rows.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", F.desc("quality")).dropDuplicates(["doc_id"]).toArrow()
     y = found.column("quality").to_numpy().astype(float)
     ids = found.column("doc_id").to_pylist()
-    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), -1).astype(float)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), CONTENT + 2 * BUCKETS + 8).astype(float)
     calibrate = np.array([zlib.crc32(f"c{i}".encode()) % CALIBRATION == 0 for i in ids], bool) & (y >= 0)
     for rows in (calibrate, (y >= 0) & ~calibrate):
         if len(set(y[rows].tolist())) < 2:
