@@ -2,8 +2,8 @@
 
 A text is a sequence of binary decisions: a Huffman code walks to each word, or to an escape after which
 the word is spelt bit by bit. Each decision has several predictors, counts of 0 and 1 in tables that are
-addressed by a hash of a context: for words none, the word before, the two before; for letters two to
-four bytes before. Their log odds are summed with weights from the set that a gate
+addressed by a hash of a context: for words none, the word before, the two before, the one before that;
+for letters one to four bytes before. Their log odds are summed with weights from the set that a gate
 chooses by how often two of the contexts were seen. A last stage refines the mixture by how often such
 predictions came true. Base-10 logarithms of the decisions' probabilities add up to the text's score.
 
@@ -30,11 +30,11 @@ from pingmill.llm.words import commonest, slices, span_hashes, word_bounds
 
 #: Words with a code of their own; words whose counts are broadcast. Both lists are bounded.
 CODED, LISTED = 160_000, 160_000
-#: Slots of each predictor's table, as a power of two. Three tables of two counts are 24 MB.
+#: Slots of each predictor's table, as a power of two. Four tables of two counts are 32 MB.
 #: The first has a slot of its own for each node of the code, in its lower half.
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
-PREDICTORS = 3
+PREDICTORS = 4
 GATES = 32
 STEPS = 33
 #: Tokens whose decisions are handled at once.
@@ -143,7 +143,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray, code: Code) -> Tokens:
     first = np.append(True, doc[1:] != doc[:-1])
     one = np.where(first, np.uint64(1), np.roll(name, 1))
     two = np.where(first | np.roll(first, 1), np.uint64(1), np.roll(name, 2))
-    contexts = [np.zeros(len(name), np.uint64), one * _M1, (one * _M1 + two) * _M2]
+    contexts = [np.zeros(len(name), np.uint64), one * _M1, (one * _M1 + two) * _M2, two * _M2]
     other = (known < 0) | (known >= code.coded)
     return Tokens(doc, symbol, rank, [_folded(c, k, 0) for k, c in enumerate(contexts)], data, starts[other], stops[other], doc[word][other])
 
@@ -184,11 +184,10 @@ def decisions(t: Tokens, code: Code, window: int = WINDOW) -> Iterator[Decisions
         letters = t.data[np.minimum(np.repeat(begin, size) + place, len(t.data) - 1)]
         letters[last] = 32
         history, contexts = np.zeros(len(letters), np.uint64), []
-        for k in range(1, PREDICTORS + 2):
+        for k in range(1, PREDICTORS + 1):
             back = np.where(place >= k, np.roll(letters, k), 0).astype(np.uint64)
             history = history * np.uint64(257) + back + np.uint64(1)
-            if k > 1:
-                contexts.append(_folded(history * _M1, k, 1))
+            contexts.append(_folded(history * _M1, k, 1))
         for b in range(0, len(letters), 2 * window):
             x = letters[b : b + 2 * window].astype(np.uint64)
             shift = np.arange(8, dtype=np.uint64)
