@@ -57,7 +57,11 @@ def _rank(maps: Column, piece: Column) -> Column:
 
 
 def encode_word(word: Column, maps: Column) -> Column:
-    """The ids of a word as array<int>."""
+    """The ids of a word as array<int>. The literal occurs once: each copy in the plan would be read by every task."""
+    return _let(maps, lambda bound: _encode_word(word, bound))
+
+
+def _encode_word(word: Column, maps: Column) -> Column:
     pieces = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0))
 
     def ranks(parts: Column) -> Column:
