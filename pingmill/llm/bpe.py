@@ -1,10 +1,11 @@
 """Byte-level BPE by Spark higher-order functions.
 
-A word's bytes are an array of hex strings. A fold merges, step by step, the leftmost adjacent pair of
-the least rank, looked up in a literal map of ranks, until no pair has one. The map is cut into small
-maps by a checksum of the piece, because Spark searches a map from its front. The commonest words of the
-corpus are encoded once and broadcast; each document's other distinct words are folded in its own row,
-so no document is shuffled. Decoding looks the ids up again and concatenates their bytes.
+A word's bytes are an array of ids. A fold merges, step by step, the leftmost adjacent pair of the least
+rank, until no pair has one; it carries the pairs' ranks along and looks only the two new pairs up, in a
+literal map from pairs of ids to ranks. The map is cut into small maps by the pair's remainder, because
+Spark searches a map from its front. The vocabulary's own words and the commonest words of the corpus,
+encoded once, are broadcast; each document's other distinct words are folded in its own row, so no
+document is shuffled. Decoding looks the ids up again and concatenates their bytes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import base64
 import hashlib
 import heapq
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +28,10 @@ from pingmill.llm.words import commonest
 COMMON = 200_000
 #: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step.
 LONG = 96
-BUCKETS = 8192
+#: A prime number of maps, for about 100,000 pairs.
+BUCKETS = 32_749
+#: More than any id: a pair of ids is left * PAIR + right.
+PAIR = 1 << 20
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -39,12 +42,17 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """array<map<string, int>> literal: pieces in hex, in the map of their checksum."""
+    """Literal of the ids of the 256 bytes, and of maps from pairs of ids to the rank of their merge, by the pair's remainder."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                pair = left * PAIR + right
+                maps[pair % BUCKETS][str(pair)] = rank
+    literal = {"bytes": [ranks[bytes([b])] for b in range(256)], "pairs": maps}
+    kind = "struct<bytes: array<int>, pairs: array<map<{}, bigint>>>"
+    return F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))), kind.format("string")).cast(kind.format("bigint"))
 
 
 def _let(value: Column, use) -> Column:
@@ -52,40 +60,41 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _rank(maps: Column, piece: Column) -> Column:
-    return F.try_element_at(F.get(maps, (F.crc32(piece) % BUCKETS).cast("int")), piece)
+def _rank(maps: Column, left: Column, right: Column) -> Column:
+    """The rank, which is the id, of what two ids merge to; null if they don't."""
+    return _let(left * PAIR + right, lambda pair: F.try_element_at(F.get(maps["pairs"], F.pmod(pair, F.lit(BUCKETS)).cast("int")), pair))
 
 
 def encode_word(word: Column, maps: Column) -> Column:
-    """The ids of a word as array<int>. The literal occurs once: each copy in the plan would be read by every task."""
-    return _let(maps, lambda bound: _encode_word(word, bound))
-
-
-def _encode_word(word: Column, maps: Column) -> Column:
-    pieces = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit(".."), F.lit(0))
-
-    def ranks(parts: Column) -> Column:
-        return F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p, i: _rank(maps, F.concat(p, F.get(parts, i + 1))))
-
-    def merge(parts: Column, at: Column) -> Column:
-        return F.concat(F.slice(parts, 1, at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
+    """The ids of a word as array<int>, by merges alone. The literal occurs once: each copy in the plan would be read by every task."""
+    return _let(maps, lambda bound: _fold(word, bound))
+
+
+def _fold(word: Column, maps: Column) -> Column:
+    # one character a byte, between two ids that merge with nothing
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    edge = F.array(F.lit(-1).cast("long"))
+    ids = F.concat(edge, F.transform(letters, lambda x: F.get(maps["bytes"], F.ascii(x)).cast("long")), edge)
+
+    def start(parts: Column) -> Column:
+        ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: _rank(maps, F.get(parts, i), F.get(parts, i + 1)))
+        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+
+    def merge(state: Column, best: Column, at: Column) -> Column:
+        parts, ranks, n = state["parts"], state["ranks"], F.size(state["parts"])
+        beside = F.array(_rank(maps, F.get(parts, at - 2), best), _rank(maps, best, F.get(parts, at + 1)))
+        return F.struct(
+            F.concat(F.slice(parts, 1, at - 1), F.array(best), F.slice(parts, at + 2, n)).alias("parts"),
+            F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, n)).alias("ranks"),
+        )
 
     def step(state: Column, _: Column) -> Column:
-        parts = state["parts"]
-        merged = _let(
-            ranks(parts),
-            lambda r: _let(
-                F.array_min(r),
-                lambda best: F.when(best.isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(
-                    F.struct(_let(F.array_position(r, best).cast("int"), lambda at: merge(parts, at)).alias("parts"), F.lit(False).alias("done"))
-                ),
-            ),
-        )
-        return F.when(state["done"] | (F.size(parts) < 2), state).otherwise(merged)
+        # array_position would throw to return, which costs more than the rest of a step
+        least = F.array_min(F.transform(state["ranks"], lambda rank, i: rank * PAIR + i))
+        return _let(least, lambda x: F.when(x.isNull(), state).otherwise(merge(state, F.shiftright(x, PAIR.bit_length() - 1), x.bitwiseAND(PAIR - 1).cast("int") + 1)))
 
-    start = F.struct(pieces.alias("parts"), F.lit(False).alias("done"))
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces) - 1)), start, step, lambda s: F.transform(s["parts"], lambda p: _rank(maps, p)))
-    return _let(_rank(maps, F.hex(F.encode(word, "UTF-8"))), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+    folded = _let(ids, lambda parts: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 3)), start(parts), step, lambda s: s["parts"]))
+    return F.when(word == "", F.array().cast("array<int>")).otherwise(_let(folded, lambda parts: F.slice(parts, 2, F.size(parts) - 2).cast("array<int>")))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -116,6 +125,13 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
+def _decoded(piece: bytes) -> str | None:
+    try:
+        return piece.decode()
+    except UnicodeDecodeError:
+        return None
+
+
 def common_words(docs: DataFrame, pattern: str, limit: int = COMMON) -> DataFrame:
     """At most ``limit`` of the commonest words of the texts, with their counts over all documents."""
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
@@ -141,7 +157,12 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     top = common_words(docs, pattern, common).where(F.octet_length("word") <= LONG).select("word", encode_word(F.col("word"), maps).alias("ids"))
     found = top.toArrow()  # at most ``common`` short words
     encoded = [np.array(ids, "<u4").tobytes() for batch in found.column("ids").chunks for ids in batch.to_pylist()]
-    known = spark.sparkContext.broadcast(({w: k for k, w in enumerate(found.column("word").to_pylist())}, encoded))
+    number = {w: k for k, w in enumerate(found.column("word").to_pylist())}
+    for piece, rank in ranks.items():  # a word of the vocabulary is one token, whatever merges would give
+        if (w := _decoded(piece)) is not None:
+            number[w] = len(encoded)
+            encoded.append(rank.to_bytes(4, "little"))
+    known = spark.sparkContext.broadcast((number, encoded))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
