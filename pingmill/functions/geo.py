@@ -27,6 +27,13 @@ def grid_centre(grid: Column) -> tuple[Column, Column]:
     return GRID_LON + (F.floor(grid / GRID_ROWS) + 0.5) * CELL, GRID_LAT + (grid % GRID_ROWS + 0.5) * CELL
 
 
+def grid_bounds(lon: Column, lat: Column, cell: float = CELL) -> dict[str, Column]:
+    """Borders of a point's cell, reckoned in whole thousandths of a degree: digits after the third are cut before."""
+    width = round(cell * 1000)
+    low = {c: F.floor((x * 1000).cast("long") / width) * width for c, x in (("lon", lon), ("lat", lat))}
+    return {f"{side}_{c}": (low[c] + more) / 1000 for c in ("lon", "lat") for side, more in (("min", 0), ("max", width))}
+
+
 def neighbour_grids(grid: Column, w: int) -> Column:
     """The (2w + 1) squared cells around a cell, by column, then row."""
     steps = F.sequence(F.lit(-w), F.lit(w))

@@ -498,3 +498,59 @@ def home_from_stays(s, d):
 @query()
 def detect_routes(s, d):
     return routes.detect_routes(segmented(s, d), samples=10)
+
+
+# --- grid bounds, resampling, trip similarity, samples -------------------------------------------
+
+LOW = "CAST(floor(CAST(trunc({x} * 1000) AS BIGINT) / 2) * 2 AS DOUBLE)"
+
+
+@query(f"""WITH {fx.D_PINGS}, c AS (SELECT {LOW.format(x='lon')} AS x, {LOW.format(x='lat')} AS y FROM pings)
+    SELECT x / 1000 AS min_lon, (x + 2) / 1000 AS max_lon, y / 1000 AS min_lat, (y + 2) / 1000 AS max_lat, count(*) AS n FROM c GROUP BY x, y""")
+def grid_bounds(s, d):
+    bounds = geo.grid_bounds(F.col("lon"), F.col("lat"))
+    return fx.pings(s, d).groupBy(*(c.alias(n) for n, c in bounds.items())).agg(F.count(F.lit(1)).alias("n"))
+
+
+SAMPLES = 10
+RESAMPLED = f"""{fx.D_TRIPS}, seq AS (SELECT user_id, trip_id, lon, lat, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY user_id, trip_id) AS m FROM trips WINDOW w AS (PARTITION BY user_id, trip_id ORDER BY ts, ping_id)),
+    want AS (SELECT DISTINCT user_id, trip_id, m, k FROM seq CROSS JOIN range({SAMPLES}) AS r(k)), pos AS (SELECT *, k * ((m - 1) / {SAMPLES - 1}e0) AS x FROM want),
+    res AS (SELECT p.user_id, p.trip_id, p.k, CASE WHEN p.k = {SAMPLES - 1} THEN z.lon ELSE a.lon + (b.lon - a.lon) * (p.x - a.i) END AS lon, CASE WHEN p.k = {SAMPLES - 1} THEN z.lat ELSE a.lat + (b.lat - a.lat) * (p.x - a.i) END AS lat
+        FROM pos p JOIN seq a ON a.user_id = p.user_id AND a.trip_id = p.trip_id AND a.i = floor(p.x) JOIN seq z ON z.user_id = p.user_id AND z.trip_id = p.trip_id AND z.i = p.m - 1
+        LEFT JOIN seq b ON b.user_id = p.user_id AND b.trip_id = p.trip_id AND b.i = a.i + 1)"""
+
+
+@query(f"WITH {RESAMPLED} SELECT user_id, trip_id, k, round(lon, 6) AS lon, round(lat, 6) AS lat FROM res")
+def resample_linear(s, d):
+    return r6(routes.resample_linear(segmented(s, d), SAMPLES), "lon", "lat")
+
+
+@query(f"""WITH {RESAMPLED} SELECT a.user_id, a.trip_id AS trip_i, b.trip_id AS trip_j, round(1 / (avg(sqrt(pow(a.lon - b.lon, 2) + pow(a.lat - b.lat, 2)) / 3.33e0) + 1e-6), 4) AS similarity
+    FROM res a JOIN res b ON a.user_id = b.user_id AND a.k = b.k AND a.trip_id < b.trip_id GROUP BY ALL""")
+def similarity_aligned(s, d):
+    found = routes.similarity_aligned(routes.resample_linear(segmented(s, d), SAMPLES))
+    return found.withColumn("similarity", F.round("similarity", 4))
+
+
+@query()
+def agglomerate(s, d):
+    found = routes.similarity_aligned(routes.resample_linear(segmented(s, d), SAMPLES))
+    return routes.agglomerate(found.withColumn("dist", 1 / F.col("similarity")), 3)
+
+
+@query()
+def smooth_traces(s, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("user_id", "trip_id").orderBy("ts", "ping_id")
+    return r6(routes.smooth_traces(segmented(s, d).withColumn("k", F.row_number().over(order)), 20), "lon", "lat")
+
+
+@query()
+def weighted_sample(s, d):
+    return stats.weighted_sample(fx.profile(s, d).select("user_id", "income"), "income")
+
+
+@query()
+def perturb_income(s, d):
+    return stats.perturb_income(fx.profile(s, d).select("user_id", "income"), "income")
