@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingmill.functions.geo import grid_id, haversine_km, neighbour_grids
+from pingmill.functions.geo import GRID_ROWS, grid_id, haversine_km, neighbour_grids
 
 def by_user():
     return Window.partitionBy("user_id").orderBy("ts", "ping_id")
@@ -158,3 +158,41 @@ def split_grid_runs(cells: DataFrame, w: int = 2, more_than: int = 5) -> DataFra
 def od_grid_trips(points: DataFrame) -> DataFrame:
     ends = trip_ends(points)
     return ends.withColumn("o_grid", grid_id(F.col("s_lon"), F.col("s_lat"))).withColumn("d_grid", grid_id(F.col("t_lon"), F.col("t_lat")))
+
+
+def fill_grid_gaps(cells: DataFrame, fine: DataFrame, w: int = 2) -> DataFrame:
+    """(user_id, trip_id, seq, grid): cell sequences with their gaps filled from the user's high-resolution trips ``fine``.
+
+    A step to a cell outside the ``w`` neighbourhood is a gap. The first trip of ``fine`` by trip_id that
+    passes both its ends gives its cells from the one to before the other, none if it passes them the other
+    way round: at the ends themselves (first passage), else next to them, else two cells off (last passage).
+    Trips of less than three cells are not used. A gap that no trip fills keeps its far end. Both tables
+    are joined by user and cell, so no trip is held in an array.
+    """
+    place = lambda df: df.withColumn("pos", F.row_number().over(by_trip()) - 1)
+    steps = place(cells).withColumn("near", F.lag("grid").over(by_trip())).select("user_id", "trip_id", "pos", "near", "grid")
+    apart = ~F.array_contains(neighbour_grids(F.col("near"), w), F.col("grid"))
+    steps = steps.withColumn("gap", F.coalesce(apart, F.lit(False)))
+    whole = Window.partitionBy("user_id", "trip_id")
+    used = place(fine).select(
+        "user_id", F.col("trip_id").alias("by_trip"), F.col("pos").alias("at"), F.col("grid").alias("cell"),
+        F.min("grid").over(whole).alias("least"), F.max("grid").over(whole).alias("most"), F.count(F.lit(1)).over(whole).alias("n"),
+    ).where("n >= 3")
+    gaps = steps.where("gap").select("user_id", "trip_id", "pos", "near", "grid")
+    inside = (F.col("most") >= F.least("near", "grid") - (GRID_ROWS + 2)) & (F.col("least") <= F.greatest("near", "grid") + GRID_ROWS + 2)
+    around = [F.struct(F.lit(end).alias("end"), F.lit(max(abs(c), abs(r))).alias("level"), (F.col(col) + c * GRID_ROWS + r).alias("cell"))
+              for end, col in ((0, "near"), (1, "grid")) for c in range(-2, 3) for r in range(-2, 3)]
+    met = gaps.withColumn("a", F.explode(F.array(*around))).select("*", "a.*").drop("a").join(used, ["user_id", "cell"]).where(inside)
+
+    def passage(end: int, level: int):
+        pick = F.min if level == 0 else F.max
+        return pick(F.when((F.col("end") == end) & (F.col("level") <= level), F.col("at")))
+
+    ends = met.groupBy("user_id", "trip_id", "pos", "by_trip").agg(*(passage(e, k).alias(f"e{e}{k}") for e in (0, 1) for k in range(3)))
+    both = [F.when(F.col(f"e0{k}").isNotNull() & F.col(f"e1{k}").isNotNull(), F.struct(F.col(f"e0{k}").alias("first"), F.col(f"e1{k}").alias("stop"))) for k in range(3)]
+    first = ends.withColumn("span", F.coalesce(*both)).where("span is not null").groupBy("user_id", "trip_id", "pos").agg(F.min_by(F.struct("by_trip", "span.first", "span.stop"), "by_trip").alias("s"))
+    first = first.select("user_id", "trip_id", "pos", "s.*")
+    filled = first.join(used, ["user_id", "by_trip"]).where("at >= first and at < stop").select("user_id", "trip_id", "pos", "at", F.col("cell").alias("grid"))
+    kept = steps.join(first.select("user_id", "trip_id", "pos"), ["user_id", "trip_id", "pos"], "left_anti").select("user_id", "trip_id", "pos", F.lit(0).alias("at"), "grid")
+    order = Window.partitionBy("user_id", "trip_id").orderBy("pos", "at")
+    return kept.unionByName(filled).select("user_id", "trip_id", (F.row_number().over(order) - 1).alias("seq"), "grid")

@@ -554,3 +554,27 @@ def weighted_sample(s, d):
 @query()
 def perturb_income(s, d):
     return stats.perturb_income(fx.profile(s, d).select("user_id", "income"), "income")
+
+
+STEPS_OFF = "greatest(abs((({d}) + 699349) % 699 - 349), abs((({d}) - ((({d}) + 699349) % 699 - 349)) // 699))"
+
+
+@query(f"""WITH {CELLS}, leg AS (SELECT user_id, trip_id, {fx.haversine('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS km FROM trips WINDOW w AS (PARTITION BY user_id, trip_id ORDER BY ts, ping_id)),
+    fine AS (SELECT user_id, trip_id FROM leg GROUP BY ALL HAVING max(km) <= 1),
+    c AS (SELECT *, row_number() OVER w - 1 AS pos, lag(grid) OVER w AS near FROM cells WINDOW w AS (PARTITION BY user_id, trip_id ORDER BY ts, ping_id)),
+    h AS (SELECT *, min(grid) OVER (PARTITION BY user_id, trip_id) AS lo, max(grid) OVER (PARTITION BY user_id, trip_id) AS hi, count(*) OVER (PARTITION BY user_id, trip_id) AS n FROM c SEMI JOIN fine USING (user_id, trip_id)),
+    s AS (SELECT *, near IS NOT NULL AND {STEPS_OFF.format(d='near - grid')} > 2 AS gap FROM c ANTI JOIN fine USING (user_id, trip_id)),
+    m AS (SELECT s.user_id, s.trip_id, s.pos, h.trip_id AS t, h.pos AS at_, {STEPS_OFF.format(d='s.near - h.grid')} AS a, {STEPS_OFF.format(d='s.grid - h.grid')} AS b
+        FROM s JOIN h ON s.user_id = h.user_id AND s.gap AND h.n >= 3 AND h.hi >= least(s.near, s.grid) - 701 AND h.lo <= greatest(s.near, s.grid) + 701),
+    e AS (SELECT user_id, trip_id, pos, t, min(at_) FILTER (a = 0) AS a0, min(at_) FILTER (b = 0) AS b0, max(at_) FILTER (a <= 1) AS a1, max(at_) FILTER (b <= 1) AS b1, max(at_) FILTER (a <= 2) AS a2, max(at_) FILTER (b <= 2) AS b2 FROM m GROUP BY ALL),
+    p AS (SELECT *, CASE WHEN a0 + b0 >= 0 THEN a0 WHEN a1 + b1 >= 0 THEN a1 ELSE a2 END AS x, CASE WHEN a0 + b0 >= 0 THEN b0 WHEN a1 + b1 >= 0 THEN b1 ELSE b2 END AS y,
+        row_number() OVER (PARTITION BY user_id, trip_id, pos ORDER BY t) AS k FROM e WHERE a2 + b2 >= 0),
+    f AS (SELECT * FROM p WHERE k = 1),
+    u AS (SELECT user_id, trip_id, pos, 0 AS at_, grid FROM s ANTI JOIN f USING (user_id, trip_id, pos)
+        UNION ALL SELECT f.user_id, f.trip_id, f.pos, h.pos, h.grid FROM f JOIN h ON f.user_id = h.user_id AND f.t = h.trip_id AND h.pos >= f.x AND h.pos < f.y)
+    SELECT user_id, trip_id, row_number() OVER (PARTITION BY user_id, trip_id ORDER BY pos, at_) - 1 AS seq, grid FROM u""")
+def fill_grid_gaps(s, d):
+    points = segmented(s, d)
+    cells, fine = trips.trip_to_grids(points), routes.high_res_trips(points)
+    keys = ["user_id", "trip_id"]
+    return trips.fill_grid_gaps(cells.join(fine, keys, "left_anti"), cells.join(fine, keys, "left_semi"))

@@ -4,7 +4,10 @@ import os
 
 import pytest
 
-from pingmill.operators import behavior, od, places, spatial, trips
+from pyspark.sql import functions as F
+
+from pingmill.functions import geo
+from pingmill.operators import behavior, od, places, routes, spatial, trips
 from pingmill.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
@@ -43,6 +46,37 @@ def test_visits_merge_at_a_gap_of_exactly_an_hour(spark):
     assert sorted((r.start_ts, r.end_ts) for r in places.merge_visits(df, ["user_id"]).collect()) == [(0, 3800), (7401, 7500)]
 
 
+def test_gaps_are_filled_from_the_first_fine_trip_that_passes_both_ends(spark):
+    def cells(trips_):
+        rows = [(1, t, k, k, g) for t, grids in trips_.items() for k, g in enumerate(grids)]
+        return spark.createDataFrame(rows, "user_id long, trip_id long, ts long, ping_id long, grid int")
+
+    at = lambda column, row: column * 699 + row
+    line = [at(100 + k, 100) for k in range(9)]
+    fine = cells({1: line[:2], 2: line, 3: [at(100 + k, 300) for k in range(9)]})
+    coarse = cells({
+        10: [line[0], line[2], line[7]],  # a step of two is no gap
+        11: [at(100, 101), at(108, 99)],  # beside the line: last passage of either end
+        12: [line[7], line[1]],  # against the line: nothing is left of the gap
+        13: [at(500, 500), at(510, 500)],  # no trip passes
+    })
+    out = {}
+    for r in trips.fill_grid_gaps(coarse, fine).orderBy("trip_id", "seq").collect():
+        out.setdefault(r.trip_id, []).append(r.grid)
+    assert out == {10: [line[0], line[2], *line[2:7]], 11: [at(100, 101), *line[1:8]], 12: [line[7]], 13: [at(500, 500), at(510, 500)]}
+
+
+def test_grid_bounds_cut_after_the_third_digit(spark):
+    row = spark.createDataFrame([(-97.0309, 32.7589)], "lon double, lat double").select(*(c.alias(n) for n, c in geo.grid_bounds(F.col("lon"), F.col("lat")).items())).first()
+    assert row.asDict() == {"min_lon": -97.03, "max_lon": -97.028, "min_lat": 32.758, "max_lat": 32.76}
+
+
+def test_spline_keeps_a_straight_line_straight(spark):
+    df = spark.createDataFrame([(1, 1, k, k * 1.0, k * 2.0) for k in range(6)], "user_id long, trip_id long, k long, lon double, lat double")
+    out = routes.smooth_traces(df, 11).orderBy("k").collect()
+    assert [(round(r.lon, 9), round(r.lat, 9)) for r in out] == [(k / 2, float(k)) for k in range(11)]
+
+
 def test_zones_are_exact_and_half_open(spark):
     df = spark.createDataFrame([(1, -97.9, 32.05), (2, -97.85, 32.05), (3, -50.0, 32.05)], "id long, lon double, lat double")
     out = {r.id: r.zone_id for r in spatial.assign_zones(df, fixtures.zones(spark), keys=["id"]).collect()}
@@ -61,7 +95,7 @@ def test_eighty_trips_are_in_no_class(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["segment_trips", "vehicular_od", "od_matrix", "reliability", "compare_od", "dispersion_by_routes", "dominant_route", "split_grid_runs", "expand_od"])
+@pytest.mark.parametrize("name", ["segment_trips", "vehicular_od", "od_matrix", "reliability", "compare_od", "dispersion_by_routes", "dominant_route", "split_grid_runs", "expand_od", "grid_bounds", "resample_linear", "similarity_aligned", "fill_grid_gaps"])
 def test_query_matches_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
