@@ -70,7 +70,7 @@ def _numbered(points: DataFrame, breaks: Column, more_than: int, by: list[str])
     order = Window.partitionBy(*by).orderBy("ts", "ping_id")
     run = points.withColumn("_run", F.sum(F.when(breaks, 1).otherwise(0)).over(order))
     kept = run.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by, "_run"))).where(F.col("_n") > more_than)
-    return kept.withColumn("trip_id", F.dense_rank().over(Window.partitionBy(*by).orderBy("_run"))).drop("_run", "_n")
+    return kept.withColumn("trip_id", F.dense_rank().over(Window.partitionBy(*by).orderBy("_run")).cast("long")).drop("_run", "_n")
 
 
 def segment_trips(points: DataFrame, gap_h: float = 0.3, jump_km: float = 10, more_than: int = 5) -> DataFrame:
@@ -195,4 +195,4 @@ def fill_grid_gaps(cells: DataFrame, fine: DataFrame, w: int = 2) -> DataFrame:
     filled = first.join(used, ["user_id", "by_trip"]).where("at >= first and at < stop").select("user_id", "trip_id", "pos", "at", F.col("cell").alias("grid"))
     kept = steps.join(first.select("user_id", "trip_id", "pos"), ["user_id", "trip_id", "pos"], "left_anti").select("user_id", "trip_id", "pos", F.lit(0).alias("at"), "grid")
     order = Window.partitionBy("user_id", "trip_id").orderBy("pos", "at")
-    return kept.unionByName(filled).select("user_id", "trip_id", (F.row_number().over(order) - 1).alias("seq"), "grid")
+    return kept.unionByName(filled).select("user_id", "trip_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "grid")
