@@ -194,8 +194,8 @@ def shared_lines(placed: DataFrame) -> DataFrame:
     return pairs.select("row", "hashes", *same).mapInArrow(run, "row long, shared array<boolean>")
 
 
-def main_text(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars.
+def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
+    """One row per page: page_id, url, text, n_chars; ``separator`` stands between the blocks of a text.
 
     A null html counts as empty, and its text is empty. Pages whose url is null or has no host are
     neighbours of each other. Repeated rows each give a row. An empty table gives no rows; other
@@ -209,7 +209,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
     masks = shared_lines(neighbours(light))
-    text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), "\n")
+    text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), separator)
     bare = rows.where(~F.col("article")).join(masks, "row").withColumn("keep", F.zip_with("flags", "shared", lambda f, s: f & ~s))
     whole = rows.where("article").withColumn("keep", F.col("flags"))
     return whole.select("page_id", "url", text.alias("text")).union(bare.select("page_id", "url", text.alias("text"))).withColumn("n_chars", F.length("text").cast("long"))

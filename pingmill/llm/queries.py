@@ -54,7 +54,7 @@ def op9_deep_shallow_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_text(table(spark, sf_dir, "pages"))
+    return html_extract.main_text(table(spark, sf_dir, "pages"), separator="\n\n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
