@@ -3,8 +3,10 @@
 A page becomes a list of text lines, one per block, each marked by where it stands: inside the page's
 article, and inside boilerplate markup. Pages are ordered by (host, path), and each is aligned with the
 pages before and after it by a longest common subsequence of lines. What a neighbour shares is the
-site's and goes, except inside an article, where shared lines are quotations and copied articles.
-Pages with an article keep that alone; pages without one keep what is neither shared nor boilerplate.
+site's and goes, except inside an article, where shared lines are quotations and copied articles; there
+a shared line goes only if its markup is doubtful: a class or id that has a word of boilerplate among
+others. Pages with an article keep that alone; pages without one keep what is neither shared nor
+boilerplate.
 """
 
 from __future__ import annotations
@@ -36,38 +38,60 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LOOSE = frozenset("p li dd dt tr td th tbody thead tfoot option html".split())
 ARTICLE = frozenset(("article", "main"))
 OUTSIDE = frozenset("nav footer aside form head button menu dialog".split())
-#: Words of class and id names that mark boilerplate.
+#: Whole class, id and role names of boilerplate.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer"
     " masthead menu menubar nav navbar navigation newsletter notice notices popup promo promoted recommended related reply respond share"
-    " sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
+    " sharing sidebar social sponsor sponsored subscribe toolbar widget"
+    " ad-banner ad-container ad-slot comment-form comment-list comments-area comments-section cookie-banner cookie-consent cookie-notice"
+    " newsletter-signup reader-comments related-articles related-posts related-stories share-bar share-buttons sharing-buttons site-footer"
+    " site-header site-nav social-links social-media social-share user-comments".split()
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+#: Words that make any other name that has one of them doubtful.
+WORDS = frozenset(n for n in NAMES if "-" not in n)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CONCEALED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+#: What markup says of a block, by rising strength. Names do not count on what holds the body of an article.
+CLEAR, DOUBTFUL, NAMED, SURE = range(4)
 
 
-def _boilerplate(name: str, attributes: str, in_article: bool) -> bool:
+def _mark(name: str, attributes: str, in_article: bool) -> int:
     if name in OUTSIDE or name == "header" and not in_article:
-        return True
+        return SURE
     if not attributes or name in ARTICLE or name == "body":
-        return False
-    if HIDDEN.search(attributes):
-        return True
-    values = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
-    return bool(values) and not NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values).lower()))
-
-
-def lines(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, in the article, boilerplate) of each block that has text; references decoded, white space runs one space."""
-    out: list[tuple[str, bool, bool]] = []
+        return CLEAR
+    mark = CLEAR
+    for key, *values in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), "".join(values)
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and CONCEALED.search(value):
+            return SURE
+        if key in ("class", "id", "role") and name not in HEADINGS:
+            for token in value.split():
+                words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                if "-".join(w for w in words if w) in NAMES and not re.search(r"\d", token):
+                    mark = NAMED
+                elif not WORDS.isdisjoint(words):
+                    mark = max(mark, DOUBTFUL)
+    return mark
+
+
+def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
+    """(text, in the article, boilerplate, doubtful) of each block that has text; references decoded, white space runs one space."""
+    out: list[tuple[str, int, int, bool, int]] = []  # text, article, mark, heading, the outermost element of that mark by name
     buffer: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, in the article, boilerplate
+    stack: list[tuple[str, int, int, int]] = []  # name, article (0: none), mark, the outermost element marked by name
+    articles = elements = 0
+    heads: set[int] = set()  # elements marked by name that hold the main heading of their article
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
-            out.append((text, *(stack[-1][1:] if stack else (False, False))))
+            _, article, mark, element = stack[-1] if stack else ("", 0, CLEAR, 0)
+            if article and element and any(x[0] == "h1" for x in stack):
+                heads.add(element)
+            out.append((text, article, mark, any(x[0] in HEADINGS for x in stack), element))
 
     for m in TOKEN.finditer(page):
         name = m[3]
@@ -93,20 +117,40 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
                         break
             continue
         if name in LOOSE or name not in BLOCKS and not m[4]:
-            if not _boilerplate(name, m[4] or "", bool(stack) and stack[-1][1]):
+            if not _mark(name, m[4] or "", bool(stack) and stack[-1][1] > 0):
                 continue
             if name in LOOSE:  # a marked paragraph or item: it ends with its own end tag or its parent's
                 while stack and stack[-1][0] == name:
                     stack.pop()
         if name == "body":
             stack = [x for x in stack if x[0] != "head"]
-        inside, marked = stack[-1][1:] if stack else (False, False)
+        _, inside, mark, element = stack[-1] if stack else ("", 0, CLEAR, 0)
         if m[4].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        now = inside or name in ARTICLE
-        stack.append((name, now, marked or _boilerplate(name, m[4] or "", inside)))
+        if name in ARTICLE and not inside:
+            articles += 1
+            inside = articles
+            if mark < SURE:  # names of what is around an article say nothing of the article
+                mark, element = CLEAR, 0
+        own = _mark(name, m[4] or "", inside > 0)
+        if own == NAMED and mark < NAMED:
+            elements += 1
+            element = elements
+        stack.append((name, inside, max(mark, own), element))
     flush()
-    return out
+    return _judged(out, heads)
+
+
+def _judged(found: list[tuple[str, int, int, bool, int]], heads: set[int]) -> list[tuple[str, bool, bool, bool]]:
+    """Lines with names made doubtful where they would leave an article, or a page without one, nothing but headings."""
+    named = [mark == NAMED and element not in heads for _, _, mark, _, element in found]
+    has_article = any(article and mark < SURE for _, article, mark, _, _ in found)
+    region = [article if has_article else -1 for _, article, _, _, _ in found]
+    body = {r for r, n, (_, _, mark, heading, _) in zip(region, named, found, strict=True) if mark < SURE and not n and not heading}
+    return [
+        (text, article > 0, mark == SURE or n and r in body, CLEAR < mark < SURE)
+        for r, n, (text, article, mark, _, _) in zip(region, named, found, strict=True)
+    ]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
@@ -142,13 +186,14 @@ def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = "page_id long, url string, article boolean, texts array<string>, flags array<boolean>, hashes array<long>"
+PARSED = "page_id long, url string, compare boolean, texts array<string>, flags array<boolean>, doubts array<boolean>, hashes array<long>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, whether it has an article, its lines, which may stay, and the hashes of its lines.
+    """page_id, url, whether neighbours matter, its lines, which may stay, which go if shared, and the hashes of its lines.
 
     flags: in a page with an article, whether a line is in it and no boilerplate; else whether it is no boilerplate.
+    doubts: in a page with an article, whether a line stands in doubtful markup; else all lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +203,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                 found = lines(page.as_py() or "")
                 article = any(x[1] and not x[2] for x in found)
                 keep = [not x[2] and (x[1] or not article) for x in found]
-                out.append((page_id, url, article, [x[0] for x in found], keep, [_hash(x[0]) for x in found]))
-            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-            names = ["page_id", "url", "article", "texts", "flags", "hashes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], names=names)
+                doubts = [k and (x[3] or not article) for k, x in zip(keep, found, strict=True)]
+                out.append((page_id, url, any(doubts), [x[0] for x in found], keep, doubts, [_hash(x[0]) for x in found]))
+            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            names = ["page_id", "url", "compare", "texts", "flags", "doubts", "hashes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, PARSED)
 
@@ -172,11 +218,11 @@ def neighbours(light: DataFrame) -> DataFrame:
     placed = materialise(ordered.select("*", F.monotonically_increasing_id().alias("at")), "ordered").withColumn("part", F.shiftright("at", 33))
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     first = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return placed.join(first, "part").select("row", "host", "article", "hashes", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    return placed.join(first, "part").select("row", "host", "compare", "hashes", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
 
 
 def shared_lines(placed: DataFrame) -> DataFrame:
-    """(row, shared) of the pages without an article: which of its lines the page before or after it on its host has."""
+    """(row, shared) of the pages where neighbours matter: which of its lines the page before or after it on its host has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +235,7 @@ def shared_lines(placed: DataFrame) -> DataFrame:
     def beside(step: int, name: str) -> DataFrame:
         return placed.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
 
-    pairs = placed.where(~F.col("article")).join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
+    pairs = placed.where("compare").join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
     same = [F.when(F.col("host").eqNullSafe(F.col(f"{n}_host")), F.col(n)).alias(n) for n in ("before", "after")]
     return pairs.select("row", "hashes", *same).mapInArrow(run, "row long, shared array<boolean>")
 
@@ -204,12 +250,13 @@ def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
     rows = materialise(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
     url = F.coalesce("url", F.lit(""))
     light = rows.select(
-        "row", "article", "hashes",
+        "row", "compare", "hashes",
         F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
     masks = shared_lines(neighbours(light))
     text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), separator)
-    bare = rows.where(~F.col("article")).join(masks, "row").withColumn("keep", F.zip_with("flags", "shared", lambda f, s: f & ~s))
-    whole = rows.where("article").withColumn("keep", F.col("flags"))
-    return whole.select("page_id", "url", text.alias("text")).union(bare.select("page_id", "url", text.alias("text"))).withColumn("n_chars", F.length("text").cast("long"))
+    gone = F.zip_with("doubts", "shared", lambda d, s: d & s)
+    beside = rows.where("compare").join(masks, "row").withColumn("keep", F.zip_with("flags", gone, lambda f, g: f & ~g))
+    alone = rows.where(~F.col("compare")).withColumn("keep", F.col("flags"))
+    return alone.select("page_id", "url", text.alias("text")).union(beside.select("page_id", "url", text.alias("text"))).withColumn("n_chars", F.length("text").cast("long"))

@@ -14,3 +14,24 @@ def test_blocks_of_op10_are_joined_by_two_newlines(spark, tmp_path):
     spark.createDataFrame(rows, PAGE).write.parquet(str(tmp_path / "pages.parquet"))
     out = {r.page_id: (r.text, r.n_chars) for r in queries.op10_page_differencing(spark, str(tmp_path)).collect()}
     assert out == {0: ("Head\n\none\n\ntwo", 14), 1: ("alone", 5), 2: ("a\n\nb", 4)}
+
+
+def test_markup_of_articles_keeps_their_text(spark):
+    pages = [
+        "<article><h1>H</h1><p>a</p><h2 id='related-work'>Related work</h2><p>b</p></article>",
+        "<article><h1>H</h1><div class='overflow-hidden'><p>a</p></div><div data-hidden='no'>b</div></article>",
+        "<article><div class='content has-sidebar'><h1>H</h1><p>a</p></div></article>",
+        "<article><h1>H</h1><div class='widget'><p>a</p></div></article>",
+        "<div class='page sidebar'><main><h1>H</h1><p>a</p></main></div>",
+        "<article><h1>H</h1><p>a</p><div class='comments'>no</div><div hidden>no</div><p style='display: none'>no</p><div class='ad'>no</div></article>",
+        "<article><div class='notice'><h1>H</h1><p>a</p></div><p>b</p><div class='share'>no</div></article>",
+        "<div class='notice'>a</div><div class='x'><h1>H</h1></div>",
+    ]
+    out = texts(spark, [(k, f"http://h{k}.org/", f"<body>{p}</body>") for k, p in enumerate(pages)])
+    assert [out[k] for k in range(8)] == ["H\na\nRelated work\nb", "H\na\nb", "H\na", "H\na", "H\na", "H\na", "H\na\nb", "a\nH"]
+
+
+def test_doubtful_blocks_of_articles_go_if_a_neighbour_has_them(spark):
+    page = "<article><h1>H{0}</h1><p>quoted</p><div class='box-related'><p>read more</p><p>own {0}</p></div></article>"
+    out = texts(spark, [(k, f"http://a.b/{k}", page.format(k)) for k in range(2)])
+    assert out == {0: "H0\nquoted\nown 0", 1: "H1\nquoted\nown 1"}
