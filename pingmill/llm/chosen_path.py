@@ -38,10 +38,11 @@ BUCKET = 100
 #: Estimated similarity from which sets of a bucket go to one class: four deviations under the threshold.
 LOOSE = 0.6
 #: A large bucket is first compared with its centre, the commonest token of each slot over about
-#: ``CENTRE`` of its sets. Sets that agree with it in ``LOOSE`` of the slots go to one class. Those that
-#: agree in ``TIGHT`` are not split further: distances obey the triangle inequality, so whatever is
-#: within 0.2 of them is in the centre's class too.
+#: ``CENTRE`` of its sets. Those that agree with it in ``TIGHT`` of the slots are not split further. The
+#: slots in which signatures differ obey the triangle inequality, so a partner that agrees with such a
+#: set in ``LOOSE`` of the slots agrees with the centre in ``JOIN``; all that do go to the centre's class.
 CENTRE, TIGHT = 50, 0.82
+JOIN = TIGHT - (1 - LOOSE)
 BLOCK = 200
 #: Ids up to this number (8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -204,7 +205,7 @@ def loose_links(sets: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -
         if depth < DEEPEST:
             near = materialise(centred(big, sets), "near")
             paths = next_paths(near.where(F.col("agree") < TIGHT).join(sets, "rep"), chance)
-            big = near.where(F.col("agree") >= LOOSE)
+            big = near.where(F.col("agree") >= JOIN)
         # else these share as many tokens as the depth: one class, whose pairs are compared below
         least = big.groupBy("path").agg(F.min("rep").alias("dst"))
         found = found.union(big.join(least, "path").where("rep <> dst").select(F.col("rep").alias("src"), "dst"))

@@ -1,6 +1,11 @@
 """Places where an operator once did less than the whole job."""
 
-from pingmill.llm import html_extract, queries
+from collections import defaultdict
+
+import numpy as np
+
+from pingmill.llm import chosen_path, html_extract, queries
+from pingmill.operators.components import connected_components
 
 PAGE = "page_id long, url string, html string"
 
@@ -35,3 +40,28 @@ def test_doubtful_blocks_of_articles_go_if_a_neighbour_has_them(spark):
     page = "<article><h1>H{0}</h1><p>quoted</p><div class='box-related'><p>read more</p><p>own {0}</p></div></article>"
     out = texts(spark, [(k, f"http://a.b/{k}", page.format(k)) for k in range(2)])
     assert out == {0: "H0\nquoted\nown 0", 1: "H1\nquoted\nown 1"}
+
+
+def test_sets_that_stop_at_a_centre_meet_their_partners_there(spark):
+    """x agrees with the centre in 53 slots and stops; y agrees with x in 43, with the centre in 32 (0.5)."""
+    rng = np.random.default_rng(1)
+    centre = rng.integers(0, 2**32, 64, np.uint32)
+    rows, pairs = [], []
+    for k in range(300):
+        s = centre.copy()
+        s[k % 64] = k
+        rows.append((k, s.tobytes()))
+    for k in range(300, 700, 2):
+        order, x = rng.permutation(64), centre.copy()
+        x[order[:11]] = rng.integers(0, 2**32, 11, np.uint32)
+        y = x.copy()
+        y[order[11:32]] = rng.integers(0, 2**32, 21, np.uint32)
+        rows += [(k, x.tobytes()), (k + 1, y.tobytes())]
+        pairs.append((k, k + 1))
+    sets = spark.createDataFrame(rows, "rep long, signature binary").repartition(3)
+    buckets = defaultdict(set)
+    for r in chosen_path.first_paths(sets, chosen_path.runs_for(0.8), 1.25 / 64).collect():
+        buckets[r.path].add(r.rep)
+    met = [p for p in pairs if any(len(b) > chosen_path.BUCKET and set(p) <= b for b in buckets.values())]
+    label = {r.node: r.label for r in connected_components(chosen_path.loose_links(sets, 0.8)).collect()}
+    assert len(met) > 20 and all(x in label and label[x] == label.get(y) for x, y in met)
