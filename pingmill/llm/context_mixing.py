@@ -209,13 +209,18 @@ class Table(NamedTuple):
     seen: np.ndarray
 
 
+def read(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds and how often seen, of (n, 2) counts of any size."""
+    zeros, ones = (pairs[:, bit].astype(np.float32) for bit in (0, 1))
+    seen = _SEEN[np.minimum(zeros + ones, 1023).astype(np.int32)]
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), seen
+
+
 def table_of(counts: np.ndarray) -> Table:
     """counts: (PREDICTORS, SLOTS, 2)."""
     odds, seen = np.empty((PREDICTORS, SLOTS), np.float32), np.empty((PREDICTORS, SLOTS), np.uint8)
     for k in range(PREDICTORS):
-        zeros, ones = (counts[k, :, bit].astype(np.float32) for bit in (0, 1))
-        seen[k] = _SEEN[np.minimum(zeros + ones, 1023).astype(np.int32)]
-        odds[k] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+        odds[k], seen[k] = read(counts[k])
     return Table(odds, seen)
 
 
@@ -312,11 +317,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 PARTS = 64
 
 
-def learnt(docs: DataFrame, code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The predictors' counts, the mixing weights and the refinement, over all decisions of the texts.
+def packed(counts: np.ndarray) -> bytes:
+    """32-bit counts, compressed by byte planes: nearly all are small."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * size, "zstd", asbytes=True), np.uint8).reshape(4, size)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
-    Each task learns for itself. Parts of the tables are added up by Spark; weights are averaged by the
-    decisions behind them. What reaches the driver has a fixed size, however many texts there are.
+
+def learnt(docs: DataFrame, code) -> tuple[Table, np.ndarray, np.ndarray]:
+    """What the predictors' counts say, the mixing weights and the refinement, over all decisions of the texts.
+
+    Each task learns for itself. Parts of the tables are added up by Spark, whole counts of all tasks;
+    weights are averaged by the decisions behind them. What reaches the driver has a fixed size, however many texts there are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,9 +346,7 @@ def learnt(docs: DataFrame, code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own.count()
         many = own.came.sum(axis=(1, 2))
         cells = np.concatenate([(own.weights * many[:, None]).ravel(), many, own.came.ravel()])
-        parts = scaled(own.counts.reshape(-1, 2), 255).astype(np.uint8).reshape(PARTS, -1)
-        data = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in parts] + [cells.tobytes()]
-        for k, x in enumerate(data):
+        for k, x in enumerate([*map(packed, own.counts.reshape(PARTS, -1)), cells.tobytes()]):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["part", "data"])
 
     size = PREDICTORS * SLOTS * 2 // PARTS
@@ -342,34 +355,28 @@ def learnt(docs: DataFrame, code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data) if k == PARTS else np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint8).astype(np.int64)
+                x = np.frombuffer(data) if k == PARTS else unpacked(data, size)
                 sums[k] = sums.get(k, 0) + x
         for k, x in sums.items():
-            data = x.tobytes() if k == PARTS else pa.compress(scaled(x.reshape(-1, 2), 65535).astype("<u2").tobytes(), "zstd", asbytes=True)
+            data = x.tobytes() if k == PARTS else pa.compress(b"".join(y.tobytes() for y in read(x.reshape(-1, 2))), "zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
     kind = "part int, data binary"
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, kind).repartition(PARTS, "part").mapInArrow(add, kind)
-    counts, cells = np.zeros((PARTS, size), "<u2"), np.zeros(GATES * (PREDICTORS + 2) + GATES * STEPS * 2)
+    odds, seen = np.zeros((PARTS, size // 2), np.float32), np.zeros((PARTS, size // 2), np.uint8)
+    cells = np.zeros(GATES * (PREDICTORS + 2) + GATES * STEPS * 2)
     for k, data in zip(*found.toArrow().to_pydict().values(), strict=True):
         if k == PARTS:
             cells = np.frombuffer(data)
         else:
-            counts[k] = np.frombuffer(pa.decompress(data, size * 2, "zstd", asbytes=True), "<u2")
+            x = pa.decompress(data, size // 2 * 5, "zstd", asbytes=True)
+            odds[k], seen[k] = np.frombuffer(x, np.float32, size // 2), np.frombuffer(x, np.uint8, offset=size * 2)
     w, many, came = np.split(cells, [GATES * (PREDICTORS + 1), GATES * (PREDICTORS + 2)])
     weights = np.where(many[:, None] > 0, w.reshape(GATES, -1) / np.maximum(many, 1)[:, None], 0.3)
     came = came.reshape(GATES, STEPS, 2)
     centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-    return counts.reshape(PREDICTORS, SLOTS, 2), weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
-
-
-def scaled(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Pairs of counts in proportion, none over ``most`` and none lost."""
-    over = np.flatnonzero(np.maximum(pairs[:, 0], pairs[:, 1]) > most)
-    out = pairs.copy()
-    high = pairs[over]
-    out[over] = np.maximum(high * float(most) / high.max(axis=1, initial=1, keepdims=True), high > 0)
-    return out
+    table = Table(odds.reshape(PREDICTORS, SLOTS), seen.reshape(PREDICTORS, SLOTS))
+    return table, weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
 
 
 SCORED = "doc_id long, n_bytes long, n_tokens long, listed long, base double, score double, words array<binary>, counts array<int>"
@@ -397,7 +404,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     floor = math.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, weights, refined = table_of(model.value[0]), *model.value[1:]
+        table, weights, refined = model.value
         c, logs = code.value, np.log10(code.value.counts + 0.1)
         end = math.log10(ends + 0.1)
         for batch in batches:

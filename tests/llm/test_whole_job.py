@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 
-from pingmill.llm import chosen_path, html_extract, queries
+from pingmill.llm import chosen_path, context_mixing, html_extract, queries
 from pingmill.operators.components import connected_components
 
 PAGE = "page_id long, url string, html string"
@@ -65,3 +65,17 @@ def test_sets_that_stop_at_a_centre_meet_their_partners_there(spark):
     met = [p for p in pairs if any(len(b) > chosen_path.BUCKET and set(p) <= b for b in buckets.values())]
     label = {r.node: r.label for r in connected_components(chosen_path.loose_links(sets, 0.8)).collect()}
     assert len(met) > 20 and all(x in label and label[x] == label.get(y) for x, y in met)
+
+
+def test_counts_of_all_tasks_reach_the_model_whole(spark):
+    texts_ = ["a b"] * 2999 + ["a c"]
+    docs = spark.createDataFrame([(t,) for t in texts_], "text string").repartition(3)
+    code = context_mixing.code_of([b"a", b"b", b"c"], [3000, 2999, 1], 3000, 9000)
+    own = context_mixing.Learner()
+    data, offsets = np.frombuffer("".join(texts_).encode(), np.uint8), np.arange(0, 9001, 3)
+    for d in context_mixing.decisions(context_mixing.tokens(data, offsets, code), code):
+        own.see(d)
+    own.count()
+    want = context_mixing.table_of(own.counts.reshape(context_mixing.PREDICTORS, -1, 2))
+    table = context_mixing.learnt(docs, spark.sparkContext.broadcast(code))[0]
+    assert own.counts.max() > 255 * 3 and np.array_equal(table.odds, want.odds) and np.array_equal(table.seen, want.seen)
