@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length and salt that one task ranks, about.
 RANKED_ROWS = 50_000
+#: Steps of the search with backtracking.
+WORK = 20_000
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how many bins, and (length, number in each bin) from the longest
 
 
@@ -129,17 +132,92 @@ def _complete(counts: dict[int, int], capacity: int, allowed: int, choose) -> tu
     return plan, wasted, True
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 6) -> list[Pattern]:
+def _moves(counts: dict[int, int], capacity: int, work: list[int]) -> Iterator[Pattern]:
+    """All undominated bins around the longest piece left, each from as often as the pieces last down to once."""
+    lengths, own = sorted(counts, reverse=True), dict(counts)
+    first = lengths[0]
+    own[first] -= 1
+
+    def undominated() -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+        stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, capacity - first, ())]
+        while stack and work[0] > 0:
+            work[0] -= 1
+            at, left, items = stack.pop()
+            while at < len(lengths) and (lengths[at] > left or not own[lengths[at]]):
+                at += 1
+            if at < len(lengths) and left:
+                x = lengths[at]
+                stack += [(at + 1, left - n * x, (*items, (x, n)) if n else items) for n in range(min(own[x], left // x) + 1)]
+                continue
+            used = dict(items)
+            spare = [x for x in lengths if own[x] > used.get(x, 0)] if left else []
+            if not any(x <= left or any(y < x <= y + left for y in used) for x in spare):
+                yield left, items
+
+    found = undominated()
+    for _, items in chain(sorted(islice(found, 8), key=lambda f: f[0]), found):
+        bin_ = dict(items)
+        bin_[first] = bin_.get(first, 0) + 1
+        pattern = tuple(sorted(bin_.items(), reverse=True))
+        for times in range(min(counts[x] // n for x, n in pattern), 0, -1):
+            yield times, pattern
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], lower: int, work: int) -> list[Pattern]:
+    """Depth-first search with backtracking over (pattern, times); exact unless it ends after ``work`` steps."""
+    counts, bins, budget = dict(histogram), sum(times for times, _ in best), [work]
+    rest, used, plan = sum(x * n for x, n in counts.items()), 0, []
+    seen: dict[frozenset, int] = {}  # the fewest bins that led to what is left, for short histograms
+    stack = [_moves(counts, capacity, budget)]
+    while stack and budget[0] > 0:
+        budget[0] -= 1
+        move = next(stack[-1], None)
+        deeper = False
+        if move is None:
+            stack.pop()
+        else:
+            plan.append(move)
+            times, pattern = move
+            used += times
+            for x, n in pattern:
+                rest -= times * n * x
+                counts[x] -= times * n
+                if not counts[x]:
+                    del counts[x]
+            if not counts:
+                if used < bins:
+                    best, bins = list(plan), used
+                    if bins <= lower:
+                        break
+            elif used + max(-(-rest // capacity), sum(n for x, n in counts.items() if 2 * x > capacity)) < bins:
+                key = frozenset(counts.items()) if len(counts) <= 64 else None
+                deeper = key is None or seen.get(key, bins) > used
+                if deeper and key is not None:
+                    seen[key] = used
+        if deeper:
+            stack.append(_moves(counts, capacity, budget))
+        elif plan:
+            times, pattern = plan.pop()
+            used -= times
+            for x, n in pattern:
+                rest += times * n * x
+                counts[x] = counts.get(x, 0) + times * n
+    return best
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 6, work: int = WORK) -> list[Pattern]:
     """Patterns that hold every piece once, in as few bins as the search finds.
 
     The incumbent is a best-fit packing. Each branch prefers another rank among the undominated
     fillings of the first bins; it is cut when its waste exceeds what a packing with one bin less than
-    the incumbent has to spare. The search ends at the lower bound ``ceil(sum / capacity)``.
+    the incumbent has to spare. Then a search with backtracking goes through all undominated fillings,
+    for ``work`` steps at most. All end at the lower bound: ``ceil(sum / capacity)``, or the number of
+    pieces of over half the capacity.
     """
     if any(not 0 < x <= capacity for x in histogram):
         raise ValueError("a length must be from 1 to the capacity")
     total = sum(x * n for x, n in histogram.items())
-    lower = -(-total // capacity)
+    lower = max(-(-total // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
     best, _, _ = _complete(dict(histogram), capacity, capacity * (total + 1), _best_fit)
     for branch in range(branches):
         bins = sum(times for times, _ in best)
@@ -155,7 +233,7 @@ def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, branches:
         plan, _, whole = _complete(dict(histogram), capacity, (bins - 1) * capacity - total, choose)
         if whole and sum(times for times, _ in plan) < bins:
             best = plan
-    return best
+    return best if sum(times for times, _ in best) <= lower else _search(histogram, capacity, best, lower, work)
 
 
 def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:

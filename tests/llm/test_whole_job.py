@@ -1,10 +1,12 @@
 """Places where an operator once did less than the whole job."""
 
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 
-from pingmill.llm import chosen_path, context_mixing, html_extract, queries
+from pingmill.llm import chosen_path, context_mixing, html_extract, packing, queries
 from pingmill.operators.components import connected_components
 
 PAGE = "page_id long, url string, html string"
@@ -79,3 +81,44 @@ def test_counts_of_all_tasks_reach_the_model_whole(spark):
     want = context_mixing.table_of(own.counts.reshape(context_mixing.PREDICTORS, -1, 2))
     table = context_mixing.learnt(docs, spark.sparkContext.broadcast(code))[0]
     assert own.counts.max() > 255 * 3 and np.array_equal(table.odds, want.odds) and np.array_equal(table.seen, want.seen)
+
+
+def least_bins(lengths, capacity):
+    """By the fewest (bins, room used in the last) of each subset."""
+    full = (1 << len(lengths)) - 1
+
+    @cache
+    def least(left):
+        if not left:
+            return 0, capacity
+        options = []
+        for k, x in enumerate(lengths):
+            if left >> k & 1:
+                bins, last = least(left & ~(1 << k))
+                options.append((bins, last + x) if last + x <= capacity else (bins + 1, x))
+        return min(options)
+
+    return least(full)[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    rnd = random.Random(8)
+    for _ in range(150):
+        capacity = 100
+        lengths = [rnd.randint(26, 49) for _ in range(rnd.randint(6, 11))]
+        plan = packing.complete_bins(dict(Counter(lengths)), capacity)
+        packed = Counter()
+        for times, items in plan:
+            assert sum(x * n for x, n in items) <= capacity
+            packed.update({x: times * n for x, n in items})
+        assert packed == Counter(lengths) and sum(t for t, _ in plan) == least_bins(tuple(lengths), capacity)
+
+
+def test_bin_completion_finds_planted_triplets():
+    rnd = random.Random(9)
+    for _ in range(30):
+        lengths = Counter()
+        for _ in range(8):
+            a, b = rnd.randint(26, 36), rnd.randint(26, 36)
+            lengths.update([a, b, 100 - a - b])
+        assert sum(t for t, _ in packing.complete_bins(dict(lengths), 100)) == 8
