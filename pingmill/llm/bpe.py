@@ -1,11 +1,12 @@
 """Byte-level BPE by Spark higher-order functions.
 
-A word's bytes are an array of ids. A fold merges, step by step, the leftmost adjacent pair of the least
-rank, until no pair has one; it carries the pairs' ranks along and looks only the two new pairs up, in a
-literal map from pairs of ids to ranks. The map is cut into small maps by the pair's remainder, because
-Spark searches a map from its front. The vocabulary's own words and the commonest words of the corpus,
-encoded once, are broadcast; each document's other distinct words are folded in its own row, so no
-document is shuffled. Decoding looks the ids up again and concatenates their bytes.
+A word's bytes are a string of token characters, one a token, beside a string of the characters that each
+adjacent pair merges to. As a merge's rank is its token's id, the least character is the next merge: a
+fold merges, step by step, the leftmost pair of the least rank, and looks only the two new pairs up, in a
+literal table from pairs to merged tokens. Spark splits each text into words with the pattern. The
+vocabulary's own words and the commonest words of the corpus, encoded once, are broadcast; the other
+words are folded once for each block of documents, where they are, so no document is shuffled. Decoding
+concatenates the binary pieces of a word's ids, and the words' bytes make the text again.
 """
 
 from __future__ import annotations
@@ -13,25 +14,29 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import json
+import io
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pingmill.functions.storage import materialise
 from pingmill.llm.words import commonest
 
-#: Words that are encoded once and broadcast, with their ids about 30 MB.
-COMMON = 200_000
-#: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step.
-LONG = 96
-#: A prime number of maps, for about 100,000 pairs.
-BUCKETS = 32_749
-#: More than any id: a pair of ids is left * PAIR + right.
-PAIR = 1 << 20
+#: Words that are encoded once and broadcast, with their ids about 20 MB.
+COMMON = 600_000
+#: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step, so its time grows with the square.
+LONG = 256
+#: Words of a block of documents; a longer text is a block of its own.
+BLOCK = 1 << 20
+#: Buckets of the table of about 100,000 pairs.
+BUCKETS = 1 << 16
+#: Characters that no token has: a pair that merges with nothing, the end of a word, and separators of the table.
+NONE, EDGE, ENTRY, BUCKET = (chr(0x10FFFF - k) for k in range(4))
 
 
 def load_ranks(path: str | None = None) -> dict[bytes, int]:
@@ -41,18 +46,27 @@ def load_ranks(path: str | None = None) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """Literal of the ids of the 256 bytes, and of maps from pairs of ids to the rank of their merge, by the pair's remainder."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+def character(token: int) -> str:
+    """Characters follow the ids, without the surrogates."""
+    return chr(token + 1 if token + 1 < 0xD800 else token + 0x801)
+
+
+def pair_table(ranks: dict[bytes, int]) -> Column:
+    """Literal array of buckets by the pair's CRC-32: (separator, left, right, merged) of each pair in a string."""
+    buckets = [""] * BUCKETS
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                pair = left * PAIR + right
-                maps[pair % BUCKETS][str(pair)] = rank
-    literal = {"bytes": [ranks[bytes([b])] for b in range(256)], "pairs": maps}
-    kind = "struct<bytes: array<int>, pairs: array<map<{}, bigint>>>"
-    return F.from_json(F.lit(json.dumps(literal, separators=(",", ":"))), kind.format("string")).cast(kind.format("bigint"))
+                pair = character(left) + character(right)
+                buckets[zlib.crc32(pair.encode()) % BUCKETS] += ENTRY + pair + character(rank)
+    return F.split(F.lit(BUCKET.join(buckets)), BUCKET)
+
+
+def pieces_of(ranks: dict[bytes, int]) -> Column:
+    """Literal array of the bytes of each id, in hexadecimal; binary ones would be made anew for each row."""
+    by_id = {rank: piece.hex() for piece, rank in ranks.items()}
+    return F.split(F.lit(",".join(by_id.get(k, "") for k in range(max(by_id) + 1))), ",")
 
 
 def _let(value: Column, use) -> Column:
@@ -60,41 +74,55 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _rank(maps: Column, left: Column, right: Column) -> Column:
-    """The rank, which is the id, of what two ids merge to; null if they don't."""
-    return _let(left * PAIR + right, lambda pair: F.try_element_at(F.get(maps["pairs"], F.pmod(pair, F.lit(BUCKETS)).cast("int")), pair))
+def _merged(table: Column, pair: Column) -> Column:
+    """The token that a pair of tokens merges to, or NONE."""
+
+    def found(bucket: Column, entry: Column) -> Column:
+        return _let(F.instr(bucket, entry), lambda at: F.when(at > 0, F.substring(bucket, at + 3, F.lit(1))).otherwise(NONE))
+
+    bucket = F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int"))
+    return _let(bucket, lambda b: found(b, F.concat(F.lit(ENTRY), pair)))
+
 
+def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids of each of an array of words, by merges alone. The literals occur once: each copy in the plan would be read by every task."""
+    letters = "".join(map(chr, range(256))), "".join(character(ranks[bytes([b])]) for b in range(256))
+    return _let(pair_table(ranks), lambda table: F.transform(words, lambda w: _ids(_fold(F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), *letters), table))))
 
-def encode_word(word: Column, maps: Column) -> Column:
-    """The ids of a word as array<int>, by merges alone. The literal occurs once: each copy in the plan would be read by every task."""
-    return _let(maps, lambda bound: _fold(word, bound))
 
+def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The bytes of each of an array of arrays of ids."""
+    return _let(pieces_of(ranks), lambda pieces: F.transform(ids, lambda own: F.unhex(F.array_join(F.transform(own, lambda k: F.get(pieces, k)), ""))))
 
-def _fold(word: Column, maps: Column) -> Column:
-    # one character a byte, between two ids that merge with nothing
-    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    edge = F.array(F.lit(-1).cast("long"))
-    ids = F.concat(edge, F.transform(letters, lambda x: F.get(maps["bytes"], F.ascii(x)).cast("long")), edge)
 
-    def start(parts: Column) -> Column:
-        ranks = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), lambda i: _rank(maps, F.get(parts, i), F.get(parts, i + 1)))
-        return F.struct(parts.alias("parts"), ranks.alias("ranks"))
+def _ids(tokens: Column) -> Column:
+    number = F.transform(F.split(tokens, ""), F.ascii)
+    return F.when(tokens == "", F.array().cast("array<int>")).otherwise(F.transform(number, lambda c: c - F.when(c < 0xD800, 1).otherwise(0x801)))
+
+
+def _fold(letters: Column, table: Column) -> Column:
+    rest, one = F.lit(1 << 30), F.lit(1)
+
+    def start(tokens: Column) -> Column:
+        pairs = F.transform(F.sequence(one, F.length(tokens) - 1), lambda i: _merged(table, F.substring(tokens, i, F.lit(2))))
+        return F.struct(tokens.alias("tokens"), F.array_join(pairs, "").alias("merged"))
 
     def merge(state: Column, best: Column, at: Column) -> Column:
-        parts, ranks, n = state["parts"], state["ranks"], F.size(state["parts"])
-        beside = F.array(_rank(maps, F.get(parts, at - 2), best), _rank(maps, best, F.get(parts, at + 1)))
+        tokens, merged = state["tokens"], state["merged"]
+        before = _merged(table, F.concat(F.substring(tokens, at - 1, one), best))
+        after = _merged(table, F.concat(best, F.substring(tokens, at + 2, one)))
         return F.struct(
-            F.concat(F.slice(parts, 1, at - 1), F.array(best), F.slice(parts, at + 2, n)).alias("parts"),
-            F.concat(F.slice(ranks, 1, at - 2), beside, F.slice(ranks, at + 2, n)).alias("ranks"),
+            F.concat(F.substring(tokens, one, at - 1), best, F.substring(tokens, at + 2, rest)).alias("tokens"),
+            F.concat(F.substring(merged, one, at - 2), before, after, F.substring(merged, at + 2, rest)).alias("merged"),
         )
 
     def step(state: Column, _: Column) -> Column:
-        # array_position would throw to return, which costs more than the rest of a step
-        least = F.array_min(F.transform(state["ranks"], lambda rank, i: rank * PAIR + i))
-        return _let(least, lambda x: F.when(x.isNull(), state).otherwise(merge(state, F.shiftright(x, PAIR.bit_length() - 1), x.bitwiseAND(PAIR - 1).cast("int") + 1)))
+        least = F.array_min(F.split(state["merged"], ""))
+        return _let(least, lambda x: F.when(x == NONE, state).otherwise(_let(F.instr(state["merged"], x), lambda at: merge(state, x, at))))
 
-    folded = _let(ids, lambda parts: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 3)), start(parts), step, lambda s: s["parts"]))
-    return F.when(word == "", F.array().cast("array<int>")).otherwise(_let(folded, lambda parts: F.slice(parts, 2, F.size(parts) - 2).cast("array<int>")))
+    bounded = F.concat(F.lit(EDGE), letters, F.lit(EDGE))
+    folded = _let(bounded, lambda tokens: F.aggregate(F.sequence(one, F.greatest(one, F.length(tokens) - 3)), start(tokens), step, lambda s: s["tokens"]))
+    return _let(folded, lambda tokens: F.substring(tokens, F.lit(2), F.length(tokens) - 2))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -125,20 +153,54 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _decoded(piece: bytes) -> str | None:
-    try:
-        return piece.decode()
-    except UnicodeDecodeError:
-        return None
-
-
-def common_words(docs: DataFrame, pattern: str, limit: int = COMMON) -> DataFrame:
+def common_words(split: Column, docs: DataFrame, limit: int = COMMON) -> DataFrame:
     """At most ``limit`` of the commonest words of the texts, with their counts over all documents."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?U){pattern}"), F.lit(0))
-    counts = docs.select(F.explode(found).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode(split).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return commonest(materialise(counts.where("n > 1"), "words"), limit)
 
 
+def _binary(ids: pa.ListArray) -> pa.BinaryArray:
+    """Lists of ids as little-endian unsigned 32-bit integers."""
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy())).astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+
+
+class Known:
+    """Encoded words as Arrow columns: word, ids, decoded. A word's number is its place."""
+
+    def __init__(self, found: pa.Table, ranks: dict[bytes, int]):
+        own = [(piece, rank) for piece, rank in ranks.items() if _utf8(piece)]  # one token, whatever merges would give
+        vocabulary = pa.table({"word": pa.array([p.decode() for p, _ in own], pa.string()), "ids": pa.array([r.to_bytes(4, "little") for _, r in own], pa.binary()), "decoded": pa.array([p for p, _ in own], pa.binary())})
+        found = found.combine_chunks()
+        lists = found.column("ids").combine_chunks() if len(found) else pa.array([], pa.list_(pa.int32()))
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        common = pa.table({"word": found.column("word").cast(pa.string()), "ids": _binary(lists), "decoded": found.column("decoded").cast(pa.binary())})
+        common = common.filter(pc.invert(pc.is_in(common.column("word"), vocabulary.column("word"))))
+        self.table = pa.concat_tables([vocabulary, common]).combine_chunks()
+
+    def __getstate__(self) -> bytes:
+        out = io.BytesIO()
+        with pa.ipc.new_stream(out, self.table.schema) as stream:
+            stream.write_table(self.table)
+        return out.getvalue()
+
+    def __setstate__(self, data: bytes) -> None:
+        with pa.ipc.open_stream(data) as stream:
+            self.table = stream.read_all().combine_chunks()
+
+    def column(self, name: str) -> pa.Array:
+        return self.table.column(name).chunk(0)
+
+
+def _utf8(piece: bytes) -> bool:
+    try:
+        return bool(piece.decode())
+    except UnicodeDecodeError:
+        return False
+
+
+BLOCKS = "doc_ids binary, known_ids binary, sizes binary, codes binary, words array<string>, longs array<array<int>>"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -146,63 +208,79 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, little-endian, if asked for).
 
     ``ranks_path``: a rank file; ``pattern``: what splits texts into words. Null and empty texts have no
-    tokens. Repeated rows each give a row. An empty table gives no rows; other columns are not read.
+    tokens; a null doc_id stays null. Repeated rows each give a row. An empty table gives no rows; other
+    columns are not read. Texts with characters that the JVM's Unicode does not know are split in Python,
+    whose tables are newer.
     """
     import public_tokenizers
 
     pattern = pattern or public_tokenizers.PATTERN
     ranks = load_ranks(ranks_path)
-    maps = rank_map(ranks)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = F.regexp_extract_all(text, F.lit(f"(?U){pattern}"), F.lit(0))
     spark = docs.sparkSession
-    top = common_words(docs, pattern, common).where(F.octet_length("word") <= LONG).select("word", encode_word(F.col("word"), maps).alias("ids"))
-    found = top.toArrow()  # at most ``common`` short words
-    encoded = [np.array(ids, "<u4").tobytes() for batch in found.column("ids").chunks for ids in batch.to_pylist()]
-    number = {w: k for k, w in enumerate(found.column("word").to_pylist())}
-    for piece, rank in ranks.items():  # a word of the vocabulary is one token, whatever merges would give
-        if (w := _decoded(piece)) is not None:
-            number[w] = len(encoded)
-            encoded.append(rank.to_bytes(4, "little"))
-    known = spark.sparkContext.broadcast((number, encoded))
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = common_words(split, docs, common).where(F.octet_length("word") <= LONG).select("word", encode_words(F.array("word"), ranks).alias("one"))
+    top = top.select("word", F.col("one")[0].alias("ids"), decode_words(F.col("one"), ranks)[0].alias("decoded"))
+    known = spark.sparkContext.broadcast(Known(top.toArrow(), ranks))  # at most ``common`` short words
+
+    def block(ids: pa.Array, words: pa.ListArray, find, own: dict[bytes, int]) -> pa.RecordBatch:
+        sizes = words.value_lengths().to_numpy(zero_copy_only=False)
+        coded = words.flatten().dictionary_encode()
+        number = pc.fill_null(pc.index_in(coded.dictionary, known.value.column("word")), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        number[new] = len(known.value.table) + np.arange(len(new))
+        rest = coded.dictionary.take(pa.array(new))
+        longs: list[list[int] | None] = [None] * len(rest)
+        for k in np.flatnonzero(pc.binary_length(rest).to_numpy(zero_copy_only=False) > LONG).tolist():
+            own.update({} if own else load_ranks(ranks_path))
+            longs[k] = merge_long(rest[k].as_py().encode(), own)
+        rest = pc.if_else(pa.array([x is None for x in longs], pa.bool_()), rest, "")
+        codes = number[coded.indices.to_numpy(zero_copy_only=False)].astype("<i4")
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        columns = [pa.array([x.tobytes()], pa.binary()) for x in (ids.fill_null(0).to_numpy(zero_copy_only=False), valid, sizes.astype("<i8"), codes)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([rest.to_pylist()], pa.list_(pa.string())), pa.array([longs], pa.list_(pa.list_(pa.int32())))], names=["doc_ids", "known_ids", "sizes", "codes", "words", "longs"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        number, find = known.value[0], regex.compile(pattern).findall
-        ranks: dict[bytes, int] = {}
+        find, own = regex.compile(pattern).findall, {}
         for batch in batches:
-            codes, others, longs = [], [], []
-            for text in batch.column(1):
-                own: dict[str, int] = {}
-                code = [number[w] if w in number else own.setdefault(w, -1 - len(own)) for w in find(text.as_py() or "")]
-                codes.append(np.array(code, np.int32).tobytes())
-                encoded = [None] * len(own)
-                for k, w in enumerate(own):
-                    if len(w) > LONG // 4 and len(raw := w.encode()) > LONG:
-                        ranks = ranks or load_ranks(ranks_path)
-                        encoded[k] = merge_long(raw, ranks)
-                others.append([w if e is None else "" for w, e in zip(own, encoded, strict=True)])
-                longs.append(encoded)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(codes, pa.binary()), pa.array(others, pa.list_(pa.string())), pa.array(longs, pa.list_(pa.list_(pa.int32())))],
-                names=["doc_id", "codes", "words", "longs"],
-            )
+            words, odd = batch.column(1), batch.column(2)
+            if odd.null_count < len(odd):
+                lists = words.to_pylist()
+                words = pa.array([w if t is None else find(t) for w, t in zip(lists, odd.to_pylist(), strict=True)], pa.list_(pa.string()))
+            ends, a = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)), 0
+            while a < len(ends):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
+                yield block(batch.column(0)[a:b], words[a:b], find, own)
+                a = b
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = {rank: piece for piece, rank in load_ranks(ranks_path).items()}
         for batch in batches:
-            out = []
-            for doc_id, codes, ids in zip(*(batch.column(k) for k in range(3)), strict=True):
-                own, lists = known.value[1], ids.values
-                bounds = lists.offsets.to_numpy() if lists is not None and len(lists) else np.zeros(1, np.int32)
-                flat = lists.values.to_numpy() if lists is not None and len(lists) else np.zeros(0, np.int32)
-                rest = [flat[a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                data = b"".join([own[c] if c >= 0 else rest[-1 - c] for c in np.frombuffer(codes.as_py(), np.int32).tolist()])
-                text = b"".join(map(pieces.__getitem__, np.frombuffer(data, "<u4").tolist()))
-                out.append((doc_id.as_py(), len(data) // 4, hashlib.sha256(data).hexdigest(), hashlib.sha256(text).hexdigest(), data if with_ids else None))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split, "doc_id long, codes binary, words array<string>, longs array<array<int>>")
-    ids = F.zip_with("words", "longs", lambda w, given: F.when(given.isNotNull(), given).otherwise(encode_word(w, maps)))
-    out = found.select("doc_id", "codes", ids.alias("ids")).mapInArrow(join, f"{RESULT}, ids binary")
+            for k in range(batch.num_rows):
+                ids, valid, sizes, codes = (np.frombuffer(batch.column(c)[k].as_py(), t) for c, t in enumerate(("<i8", "?", "<i8", "<i4")))
+                own, decoded = batch.column(4)[k].values, batch.column(5)[k].values
+                ends = np.append(0, np.cumsum(sizes))
+
+                def texts(name: str, rest: pa.Array) -> list[memoryview]:
+                    found = pa.concat_arrays([known.value.column(name).cast(pa.large_binary()), rest.cast(pa.large_binary())]).take(pa.array(codes))
+                    at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[ends].tolist()
+                    data = memoryview(found.buffers()[2] or b"")
+                    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+                encoded = texts("ids", _binary(own))
+                sha = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (encoded, texts("decoded", decoded))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids, mask=~valid), pa.array([len(x) // 4 for x in encoded], pa.int64()), *(pa.array(s, pa.string()) for s in sha),
+                        pa.array([bytes(x) if with_ids else None for x in encoded], pa.binary()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
+                )
+
+    odd = F.when(text.rlike(r"\p{Cn}"), text)
+    found = docs.select(F.col("doc_id").cast("long"), F.when(odd.isNull(), split).otherwise(F.array().cast("array<string>")).alias("words"), odd.alias("odd")).mapInArrow(blocks, BLOCKS)
+    ids = F.zip_with(encode_words(F.col("words"), ranks), F.col("longs"), lambda own, given: F.coalesce(given, own))
+    encoded = found.select("doc_ids", "known_ids", "sizes", "codes", ids.alias("ids"))
+    out = encoded.select("*", decode_words(F.col("ids"), ranks).alias("decoded")).mapInArrow(join, f"{RESULT}, ids binary")
     return out if with_ids else out.drop("ids")
