@@ -31,8 +31,8 @@ from pingmill.llm.words import commonest
 COMMON = 600_000
 #: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step, so its time grows with the square.
 LONG = 256
-#: Words of a block of documents; a longer text is a block of its own.
-BLOCK = 1 << 20
+#: Words of a block of documents, about; each word of a block is folded once. A longer text is in a block of its own.
+BLOCK = 1 << 22
 #: Buckets of the table of about 100,000 pairs.
 BUCKETS = 1 << 16
 #: Characters that no token has: a pair that merges with nothing, the end of a word, and separators of the table.
@@ -223,7 +223,7 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
     top = top.select("word", F.col("one")[0].alias("ids"), decode_words(F.col("one"), ranks)[0].alias("decoded"))
     known = spark.sparkContext.broadcast(Known(top.toArrow(), ranks))  # at most ``common`` short words
 
-    def block(ids: pa.Array, words: pa.ListArray, find, own: dict[bytes, int]) -> pa.RecordBatch:
+    def block(ids: pa.Array, words: pa.ListArray, own: dict[bytes, int]) -> pa.RecordBatch:
         sizes = words.value_lengths().to_numpy(zero_copy_only=False)
         coded = words.flatten().dictionary_encode()
         number = pc.fill_null(pc.index_in(coded.dictionary, known.value.column("word")), -1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -244,6 +244,11 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
         import regex
 
         find, own = regex.compile(pattern).findall, {}
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            return block(pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), own)
+
         for batch in batches:
             words, odd = batch.column(1), batch.column(2)
             if odd.null_count < len(odd):
@@ -251,9 +256,16 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                 words = pa.array([w if t is None else find(t) for w, t in zip(lists, odd.to_pylist(), strict=True)], pa.list_(pa.string()))
             ends, a = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False)), 0
             while a < len(ends):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK, "right")))
-                yield block(batch.column(0)[a:b], words[a:b], find, own)
+                before = ends[a - 1] if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+                if held and size + ends[b - 1] - before > BLOCK:
+                    yield out()
+                    held, size = [], 0
+                held.append((batch.column(0)[a:b], words[a:b]))
+                size += ends[b - 1] - before
                 a = b
+        if held:
+            yield out()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +290,7 @@ def encode_decode(docs: DataFrame, ranks_path: str | None = None, pattern: str |
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"],
                 )
 
-    odd = F.when(text.rlike(r"\p{Cn}"), text)
+    odd = F.when((F.octet_length(text) > F.length(text)) & text.rlike(r"\p{Cn}"), text)
     found = docs.select(F.col("doc_id").cast("long"), F.when(odd.isNull(), split).otherwise(F.array().cast("array<string>")).alias("words"), odd.alias("odd")).mapInArrow(blocks, BLOCKS)
     ids = F.zip_with(encode_words(F.col("words"), ranks), F.col("longs"), lambda own, given: F.coalesce(given, own))
     encoded = found.select("doc_ids", "known_ids", "sizes", "codes", ids.alias("ids"))
