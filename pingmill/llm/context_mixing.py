@@ -7,9 +7,10 @@ for letters one to four bytes before. Their log odds are summed with weights fro
 chooses by how often two of the contexts were seen. A last stage refines the mixture by how often such
 predictions came true. Base-10 logarithms of the decisions' probabilities add up to the text's score.
 
-Two passes over all training documents: word counts, and the tables with the weights and the refinement.
-In the second each task predicts its decisions from what it has counted so far, learns from the errors,
-and then counts them.
+Three passes over training documents: word counts; the tables' counts, over all but a share of them; and
+over that share, mixing weights and refinement, learnt online from what the tables predict of texts that
+they have not counted. Then the share is counted too. Counts are added up whole, and the share is dealt
+to streams by a hash of its rows, each read in a fixed order, so scores do not depend on partitions.
 """
 
 from __future__ import annotations
@@ -42,8 +43,15 @@ WINDOW = 16_000
 END = b" "
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _N1, _N2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
-#: Decisions that a task keeps before it counts them. What it predicts from is renewed at this many and at each doubling.
+#: Decisions that a task keeps before it counts them.
 FLUSH = 1 << 22
+#: One training document in this many teaches the weights. Rows of the share in a stream, about; tokens between two steps of the weights.
+SHARE, STREAM, STEP = 16, 2_000, 1_000
+#: Log odds are kept in steps of a thousandth or so: 14 bits, beside two for how often they were seen.
+ODDS = ((np.arange(1 << 16) >> 2) - 8192).astype(np.float32) * np.float32(10.2 / 8192)
+#: Steps of the mixture for each unit of log odds, from -12 to 12, at which probabilities are worked out.
+FINE = 32
+LEVELS = 24 * FINE + 1
 
 
 def training(doc_id: Column) -> Column:
@@ -203,34 +211,40 @@ _SEEN = np.searchsorted([1, 3, 12], np.arange(1024), "right").astype(np.uint8)
 
 
 class Table(NamedTuple):
-    """What the counts say: log odds and how often they were seen, by predictor and slot."""
+    """What the counts say, by predictor and slot: log odds and how often they were seen, packed in 16 bits."""
 
-    odds: np.ndarray
-    seen: np.ndarray
+    packed: np.ndarray
 
+    @property
+    def odds(self) -> np.ndarray:
+        return ODDS[self.packed]
 
-def read(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds and how often seen, of (n, 2) counts of any size."""
+    @property
+    def seen(self) -> np.ndarray:
+        return (self.packed & 3).astype(np.uint8)
+
+
+def read(pairs: np.ndarray) -> np.ndarray:
+    """Packed log odds and how often seen, of (n, 2) counts of any size."""
     zeros, ones = (pairs[:, bit].astype(np.float32) for bit in (0, 1))
     seen = _SEEN[np.minimum(zeros + ones, 1023).astype(np.int32)]
-    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), seen
+    odds = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+    return ((np.clip(np.rint(odds * (8192 / 10.2)), -8191, 8191) + 8192).astype(np.uint16) << np.uint16(2)) | seen
 
 
 def table_of(counts: np.ndarray) -> Table:
     """counts: (PREDICTORS, SLOTS, 2)."""
-    odds, seen = np.empty((PREDICTORS, SLOTS), np.float32), np.empty((PREDICTORS, SLOTS), np.uint8)
-    for k in range(PREDICTORS):
-        odds[k], seen[k] = read(counts[k])
-    return Table(odds, seen)
+    return Table(np.stack([read(c) for c in counts]))
 
 
 def evidence(d: Decisions, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, gate): each predictor's log odds and a constant."""
     x = np.empty((PREDICTORS + 1, len(d.bit)), np.float32)
     x[-1] = 0.3
-    for k, slot in enumerate(d.slots):
-        np.take(table.odds[k], slot, out=x[k], mode="clip")
-    gate = table.seen[1][d.slots[1]] * np.uint8(4) + table.seen[2][d.slots[2]] + np.uint8(16 * d.kind)
+    found = [np.take(own, slot, mode="clip") for own, slot in zip(table.packed, d.slots, strict=True)]
+    for k, own in enumerate(found):
+        np.take(ODDS, own, out=x[k], mode="clip")
+    gate = (found[1] & np.uint16(3)) * np.uint16(4) + (found[2] & np.uint16(3)) + np.uint16(16 * d.kind)
     return x, gate.astype(np.intp)
 
 
@@ -238,7 +252,7 @@ def odds(x: np.ndarray, gate: np.ndarray, weights: np.ndarray) -> np.ndarray:
     z = np.zeros(x.shape[1], np.float32)
     own = np.ascontiguousarray(weights.T, np.float32)
     for k in range(len(x)):
-        z += x[k] * own[k][gate]
+        z += x[k] * np.take(own[k], gate)
     return np.clip(z, -12, 12, out=z)
 
 
@@ -246,26 +260,47 @@ def step_of(z: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(z * 2) + STEPS // 2, 0, STEPS - 1).astype(np.int64)
 
 
-def final(z: np.ndarray, gate: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """The chance of a 1: half the mixture's, half what came true at its gate and step."""
-    p = 0.5 / (1 + np.exp(-z)) + 0.5 * refined[gate, step_of(z)]
-    return np.clip(p, 1e-5, 1 - 1e-5)
+def final(refined: np.ndarray) -> np.ndarray:
+    """(gates, levels, 2): base-10 logarithms of the chances of 0 and 1: half the mixture's, half what came true at its gate and step."""
+    z = np.arange(LEVELS) / FINE - 12
+    p = np.clip(0.5 / (1 + np.exp(-z)) + 0.5 * refined[:, step_of(z)], 1e-5, 1 - 1e-5)
+    return np.log10(np.stack([1 - p, p], axis=2))
+
+
+def level(z: np.ndarray) -> np.ndarray:
+    return ((z + np.float32(12)) * np.float32(FINE) + np.float32(0.5)).astype(np.intp)
 
 
 class Learner:
-    """Counts, mixing weights and refinement of one task, learnt online."""
+    """Counts of one task."""
 
     def __init__(self) -> None:
         self.counts = np.zeros((PREDICTORS, SLOTS * 2), np.int32)
-        self.weights, self.squares = np.full((GATES, PREDICTORS + 1), 0.3), np.zeros((GATES, PREDICTORS + 1))
-        self.came = np.zeros((GATES, STEPS, 2))
         self.waiting: list[list[np.ndarray]] = []
-        self.size = self.total = 0
-        self.renew = FLUSH // 4
-        self.table = table_of(np.zeros((PREDICTORS, SLOTS, 2), np.uint16))
+        self.size = 0
 
     def see(self, d: Decisions) -> None:
-        """Predicts, takes an adaptive gradient step with the mean error of each gate, and keeps the decisions to count."""
+        self.waiting.append([slot * np.uint32(2) + d.bit for slot in d.slots])
+        self.size += len(d.bit)
+        if self.size >= FLUSH:
+            self.count()
+
+    def count(self) -> None:
+        for k in range(PREDICTORS if self.waiting else 0):
+            self.counts[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=SLOTS * 2).astype(np.int32)
+        self.waiting, self.size = [], 0
+
+
+class Mixer:
+    """Mixing weights and refinement of one stream, learnt online."""
+
+    def __init__(self, table: Table) -> None:
+        self.table = table
+        self.weights, self.squares = np.full((GATES, PREDICTORS + 1), 0.3), np.zeros((GATES, PREDICTORS + 1))
+        self.came = np.zeros((GATES, STEPS, 2), np.int64)
+
+    def see(self, d: Decisions) -> None:
+        """Predicts, then takes an adaptive gradient step with the mean error of each gate."""
         x, gate = evidence(d, self.table)
         z = odds(x, gate, self.weights)
         error = d.bit - 1 / (1 + np.exp(-z))
@@ -275,19 +310,11 @@ class Learner:
             self.squares[:, k] += g * g
             self.weights[:, k] += 0.05 * g / np.sqrt(self.squares[:, k] + 1e-6)
         self.came += np.bincount((gate * STEPS + step_of(z)) * 2 + d.bit, minlength=self.came.size).reshape(self.came.shape)
-        self.waiting.append([slot * np.uint32(2) + d.bit for slot in d.slots])
-        self.size += len(d.bit)
-        if self.size >= FLUSH or self.total + self.size >= self.renew:
-            self.count()
-        if self.total >= self.renew:
-            self.renew = 2 * self.total
-            self.table = table_of(self.counts.reshape(PREDICTORS, SLOTS, 2))
 
-    def count(self) -> None:
-        for k in range(PREDICTORS if self.waiting else 0):
-            self.counts[k] += np.bincount(np.concatenate([w[k] for w in self.waiting]), minlength=SLOTS * 2).astype(np.int32)
-        self.total += self.size
-        self.waiting, self.size = [], 0
+    def cells(self) -> np.ndarray:
+        """Whole numbers that add up over streams: weights, in millionths, times the decisions behind them; what came true."""
+        many = self.came.sum(axis=(1, 2))
+        return np.concatenate([np.rint(self.weights * 1e6).astype(np.int64).ravel() * np.repeat(many, PREDICTORS + 1), self.came.ravel()])
 
 
 # --- Spark ---------------------------------------------------------------------------------------
@@ -327,12 +354,8 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
 
 
-def learnt(docs: DataFrame, code) -> tuple[Table, np.ndarray, np.ndarray]:
-    """What the predictors' counts say, the mixing weights and the refinement, over all decisions of the texts.
-
-    Each task learns for itself. Parts of the tables are added up by Spark, whole counts of all tasks;
-    weights are averaged by the decisions behind them. What reaches the driver has a fixed size, however many texts there are.
-    """
+def counted(docs: DataFrame, code) -> DataFrame:
+    """(part, data): each task's counts of all decisions of its texts, in parts of the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, any_ = Learner(), False
@@ -341,42 +364,102 @@ def learnt(docs: DataFrame, code) -> tuple[Table, np.ndarray, np.ndarray]:
                 any_ = True
                 for d in decisions(tokens(data, offsets, code.value), code.value):
                     own.see(d)
-        if not any_:
-            return
-        own.count()
-        many = own.came.sum(axis=(1, 2))
-        cells = np.concatenate([(own.weights * many[:, None]).ravel(), many, own.came.ravel()])
-        for k, x in enumerate([*map(packed, own.counts.reshape(PARTS, -1)), cells.tobytes()]):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["part", "data"])
+        if any_:
+            own.count()
+            for k, x in enumerate(map(packed, own.counts.reshape(PARTS, -1))):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["part", "data"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "part int, data binary")
+
 
+def added(counts: DataFrame) -> DataFrame:
+    """(part, data): the sums of whole counts over all tasks, one row a part."""
     size = PREDICTORS * SLOTS * 2 // PARTS
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(data) if k == PARTS else unpacked(data, size)
-                sums[k] = sums.get(k, 0) + x
+                sums[k] = sums.get(k, 0) + unpacked(data, size)
         for k, x in sums.items():
-            data = x.tobytes() if k == PARTS else pa.compress(b"".join(y.tobytes() for y in read(x.reshape(-1, 2))), "zstd", asbytes=True)
+            data = pa.compress(x.astype("<i8").tobytes(), "zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+    return counts.repartition(PARTS, "part").mapInArrow(add, "part int, data binary")
+
+
+def tabled(*sums: DataFrame) -> Table:
+    """The table of the sum of some ``added`` tables. What reaches the driver has a fixed size, however many texts there are."""
+    size = PREDICTORS * SLOTS * 2 // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own[k] = own.get(k, 0) + np.frombuffer(pa.decompress(data, 8 * size, "zstd", asbytes=True), "<i8")
+        for k, x in own.items():
+            data = pa.compress(read(x.reshape(-1, 2)).tobytes(), "zstd", asbytes=True)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
-    kind = "part int, data binary"
-    found = docs.select(F.col("text").cast("string")).mapInArrow(run, kind).repartition(PARTS, "part").mapInArrow(add, kind)
-    odds, seen = np.zeros((PARTS, size // 2), np.float32), np.zeros((PARTS, size // 2), np.uint8)
-    cells = np.zeros(GATES * (PREDICTORS + 2) + GATES * STEPS * 2)
-    for k, data in zip(*found.toArrow().to_pydict().values(), strict=True):
-        if k == PARTS:
-            cells = np.frombuffer(data)
-        else:
-            x = pa.decompress(data, size // 2 * 5, "zstd", asbytes=True)
-            odds[k], seen[k] = np.frombuffer(x, np.float32, size // 2), np.frombuffer(x, np.uint8, offset=size * 2)
-    w, many, came = np.split(cells, [GATES * (PREDICTORS + 1), GATES * (PREDICTORS + 2)])
-    weights = np.where(many[:, None] > 0, w.reshape(GATES, -1) / np.maximum(many, 1)[:, None], 0.3)
+    rows = sums[0]
+    for more in sums[1:]:
+        rows = rows.union(more)
+    found = rows.repartition(PARTS, "part").mapInArrow(run, "part int, data binary").toArrow()
+    out = np.zeros((PARTS, size // 2), np.uint16)
+    out[:] = read(np.zeros((1, 2)))[0]
+    for k, data in zip(*found.to_pydict().values(), strict=True):
+        out[k] = np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), np.uint16)
+    return Table(out.reshape(PREDICTORS, SLOTS))
+
+
+def mixed(rows: DataFrame, code, table) -> tuple[np.ndarray, np.ndarray]:
+    """Mixing weights and refinement, over all decisions of the texts; rows: text, draw (a hash of the row).
+
+    The number of streams follows the number of rows, and each is read in a fixed order.
+    """
+    streams = max(1, rows.count() // STREAM)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, at = Mixer(table.value), None
+
+        def out() -> pa.RecordBatch:
+            x = own.cells()
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int32)), pa.array(x)], names=["cell", "n"])
+
+        for batch in batches:
+            for k, stream in enumerate(batch.column(0).to_pylist()):
+                if at is not None and stream != at:
+                    yield out()
+                    own = Mixer(table.value)
+                at = stream
+                for _, _, data, offsets in slices(batch.column(1)[k : k + 1]):
+                    for d in decisions(tokens(data, offsets, code.value), code.value, STEP):
+                        own.see(d)
+        if at is not None:
+            yield out()
+
+    dealt = rows.select(F.pmod("draw", F.lit(streams)).alias("stream"), "text", "draw").repartition("stream").sortWithinPartitions("stream", "draw", "text")
+    found = dealt.select("stream", "text").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row per cell
+    cells = np.zeros(GATES * (PREDICTORS + 1) + GATES * STEPS * 2)
+    cells[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    w, came = np.split(cells, [GATES * (PREDICTORS + 1)])
     came = came.reshape(GATES, STEPS, 2)
+    many = came.sum(axis=(1, 2))
+    weights = np.where(many[:, None] > 0, w.reshape(GATES, -1) / 1e6 / np.maximum(many, 1)[:, None], 0.3)
     centre = 1 / (1 + np.exp(-(np.arange(STEPS) - STEPS // 2) / 2))
-    table = Table(odds.reshape(PREDICTORS, SLOTS), seen.reshape(PREDICTORS, SLOTS))
-    return table, weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
+    return weights, (came[:, :, 1] + 4 * centre) / (came.sum(axis=2) + 4)
+
+
+def learnt(docs: DataFrame, code) -> tuple[Table, np.ndarray, np.ndarray]:
+    """What the predictors' counts say, the mixing weights and the refinement; a document in SHARE teaches the weights before it is counted."""
+    own = F.xxhash64(*(F.col(c) for c in ("doc_id", "text") if c in docs.columns))
+    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), own.alias("draw"))
+    apart = F.pmod("draw", F.lit(SHARE)) == 0
+    most = materialise(added(counted(rows.where(~apart), code)), "counts")
+    taught = rows.where(apart).withColumn("draw", F.xxhash64("draw"))
+    sc = docs.sparkSession.sparkContext
+    weights, refined = mixed(taught, code, sc.broadcast(tabled(most)))
+    return tabled(most, added(counted(taught, code))), weights, refined
 
 
 SCORED = "doc_id long, n_bytes long, n_tokens long, listed long, base double, score double, words array<binary>, counts array<int>"
@@ -405,6 +488,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, weights, refined = model.value
+        chances = final(refined).ravel()
         c, logs = code.value, np.log10(code.value.counts + 0.1)
         end = math.log10(ends + 0.1)
         for batch in batches:
@@ -413,8 +497,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
                 score, t = np.zeros(n), tokens(data, offsets, c)
                 for d in decisions(t, c):
                     x, gate = evidence(d, table)
-                    p = final(odds(x, gate, weights), gate, refined)
-                    score += np.bincount(d.doc, np.log10(np.where(d.bit == 1, p, 1 - p)), n)
+                    at = (gate * LEVELS + level(odds(x, gate, weights))) * 2 + d.bit
+                    score += np.bincount(d.doc, np.take(chances, at), n)
                 listed = t.rank >= 0
                 known = np.bincount(t.doc[listed], minlength=n)
                 base = np.bincount(t.doc[listed], logs[t.rank[listed]], n) + end
