@@ -1,17 +1,20 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, with evidence.
 
-Terms are the lower-cased words and the beginnings of words; the vocabulary is those that labelled toxic
-documents have clearly oftener than clean ones. Labelled examples are indexed by term in blocks that
-keep each term's greatest weight. For a document, a block's bound is the sum over its terms of their
-weights times those; blocks are visited from the greatest bound and the search ends, exactly, when no
-bound exceeds the worst neighbour so far. Neighbours vote by similarity; votes become probabilities by
-a logistic fit on examples that were left out of their own search.
+Terms are all lower-cased words of a bounded sample of labelled documents. A term's weight is its
+inverse document frequency over all documents, times a floor plus the logarithm of how much commoner it
+is among toxic examples: plain inverse frequencies find neighbours by topic, among which the few toxic
+words of a text are lost. Labelled examples are indexed by term in blocks that keep each term's greatest
+weight. For a document, a block's bound is the sum over its terms of their weights times those; the
+blocks of the greatest bounds are scored first, and then, exactly, all whose bound is not below the
+worst neighbour so far. Neighbours vote by similarity; votes become probabilities by a logistic fit on
+examples that are left out of their own search.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pingmill.functions.storage import materialise
+
 #: Labelled documents that the examples are drawn from, by hash of the id, about.
-SAMPLE = 20_000
-VOCABULARY = 4000
-NEIGHBOURS = 15
-BLOCK = 64
-PREFIXES = (4, 5, 6)
-#: Documents with a term, toxic ones at least, and how many times as common the term is among toxic ones.
-LEAST_TOXIC, LIFT = 4, 8.0
+SAMPLE = 6_000
+NEIGHBOURS = 30
+#: Examples of a block, blocks that are scored first, and examples with a term from which the term has bounds by block.
+BLOCK, FIRST, LISTED = 64, 4, 4
+#: Weight of a term that tells nothing, and documents that a term counts to have beside those it was seen in.
+FLOOR, SMOOTH = 0.05, 3.0
 PREDICT = 0.3
 #: Weight of the mean label beside the neighbours' similarities in a vote.
 PRIOR = 0.5
@@ -35,10 +39,6 @@ PRIOR = 0.5
 WORD = re.compile(r"[^\W_]+")
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
-
-
 def training(doc_id: Column) -> Column:
     """Rows whose labels may be learnt."""
     return F.crc32(doc_id.cast("string")) % 4 != 2
@@ -46,13 +46,15 @@ def training(doc_id: Column) -> Column:
 
 class Index(NamedTuple):
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # the terms' weights
     ids: np.ndarray
     labels: np.ndarray
-    starts: np.ndarray  # (terms, blocks + 1): where each term's postings of each block begin
+    starts: np.ndarray  # where each term's postings begin
     docs: np.ndarray  # postings, by term, then example
     weights: np.ndarray
-    bounds: np.ndarray  # (terms, blocks): the greatest weight
+    rows: np.ndarray  # of each term in the tables by block, -1 for terms of few examples
+    cuts: np.ndarray  # (rows, blocks + 1): where each term's postings of each block begin
+    bounds: np.ndarray  # (rows, blocks): the greatest weight
     mean: float
     fit: np.ndarray  # of the calibration
 
@@ -63,55 +65,95 @@ def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndar
     return terms, w / max(math.sqrt(float(w @ w)), 1e-12)
 
 
-def build(vocabulary: list[str], examples: list[tuple[int, int, dict[int, int]]], mean: float) -> Index:
+def term_weights(examples: list[tuple[int, int, dict[int, int]]], n_terms: int, seen: np.ndarray | None = None, total: int | None = None) -> np.ndarray:
+    """seen: documents with each term among ``total``; both are of the examples if not given."""
+    df = np.bincount([t for e in examples for t in e[2]], minlength=n_terms)
+    toxic = np.bincount([t for e in examples if e[1] for t in e[2]], minlength=n_terms)
+    n, n_toxic = len(examples), sum(1 for e in examples if e[1])
+    share = (n_toxic + 1) / (n + 2)
+    lift = (toxic + SMOOTH * share) / (n_toxic + 2 * SMOOTH * share) / (df - toxic + SMOOTH * (1 - share)) * (n - n_toxic + SMOOTH * (1 - share))
+    seen, total = (df, n) if seen is None else (seen, total)
+    return (np.log((1 + total) / (1 + np.minimum(seen, total))) + 1) * (FLOOR + np.maximum(np.log(lift), 0))
+
+
+def build(vocabulary: list[str], examples: list[tuple[int, int, dict[int, int]]], mean: float, seen: np.ndarray | None = None, total: int | None = None) -> Index:
     """examples: id, label, counts of vocabulary terms; those without any are left out."""
     examples = [e for e in examples if e[2]]
     n_terms = len(vocabulary)
-    df = np.bincount([t for e in examples for t in e[2]], minlength=n_terms)
-    idf = np.log((1 + len(examples)) / (1 + df)) + 1
+    idf = term_weights(examples, n_terms, seen, total)
     vectors = [vector(e[2], idf) for e in examples]
     # like examples share blocks, so that bounds are tight: they are ordered by their heaviest terms
-    order = sorted(range(len(examples)), key=lambda k: (vectors[k][0][np.argsort(-vectors[k][1], kind="stable")].tolist(), examples[k][0]))
+    order = sorted(range(len(examples)), key=lambda k: (vectors[k][0][np.argsort(-vectors[k][1], kind="stable")[:8]].tolist(), examples[k][0]))
     term = np.concatenate([vectors[k][0] for k in order]) if order else np.zeros(0, np.int64)
     weight = np.concatenate([vectors[k][1] for k in order]) if order else np.zeros(0)
     doc = np.repeat(np.arange(len(order)), [len(vectors[k][0]) for k in order])
     n_blocks = max(1, -(-len(order) // BLOCK))
     by = np.lexsort((doc, term))
     term, weight, doc = term[by], weight[by], doc[by]
-    starts = np.searchsorted(term * n_blocks + doc // BLOCK, np.arange(n_terms)[:, None] * n_blocks + np.arange(n_blocks + 1))
-    bounds = np.zeros((n_terms, n_blocks))
-    np.maximum.at(bounds, (term, doc // BLOCK), weight)
-    index = Index(
+    many = np.bincount(term, minlength=n_terms)
+    listed = np.flatnonzero(many >= LISTED)
+    rows = np.full(n_terms, -1, np.int64)
+    rows[listed] = np.arange(len(listed))
+    cuts = np.searchsorted(term * n_blocks + doc // BLOCK, listed[:, None] * n_blocks + np.arange(n_blocks + 1)).astype(np.int32)
+    bounds, has = np.zeros((len(listed), n_blocks), np.float32), rows[term] >= 0
+    # rounded up, so that a bound is never too small
+    np.maximum.at(bounds, (rows[term[has]], doc[has] // BLOCK), np.nextafter(weight[has].astype(np.float32), np.float32(2)))
+    return Index(
         {t: k for k, t in enumerate(vocabulary)}, idf, np.array([examples[k][0] for k in order], np.int64), np.array([examples[k][1] for k in order], float),
-        starts, doc, weight, bounds, mean, np.zeros(3),
+        np.append(0, np.cumsum(many)), doc, weight, rows, cuts, bounds, mean, np.zeros(3),
     )
-    votes = np.array([(*evidence(index, *vector(examples[k][2], idf), without=examples[k][0])[:2], examples[k][1]) for k in order]).reshape(-1, 3)
-    return index._replace(fit=calibration(votes[:, :2], votes[:, 2], mean))
+
+
+def _ranges(low: np.ndarray, high: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places from each ``low`` to ``high``, and the weight of each."""
+    n = high - low
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(weights, n)
 
 
 def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, without: int | None = None, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` examples of the greatest cosine, exactly; ties go to the smaller position."""
-    best, score = np.zeros(0, np.int64), np.zeros(0)
-    if not len(terms):
-        return best, score
-    bound = weights @ index.bounds[terms]
-    for block in np.argsort(-bound, kind="stable").tolist():
-        if bound[block] <= 0 or len(best) == k and bound[block] < score[-1] - 1e-12:
-            break
-        own = np.zeros(BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            a, b = index.starts[t, block], index.starts[t, block + 1]
-            own[index.docs[a:b] - block * BLOCK] += w * index.weights[a:b]
-        hit = np.flatnonzero(own > 0)
-        hit = hit[index.ids[hit + block * BLOCK] != without] if without is not None else hit
-        best, score = np.append(best, hit + block * BLOCK), np.append(score, own[hit])
-        top = np.lexsort((best, -score))[:k]
-        best, score = best[top], score[top]
-    return best, score
+    if not len(terms) or not len(index.ids):
+        return np.zeros(0, np.int64), np.zeros(0)
+    row, n_blocks = index.rows[terms], index.bounds.shape[1]
+    few, many = terms[row < 0], terms[row >= 0]
+    at, w = _ranges(index.starts[few], index.starts[few + 1], weights[row < 0])
+    rare, rare_score = index.docs[at], w * index.weights[at]
+    row, weights = row[row >= 0], weights[row >= 0]
+    bound = (weights @ index.bounds[row] + np.bincount(rare // BLOCK, rare_score, n_blocks)) * (1 + 1e-6)
+    score = np.bincount(rare, rare_score, len(index.ids)).astype(float)
+    known = np.zeros(n_blocks, bool)
+
+    def visit(blocks: np.ndarray) -> None:
+        known[blocks] = True
+        if len(blocks) == n_blocks:
+            at, w = _ranges(index.starts[many], index.starts[many + 1], weights)
+        else:
+            at, w = _ranges(index.cuts[row[:, None], blocks].ravel(), index.cuts[row[:, None], blocks + 1].ravel(), np.repeat(weights, len(blocks)))
+        np.add(score, np.bincount(index.docs[at], w * index.weights[at], len(score)), out=score)
+
+    def worst() -> float:
+        own = score[np.repeat(known, BLOCK)[: len(score)]]
+        return float(np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else 0.0
+
+    if n_blocks > 2 * FIRST:
+        visit(np.argpartition(-bound, FIRST)[:FIRST])
+    # one more place, for an example that is left out
+    k += without is not None
+    rest = np.flatnonzero(~known & (bound > 0) & (bound >= worst()))
+    if len(rest):
+        visit(rest)
+    score = np.where(np.repeat(known, BLOCK)[: len(score)], score, 0)
+    if without is not None:
+        score[index.ids == without] = 0
+        k -= 1
+    least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+    hit = np.flatnonzero((score >= least) & (score > 0))
+    best = hit[np.lexsort((hit, -score[hit]))[:k]]
+    return best, score[best]
 
 
 def evidence(index: Index, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, float, np.ndarray, np.ndarray]:
-    """The vote as log odds, the number of matched terms' logarithm, and the neighbours with their similarities."""
+    """The vote as log odds, the number of known terms' logarithm, and the neighbours with their similarities."""
     best, score = nearest(index, terms, weights, without)
     vote = (float(score @ index.labels[best]) + PRIOR * index.mean) / (float(score.sum()) + PRIOR)
     vote = min(max(vote, 1e-4), 1 - 1e-4)
@@ -135,59 +177,64 @@ def probability(index: Index, vote: float, matched: float) -> float:
     return 1 / (1 + math.exp(-min(max(z, -30), 30)))
 
 
-def _counts(text: str, vocabulary: dict[str, int], known: dict[str, list[int]]) -> dict[int, int]:
-    counts: dict[int, int] = {}
-    for word in WORD.findall(text.lower()):
-        own = known.get(word)
-        if own is None:
-            if len(known) > 300_000:
-                known.clear()
-            own = known[word] = [vocabulary[t] for t in terms_of(word) if t in vocabulary]
-        for t in own:
-            counts[t] = counts.get(t, 0) + 1
-    return counts
+def _counts(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
+    return {vocabulary[w]: n for w, n in Counter(WORD.findall(text.lower())).items() if w in vocabulary}
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
-    """Fits the index on labelled documents that ``training`` allows, about ``sample`` of them by hash of the id."""
+    """Fits the index on labelled documents that ``training`` allows, about ``sample`` of them by hash of the id.
+
+    Document frequencies of the terms are of all documents.
+    """
+    spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & training(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     n = usable.count()
     share = F.lit(min(1.0, sample / max(n, 1)) * 1_000_000)
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).dropDuplicates(["doc_id"])
-    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).persist()
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic, terms = [], []
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = {t for w in set(WORD.findall(text.as_py().lower())) for t in terms_of(w)}
-                terms += own
-                toxic += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(toxic, pa.int32())], names=["term", "toxic"])
-
-    totals = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
-    n, n_toxic = totals["n"], totals["toxic"] or 0
-    mean = (n_toxic + 1) / (n + 20)
-    table = rows.select("toxic", "text").mapInArrow(explode, "term string, toxic int").groupBy("term").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    lift = (F.col("t") / F.lit(max(n_toxic, 1))) / ((F.col("n") - F.col("t") + 0.5) / F.lit(max(n - n_toxic, 1)))
-    vocabulary = [
-        r.term for r in table.where(F.col("t") >= LEAST_TOXIC).withColumn("lift", lift).where(F.col("lift") >= LIFT)
-        .orderBy((F.col("t") * F.log("lift")).desc(), "term").limit(VOCABULARY).collect()
-    ]
-    numbers = {t: k for k, t in enumerate(vocabulary)}
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text")).select(F.col("doc_id").cast("long"), "toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for batch in batches:
-            counts = [_counts(t.as_py(), numbers, known) for t in batch.column(2)]
+            counts = [Counter(WORD.findall(t.as_py().lower())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
+                [batch.column(0), batch.column(1), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, terms array<int>, counts array<int>").where("size(terms) > 0").orderBy("doc_id").collect()
-    rows.unpersist()
-    return build(vocabulary, [(r.doc_id, r.toxic, dict(zip(r.terms, r.counts, strict=True))) for r in found], mean)
+    found = rows.mapInArrow(count, "doc_id long, toxic int, terms array<string>, counts array<int>").toArrow().to_pylist()  # the sample
+    found.sort(key=lambda r: r["doc_id"])
+    mean = (sum(r["toxic"] for r in found) + 1) / (len(found) + 20)
+    vocabulary = sorted({t for r in found for t in r["terms"]})
+    shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(vocabulary)})
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, seen = shared.value, np.zeros(len(shared.value) + 1, np.int64)
+        for batch in batches:
+            seen[-1] += batch.num_rows
+            for text in batch.column(0):
+                for w in set(WORD.findall(text.as_py().lower())):
+                    if (k := numbers.get(w)) is not None:
+                        seen[k] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["term", "n"])
+
+    sums = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the sample
+    seen = np.zeros(len(vocabulary) + 1, np.int64)
+    seen[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
+    numbers = shared.value
+    index = build(vocabulary, [(r["doc_id"], r["toxic"], {numbers[t]: n for t, n in zip(r["terms"], r["counts"], strict=True)}) for r in found], mean, seen[:-1], int(seen[-1]))
+    own = spark.sparkContext.broadcast(index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [evidence(own.value, *vector(_counts(t.as_py(), own.value.vocabulary), own.value.idf), without=i)[:2] for i, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+            votes = np.array(out).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes[:, 0]), pa.array(votes[:, 1])], names=["doc_id", "toxic", "vote", "terms"])
+
+    votes = rows.mapInArrow(vote, "doc_id long, toxic int, vote double, terms double").where("terms > 0").orderBy("doc_id").toArrow()
+    x = np.column_stack([votes.column("vote").to_numpy(), votes.column("terms").to_numpy()])
+    return index._replace(fit=calibration(x, votes.column("toxic").to_numpy().astype(float), mean))
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, similarities array<double>"
@@ -196,19 +243,17 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, neighbours
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted, neighbours, similarities.
 
-    Only the text is an input of a score; an example is left out of its own neighbours. Null and empty
-    texts have no terms and score low, like every text without a term of the vocabulary. Repeated rows
-    each give a row. An empty table gives no rows; other columns of ``docs`` are not read.
+    Only the text is an input of a score. Null and empty texts have no terms and score low, like every
+    text without a word of any example. Of rows repeated under one id, an example has the greatest text
+    and label; all are scored. An empty table gives no rows; other columns of ``docs`` are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
         for batch in batches:
             index, scores, ids, similar = shared.value, [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
-                counts = _counts(text.as_py() or "", index.vocabulary, known)
-                vote, matched, best, close = evidence(index, *vector(counts, index.idf), without=doc_id)
+            for text in batch.column(2):
+                vote, matched, best, close = evidence(index, *vector(_counts(text.as_py() or "", index.vocabulary), index.idf))
                 scores.append(probability(index, vote, matched))
                 ids.append(index.ids[best].tolist())
                 similar.append(close.tolist())
@@ -222,4 +267,5 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``score`` by an index fitted on the labels; without labels all texts score low."""
     return score(docs, fit(docs, labels, sample))
