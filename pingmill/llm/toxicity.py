@@ -30,6 +30,8 @@ SAMPLE = 6_000
 NEIGHBOURS = 30
 #: Examples of a block, blocks that are scored first, and examples with a term from which the term has bounds by block.
 BLOCK, FIRST, LISTED = 64, 4, 4
+#: A term in more than one example in this many has its weights in a row of all examples.
+COMMON = 16
 #: Weight of a term that tells nothing, and documents that a term counts to have beside those it was seen in.
 FLOOR, SMOOTH = 0.05, 3.0
 PREDICT = 0.3
@@ -55,6 +57,8 @@ class Index(NamedTuple):
     rows: np.ndarray  # of each term in the tables by block, -1 for terms of few examples
     cuts: np.ndarray  # (rows, blocks + 1): where each term's postings of each block begin
     bounds: np.ndarray  # (rows, blocks): the greatest weight
+    wide: np.ndarray  # of each term among the common ones, -1 for others
+    dense: np.ndarray  # (common terms, blocks, BLOCK): all weights
     mean: float
     fit: np.ndarray  # of the calibration
 
@@ -98,9 +102,15 @@ def build(vocabulary: list[str], examples: list[tuple[int, int, dict[int, int]]]
     bounds, has = np.zeros((len(listed), n_blocks), np.float32), rows[term] >= 0
     # rounded up, so that a bound is never too small
     np.maximum.at(bounds, (rows[term[has]], doc[has] // BLOCK), np.nextafter(weight[has].astype(np.float32), np.float32(2)))
+    common = np.flatnonzero(many > max(LISTED, len(order) // COMMON))
+    wide = np.full(n_terms, -1, np.int64)
+    wide[common] = np.arange(len(common))
+    dense = np.zeros((len(common), n_blocks * BLOCK), np.float32)
+    has = wide[term] >= 0
+    dense[wide[term[has]], doc[has]] = weight[has]
     return Index(
         {t: k for k, t in enumerate(vocabulary)}, idf, np.array([examples[k][0] for k in order], np.int64), np.array([examples[k][1] for k in order], float),
-        np.append(0, np.cumsum(many)), doc, weight, rows, cuts, bounds, mean, np.zeros(3),
+        np.append(0, np.cumsum(many)), doc, weight, rows, cuts, bounds, wide, dense.reshape(len(common), n_blocks, BLOCK), mean, np.zeros(3),
     )
 
 
@@ -115,34 +125,47 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, without: int |
     if not len(terms) or not len(index.ids):
         return np.zeros(0, np.int64), np.zeros(0)
     row, n_blocks = index.rows[terms], index.bounds.shape[1]
-    few, many = terms[row < 0], terms[row >= 0]
-    at, w = _ranges(index.starts[few], index.starts[few + 1], weights[row < 0])
+    few = row < 0
+    at, w = _ranges(index.starts[terms[few]], index.starts[terms[few] + 1], weights[few])
     rare, rare_score = index.docs[at], w * index.weights[at]
-    row, weights = row[row >= 0], weights[row >= 0]
-    bound = (weights @ index.bounds[row] + np.bincount(rare // BLOCK, rare_score, n_blocks)) * (1 + 1e-6)
-    score = np.bincount(rare, rare_score, len(index.ids)).astype(float)
+    # with room for the rounding of sums
+    bound = (weights[~few].astype(np.float32) @ index.bounds[row[~few]] + np.bincount(rare // BLOCK, rare_score, n_blocks)) * (1 + 1e-5)
+    score = np.zeros(n_blocks * BLOCK)
+    score[: len(index.ids)] += np.bincount(rare, rare_score, len(index.ids))
+    wide = index.wide[terms]
+    common, common_weight = wide[wide >= 0], weights[wide >= 0].astype(np.float32)
+    some = ~few & (wide < 0)
+    row, some_weight, some = row[some], weights[some], terms[some]
     known = np.zeros(n_blocks, bool)
 
     def visit(blocks: np.ndarray) -> None:
         known[blocks] = True
         if len(blocks) == n_blocks:
-            at, w = _ranges(index.starts[many], index.starts[many + 1], weights)
+            at, w = _ranges(index.starts[some], index.starts[some + 1], some_weight)
+            more = common_weight @ index.dense.reshape(-1, n_blocks * BLOCK)[common]
         else:
-            at, w = _ranges(index.cuts[row[:, None], blocks].ravel(), index.cuts[row[:, None], blocks + 1].ravel(), np.repeat(weights, len(blocks)))
-        np.add(score, np.bincount(index.docs[at], w * index.weights[at], len(score)), out=score)
+            at, w = _ranges(index.cuts[row[:, None], blocks].ravel(), index.cuts[row[:, None], blocks + 1].ravel(), np.repeat(some_weight, len(blocks)))
+            more = np.zeros((n_blocks, BLOCK), np.float32)
+            more[blocks] = (common_weight @ index.dense[common[:, None], blocks].reshape(len(common), len(blocks) * BLOCK)).reshape(-1, BLOCK)
+        np.add(score, more.ravel(), out=score)
+        score[: len(index.ids)] += np.bincount(index.docs[at], w * index.weights[at], len(index.ids))
 
     def worst() -> float:
-        own = score[np.repeat(known, BLOCK)[: len(score)]]
+        own = score[np.repeat(known, BLOCK)]
         return float(np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else 0.0
 
-    if n_blocks > 2 * FIRST:
+    k += without is not None  # one more place, for an example that is left out
+    # blocks with like bounds are all scored at once
+    if n_blocks > 2 * FIRST and bound.max() > 2 * np.median(bound):
         visit(np.argpartition(-bound, FIRST)[:FIRST])
-    # one more place, for an example that is left out
-    k += without is not None
     rest = np.flatnonzero(~known & (bound > 0) & (bound >= worst()))
-    if len(rest):
+    if 3 * len(rest) > n_blocks:  # whole rows are faster than many blocks
+        score[:] = 0
+        score[: len(index.ids)] += np.bincount(rare, rare_score, len(index.ids))
+        visit(np.arange(n_blocks))
+    elif len(rest):
         visit(rest)
-    score = np.where(np.repeat(known, BLOCK)[: len(score)], score, 0)
+    score = np.where(np.repeat(known, BLOCK), score, 0)[: len(index.ids)]
     if without is not None:
         score[index.ids == without] = 0
         k -= 1
