@@ -2,11 +2,17 @@
 
 A page becomes a list of text lines, one per block, each marked by where it stands: inside the page's
 article, and inside boilerplate markup. Pages are ordered by (host, path), and each is aligned with the
-pages before and after it by a longest common subsequence of lines. What a neighbour shares is the
-site's and goes, except inside an article, where shared lines are quotations and copied articles; there
-a shared line goes only if its markup is doubtful: a class or id that has a word of boilerplate among
-others. Pages with an article keep that alone; pages without one keep what is neither shared nor
-boilerplate.
+pages before and after it by a longest common subsequence of lines. Pages with an article keep that
+alone, without what markup surely calls boilerplate; pages without one keep what is no boilerplate.
+Of these lines, shared ones go:
+
+* in a page without an article, what either neighbour has;
+* in an article, what either neighbour has if its markup is doubtful: a class or id that has a word of
+  boilerplate among others;
+* in an article, any line but its first that is no paragraph, heading or quotation and that both
+  neighbours have, where each of them shares less than half of the article's lines. So the site's own
+  lists and boxes go without any mark, passages that pages quote stay, and so does an article that a
+  neighbour holds a copy of.
 """
 
 from __future__ import annotations
@@ -50,6 +56,8 @@ NAMES = frozenset(
 #: Words that make any other name that has one of them doubtful.
 WORDS = frozenset(n for n in NAMES if "-" not in n)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of prose, which pages quote and repeat by themselves.
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 CONCEALED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
 #: What markup says of a block, by rising strength. Names do not count on what holds the body of an article.
@@ -76,12 +84,13 @@ def _mark(name: str, attributes: str, in_article: bool) -> int:
     return mark
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
-    """(text, in the article, boilerplate, doubtful) of each block that has text; references decoded, white space runs one space."""
-    out: list[tuple[str, int, int, bool, int]] = []  # text, article, mark, heading, the outermost element of that mark by name
+def lines(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
+    """(text, in the article, boilerplate, doubtful, prose) of each block that has text; references decoded, white space runs one space."""
+    out: list[tuple[str, int, int, bool, int, bool]] = []  # text, article, mark, heading, the outermost element of that mark by name, prose
     buffer: list[str] = []
     stack: list[tuple[str, int, int, int]] = []  # name, article (0: none), mark, the outermost element marked by name
     articles = elements = 0
+    block = ""  # that text stands in
     heads: set[int] = set()  # elements marked by name that hold the main heading of their article
 
     def flush() -> None:
@@ -91,7 +100,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             _, article, mark, element = stack[-1] if stack else ("", 0, CLEAR, 0)
             if article and element and any(x[0] == "h1" for x in stack):
                 heads.add(element)
-            out.append((text, article, mark, any(x[0] in HEADINGS for x in stack), element))
+            out.append((text, article, mark, any(x[0] in HEADINGS for x in stack), element, block in PROSE))
 
     for m in TOKEN.finditer(page):
         name = m[3]
@@ -107,6 +116,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
             buffer.append(" ")
         if name in BLOCKS:
             flush()
+            block = "" if m[2] else name
         if name in VOID or name in LOOSE and not m[4]:
             continue
         if m[2]:
@@ -141,15 +151,15 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool]]:
     return _judged(out, heads)
 
 
-def _judged(found: list[tuple[str, int, int, bool, int]], heads: set[int]) -> list[tuple[str, bool, bool, bool]]:
+def _judged(found: list[tuple[str, int, int, bool, int, bool]], heads: set[int]) -> list[tuple[str, bool, bool, bool, bool]]:
     """Lines with names made doubtful where they would leave an article, or a page without one, nothing but headings."""
-    named = [mark == NAMED and element not in heads for _, _, mark, _, element in found]
-    has_article = any(article and mark < SURE for _, article, mark, _, _ in found)
-    region = [article if has_article else -1 for _, article, _, _, _ in found]
-    body = {r for r, n, (_, _, mark, heading, _) in zip(region, named, found, strict=True) if mark < SURE and not n and not heading}
+    named = [mark == NAMED and element not in heads for _, _, mark, _, element, _ in found]
+    has_article = any(article and mark < SURE for _, article, mark, *_ in found)
+    region = [article if has_article else -1 for _, article, *_ in found]
+    body = {r for r, n, (_, _, mark, heading, *_) in zip(region, named, found, strict=True) if mark < SURE and not n and not heading}
     return [
-        (text, article > 0, mark == SURE or n and r in body, CLEAR < mark < SURE)
-        for r, n, (text, article, mark, _, _) in zip(region, named, found, strict=True)
+        (text, article > 0, mark == SURE or n and r in body, CLEAR < mark < SURE, prose)
+        for r, n, (text, article, mark, *_, prose) in zip(region, named, found, strict=True)
     ]
 
 
@@ -186,11 +196,11 @@ def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = "page_id long, url string, compare boolean, texts array<string>, flags array<boolean>, doubts array<boolean>, hashes array<long>"
+PARSED = "page_id long, url string, texts array<string>, article boolean, flags array<boolean>, doubts array<boolean>, prose array<boolean>, hashes array<long>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, whether neighbours matter, its lines, which may stay, which go if shared, and the hashes of its lines.
+    """page_id, url, its lines, whether it has an article, which lines may stay, which go if shared, which are prose, and their hashes.
 
     flags: in a page with an article, whether a line is in it and no boilerplate; else whether it is no boilerplate.
     doubts: in a page with an article, whether a line stands in doubtful markup; else all lines.
@@ -204,40 +214,52 @@ def parsed(pages: DataFrame) -> DataFrame:
                 article = any(x[1] and not x[2] for x in found)
                 keep = [not x[2] and (x[1] or not article) for x in found]
                 doubts = [k and (x[3] or not article) for k, x in zip(keep, found, strict=True)]
-                out.append((page_id, url, any(doubts), [x[0] for x in found], keep, doubts, [_hash(x[0]) for x in found]))
-            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-            names = ["page_id", "url", "compare", "texts", "flags", "doubts", "hashes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+                out.append((page_id, url, [x[0] for x in found], article, keep, doubts, [x[4] for x in found], [_hash(x[0]) for x in found]))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
+            names = ["page_id", "url", "texts", "article", "flags", "doubts", "prose", "hashes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, PARSED)
 
 
 def neighbours(light: DataFrame) -> DataFrame:
-    """row, host, hashes with ``place``, its place in the order of (host, path, row), counted over all partitions."""
+    """``light`` with ``place``, a row's place in the order of (host, path, row), counted over all partitions."""
     ordered = light.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     placed = materialise(ordered.select("*", F.monotonically_increasing_id().alias("at")), "ordered").withColumn("part", F.shiftright("at", 33))
     counts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per partition
     first = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    return placed.join(first, "part").select("row", "host", "compare", "hashes", (F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
+    return placed.join(first, "part").withColumn("place", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "first", "at", "path")
+
+
+def unshared(own: list[int], flags: list[bool], doubts: list[bool], prose: list[bool], article: bool, others: list[list[int]]) -> list[bool]:
+    """Which lines of a page stay, given the lines of its neighbours."""
+    masks = [np.array(common_lines(own, other), bool) for other in others]
+    if not masks or not own:
+        return flags
+    keep, doubtful = np.array(flags, bool), np.array(doubts, bool)
+    gone = doubtful & np.any(masks, axis=0)
+    if article and len(masks) > 1 and all(2 * (m & keep).sum() < keep.sum() for m in masks):
+        site = keep & ~np.array(prose, bool) & np.all(masks, axis=0)
+        site[np.argmax(keep)] = False
+        gone |= site
+    return (keep & ~gone).tolist()
 
 
 def shared_lines(placed: DataFrame) -> DataFrame:
-    """(row, shared) of the pages where neighbours matter: which of its lines the page before or after it on its host has."""
+    """(row, keep): which lines of a page stay beside the pages before and after it on its host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for own, *others in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                masks = [common_lines(own, other) for other in others if other]
-                out.append(np.any(masks, axis=0).tolist() if masks else [False] * len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.bool_()))], names=["row", "shared"])
+            rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            out = [unshared(*own, [o for o in others if o]) for *own, before, after in rows for others in [(before, after)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.bool_()))], names=["row", "keep"])
 
     def beside(step: int, name: str) -> DataFrame:
         return placed.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
 
-    pairs = placed.where("compare").join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
+    pairs = placed.join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
     same = [F.when(F.col("host").eqNullSafe(F.col(f"{n}_host")), F.col(n)).alias(n) for n in ("before", "after")]
-    return pairs.select("row", "hashes", *same).mapInArrow(run, "row long, shared array<boolean>")
+    return pairs.select("row", "hashes", "flags", "doubts", "prose", "article", *same).mapInArrow(run, "row long, keep array<boolean>")
 
 
 def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
@@ -250,13 +272,10 @@ def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
     rows = materialise(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
     url = F.coalesce("url", F.lit(""))
     light = rows.select(
-        "row", "compare", "hashes",
+        "row", "hashes", "flags", "doubts", "prose", "article",
         F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
-    masks = shared_lines(neighbours(light))
     text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), separator)
-    gone = F.zip_with("doubts", "shared", lambda d, s: d & s)
-    beside = rows.where("compare").join(masks, "row").withColumn("keep", F.zip_with("flags", gone, lambda f, g: f & ~g))
-    alone = rows.where(~F.col("compare")).withColumn("keep", F.col("flags"))
-    return alone.select("page_id", "url", text.alias("text")).union(beside.select("page_id", "url", text.alias("text"))).withColumn("n_chars", F.length("text").cast("long"))
+    kept = rows.select("row", "page_id", "url", "texts").join(shared_lines(neighbours(light)), "row")
+    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
