@@ -1,9 +1,9 @@
 """Best-fit packing of token pieces by bin completion with branch and bound.
 
 Packing only needs to know how many pieces there are of each length, which is a histogram of at most
-``capacity`` rows however large the corpus is. Bins are completed around the largest length left:
-undominated fillings of the room beside it are enumerated, branches whose waste exceeds what the best
-packing so far allows are cut, and a best-fit packing is the first incumbent. Whole runs of equal bins
+``capacity`` rows however large the corpus is. A best-fit packing is the first incumbent. Bins are
+completed around the largest length left: undominated fillings of the room beside it are enumerated and
+tried in turn, and branches are cut whose bins and bound exceed what the best packing so far has. Whole runs of equal bins
 are made at once, so the plan is a short list of patterns. Spark then gives each piece its rank among
 the pieces of its length, and the rank gives its sequence and offset.
 """
@@ -11,8 +11,10 @@ the pieces of its length, and the rank gives its sequence and offset.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain, islice
 
 import numpy as np
@@ -31,14 +33,16 @@ WORK = 20_000
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how many bins, and (length, number in each bin) from the longest
 
 
-def _encoding(ranks_path: str | None):
+def _encoding(ranks_path: str | None, json_path: str | None = None):
+    """The vocabulary of the rank file with the added tokens of the JSON file, which stand for themselves wherever a text has them."""
     import public_tokenizers
     import tiktoken
 
-    path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    with open(path, "rb") as lines:
+    with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(json_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks={p: r for p, r in ranks.items() if r not in added.values()}, special_tokens=added)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -54,11 +58,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks_path)
+        encode = partial(_encoding(ranks_path).encode, allowed_special="all")
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(np.asarray(encode.encode_ordinary(text.as_py() or ""), dtype="<u4"), np.uint32(end_id))
+                ids = np.append(np.asarray(encode(text.as_py() or ""), dtype="<u4"), np.uint32(end_id))
                 out += [(doc_id, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(cut(len(ids), capacity))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
@@ -71,65 +75,40 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
 # --- bin completion on the histogram -------------------------------------------------------------
 
 
-def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, work: int = 4000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Up to ``most`` undominated fillings of ``room`` as (waste, items), the least waste first.
-
-    lengths: those left, longest first. A filling is dropped if a piece outside it still fits, or if one
-    of its pieces can give way to a longer one outside it.
-    """
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, room, ())]
-    while stack and work and len(found) < most:
-        work -= 1
-        at, left, items = stack.pop()
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        if at == len(lengths) or left == 0:
-            used = dict(items)
-            spare = [x for x in lengths if counts[x] > used.get(x, 0)] if left else []
-            if not any(x <= left or any(y < x <= y + left for y in used) for x in spare):
-                found.append((left, items))
-                if left == 0:
-                    break
-            continue
-        x = lengths[at]
-        top = min(counts[x], left // x)
-        stack += [(at + 1, left - n * x, (*items, (x, n)) if n else items) for n in range(0, top + 1)]
-    return sorted(found, key=lambda f: (f[0], [(-x, -n) for x, n in f[1]]))
-
-
-def _best_fit(lengths: list[int], counts: dict[int, int], room: int) -> tuple[int, tuple[tuple[int, int], ...]]:
-    items = []
-    for x in lengths:
-        n = min(counts[x], room // x)
-        if n:
-            items.append((x, n))
-            room -= n * x
-    return room, tuple(items)
-
-
-def _complete(counts: dict[int, int], capacity: int, allowed: int, choose) -> tuple[list[Pattern], int, bool]:
-    """Completes bins until none is left; ends early, with False, once the waste exceeds ``allowed``."""
-    plan: list[Pattern] = []
-    wasted = 0
-    while counts:
-        lengths = sorted(counts, reverse=True)
-        first = lengths[0]
-        counts[first] -= 1
-        waste, items = choose([x for x in lengths if counts[x]], counts, capacity - first)
-        counts[first] += 1
-        bin_ = dict(items)
-        bin_[first] = bin_.get(first, 0) + 1
-        times = min(counts[x] // n for x, n in bin_.items())
-        for x, n in bin_.items():
-            counts[x] -= times * n
-            if not counts[x]:
-                del counts[x]
-        plan.append((times, tuple(sorted(bin_.items(), reverse=True))))
-        wasted += times * waste
-        if counts and wasted > allowed:
-            return plan, wasted, False
-    return plan, wasted, True
+def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Best fit by falling length: each piece goes to the fullest bin that has room, whole runs of equal bins at once."""
+    rooms: dict[int, list[Pattern]] = {capacity: []}  # bins by the room left
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        for room in sorted(r for r in rooms if x <= r < capacity):
+            each, held, rooms[room] = room // x, rooms[room], []
+            for times, items in held:
+                full = min(times, n // each)
+                part = min(1, times - full) if n - full * each else 0
+                for many, k in ((full, each), (part, n - full * each)):
+                    if many:
+                        rooms.setdefault(room - k * x, []).append((many, (*items, (x, k))))
+                        n -= many * k
+                if times > full + part:
+                    rooms[room].append((times - full - part, items))
+        each = capacity // x
+        for many, k in ((n // each, each), (1, n % each)):
+            if many and k:
+                rooms.setdefault(capacity - k * x, []).append((many, ((x, k),)))
+    return [bin_ for held in rooms.values() for bin_ in held]
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: the sum, and for each k the pieces over half the capacity with those of k to a half that do not fit beside them."""
+    counts = np.zeros(capacity + 2, np.int64)
+    counts[list(histogram)] = list(histogram.values())
+    lengths = np.arange(capacity + 2)
+    n, total = np.append(0, np.cumsum(counts)), np.append(0, np.cumsum(counts * lengths))
+    k, half = np.arange(capacity // 2 + 1), capacity // 2
+    large, middle = n[-1] - n[capacity - k + 1], n[capacity - k + 1] - n[half + 1]
+    room = middle * capacity - (total[capacity - k + 1] - total[half + 1])
+    small = total[half + 1] - total[np.minimum(k, half + 1)]
+    return int(max((large + middle + np.maximum(0, -(-(small - room) // capacity))).max(), -(-total[-1] // capacity)))
 
 
 def _moves(counts: dict[int, int], capacity: int, work: list[int]) -> Iterator[Pattern]:
@@ -205,34 +184,17 @@ def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], lower
     return best
 
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, branches: int = 6, work: int = WORK) -> list[Pattern]:
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> list[Pattern]:
     """Patterns that hold every piece once, in as few bins as the search finds.
 
-    The incumbent is a best-fit packing. Each branch prefers another rank among the undominated
-    fillings of the first bins; it is cut when its waste exceeds what a packing with one bin less than
-    the incumbent has to spare. Then a search with backtracking goes through all undominated fillings,
-    for ``work`` steps at most. All end at the lower bound: ``ceil(sum / capacity)``, or the number of
-    pieces of over half the capacity.
+    The incumbent is a best-fit packing. If it does not meet the lower bound, a search with backtracking
+    goes through all undominated fillings, depth first, for ``work`` steps at most; a branch is cut where
+    its bins and the bound of what is left come to no less than the incumbent. It is exact unless the
+    steps end; callers see the gap by ``lower_bound``.
     """
     if any(not 0 < x <= capacity for x in histogram):
         raise ValueError("a length must be from 1 to the capacity")
-    total = sum(x * n for x, n in histogram.items())
-    lower = max(-(-total // capacity), sum(n for x, n in histogram.items() if 2 * x > capacity))
-    best, _, _ = _complete(dict(histogram), capacity, capacity * (total + 1), _best_fit)
-    for branch in range(branches):
-        bins = sum(times for times, _ in best)
-        if bins <= lower:
-            break
-        turn = [branch]
-
-        def choose(lengths, counts, room, turn=turn):
-            options = fillings(lengths, counts, room, 8) or [_best_fit(lengths, counts, room)]
-            pick, turn[0] = min(turn[0], len(options) - 1), max(0, turn[0] - 1)
-            return options[pick]
-
-        plan, _, whole = _complete(dict(histogram), capacity, (bins - 1) * capacity - total, choose)
-        if whole and sum(times for times, _ in plan) < bins:
-            best = plan
+    lower, best = lower_bound(histogram, capacity), best_fit(histogram, capacity)
     return best if sum(times for times, _ in best) <= lower else _search(histogram, capacity, best, lower, work)
 
 
