@@ -37,6 +37,8 @@ SHARD = 1 << 24
 #: Bytes that the multikey quicksort orders before the tries take over: the anchor.
 SHALLOW = 24
 LEFT, RIGHT = WINDOW - 1, MATCH
+#: Stands for a null doc_id.
+LAST = (1 << 63) - 1
 ENTRY = np.dtype([("fp", "<u8"), ("digest", "<u8"), ("doc", "<i8")])
 CONTEXT = np.dtype([("fp", "<u8"), ("doc", "<i8"), ("left", "u1"), ("windows", "u1"), ("before", "u1", LEFT), ("after", "u1", RIGHT)])
 
@@ -126,7 +128,7 @@ WHOLE, MIXED = 1, 2
 
 
 def judge(entries: np.ndarray) -> np.ndarray:
-    """WHOLE: a smaller document has the run. MIXED: the first of its digest, where others share the anchor alone."""
+    """WHOLE: a smaller document has the run. MIXED: of the least document of its digest, where others share the anchor alone."""
     order = np.lexsort((entries["doc"], entries["digest"], entries["fp"]))
     e = entries[order]
     new_fp, new_run = np.ones(len(e), bool), np.ones(len(e), bool)
@@ -137,7 +139,7 @@ def judge(entries: np.ndarray) -> np.ndarray:
     docs = np.minimum.reduceat(e["doc"], np.flatnonzero(new_fp)) < np.maximum.reduceat(e["doc"], np.flatnonzero(new_fp))
     whole = e["doc"] > e["doc"][new_run][run]
     out = np.zeros(len(e), np.uint8)
-    out[order] = np.where(whole, WHOLE, np.where((digests > 1)[group] & docs[group] & new_run, MIXED, 0))
+    out[order] = np.where(whole, WHOLE, np.where((digests > 1)[group] & docs[group], MIXED, 0))
     return out
 
 
@@ -188,6 +190,31 @@ def blind_trie(strings: list[int], size: int) -> tuple[list[int], list[int]]:
     return order, common
 
 
+def multikey_quicksort(characters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of an (n, depth) matrix, and for each place the place where its group of equal rows begins.
+
+    All groups are split at once: each into the rows below, at and above its middle row's character; those at it go one deeper.
+    """
+    n, deepest = characters.shape
+    order, group, depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    active = np.arange(n if deepest else 0)
+    while len(active):
+        rows, own = order[active], group[active]
+        c = characters[rows, depth[active]]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        size = np.diff(np.append(first, len(own)))
+        pivot = np.repeat(c[first + size // 2], size)
+        side = np.repeat(3 * np.arange(len(first)), size) + 1 + (c > pivot) - (c < pivot)
+        by = np.argsort(side, kind="stable")
+        side = side[by]
+        order[active], depth[active] = rows[by], depth[active[by]] + (side % 3 == 1)
+        first = np.flatnonzero(np.append(True, side[1:] != side[:-1]))
+        size = np.diff(np.append(first, len(side)))
+        group[active] = np.repeat(active[first], size)
+        active = active[(np.repeat(size, size) > 1) & (depth[active] < deepest)]
+    return order, group
+
+
 def deep_shallow(text: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of an (n, width) byte matrix, and the common prefix of each with the one before it."""
     n, width = text.shape
@@ -196,23 +223,18 @@ def deep_shallow(text: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray,
     wide = -(-width // 8) * 8
     padded = np.zeros((n, wide), np.uint8)
     padded[:, :width] = text
-    characters = padded.view(">u8").astype(np.uint64)
-    order, common = np.arange(n), np.full(n, wide, np.int64)
-    common[0] = 0
-    tied = np.zeros(n, np.int64)  # the group of each place; places in the order so far
-    for depth in range(0, min(shallow, wide) // 8):
-        c = characters[order, depth]
-        again = np.lexsort((c, tied))
-        order, c = order[again], c[again]
-        differ = np.zeros(n, bool)
-        differ[1:] = (c[1:] != c[:-1]) & (tied[1:] == tied[:-1])
-        place = np.flatnonzero(differ)
-        x = c[place] ^ c[place - 1]
-        zeros = np.zeros(len(x), np.int64)
+    characters = padded.view(">u8").astype(np.uint64)[:, : min(shallow, wide) // 8]
+    order, tied = multikey_quicksort(characters)
+    common, same = np.full(n, wide, np.int64), np.ones(n, bool)
+    common[0] = same[0] = 0
+    for depth in range(characters.shape[1]):
+        x = np.append(np.uint64(0), characters[order[1:], depth] ^ characters[order[:-1], depth])
+        place = np.flatnonzero(same & (x > 0))
+        zeros = np.zeros(len(place), np.int64)
         for k in range(7, 0, -1):
-            zeros += x < np.uint64(1 << (8 * k))
+            zeros += x[place] < np.uint64(1 << (8 * k))
         common[place] = 8 * depth + zeros
-        tied = np.cumsum(differ | np.append(False, tied[1:] != tied[:-1]))
+        same[place] = False
     starts = np.flatnonzero(np.append(True, tied[1:] != tied[:-1]))
     rest = padded[:, min(shallow, wide) :]
     size = rest.shape[1]
@@ -277,7 +299,7 @@ def sliced(docs: DataFrame) -> DataFrame:
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1), SLICE):
-                ids = batch.column(0)[a:b].to_numpy(zero_copy_only=False)
+                ids = batch.column(0)[a:b].fill_null(LAST).to_numpy(zero_copy_only=False)
                 text = pa.compress(data.tobytes(), "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([(task << 32) + k]), *(pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), offsets.tobytes(), text)), pa.array([len(data)])],
@@ -350,8 +372,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Each byte goes that lies in a 50-byte string which also starts in a document of smaller doc_id, as
     the texts came. A null text counts as empty. Rows repeated under one id do not remove each other's
-    bytes. kept_text has U+FFFD where a cut broke a character. An empty table gives no rows; other
-    columns of ``docs`` are not read. doc_id must not be null.
+    bytes. kept_text lacks characters that a cut broke. A null doc_id counts as greater than all others
+    and stays null. An empty table gives no rows; other columns of ``docs`` are not read.
     """
     table = materialise(sliced(docs), "slices")
     total = table.agg(F.sum("size").alias("n")).first()["n"] or 0
@@ -421,9 +443,9 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, gone: np.nda
     texts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids), pa.array(np.diff(offsets)), pa.array(np.diff(removed[offsets])), pa.array(np.diff(spans[offsets])),
+            pa.array(ids, mask=ids == LAST), pa.array(np.diff(offsets)), pa.array(np.diff(removed[offsets])), pa.array(np.diff(spans[offsets])),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-            pa.array([t.decode(errors="replace") if with_text else None for t in texts], pa.string()),
+            pa.array([t.decode(errors="ignore") if with_text else None for t in texts], pa.string()),
         ],
         names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
     )
