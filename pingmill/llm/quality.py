@@ -81,7 +81,7 @@ def content(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     ln = np.bincount(row, data == 10, rows) + 1
     extra = (
         np.log1p(words), np.log1p(words) ** 2 / 10, mean(length) / 10, np.sqrt(mean(length**2)) / 10, mean(same), mean(pairs), mean(caps),
-        distinct / many, most / many, np.log1p(words / ln), (words < 5).astype(float), np.log1p(mean(runs.mean() * same)),
+        distinct / many, most / many, np.log1p(words / ln), (words < 5).astype(float), np.log1p(many / np.maximum(distinct, 1) * mean(same)),
     )
     out[:, 3 * CLASSES :] = np.column_stack(extra)
     return out
@@ -174,7 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled
             both = np.column_stack(x).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), pa.array([r.tobytes() for r in both], pa.binary())], names=["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, quality int, x binary").orderBy("doc_id", F.desc("quality")).dropDuplicates(["doc_id"]).toArrow()
+    # a labelled row rather than a free one of the same id
+    picked = rows.mapInArrow(run, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.max(F.struct("quality", "x")).alias("r"))
+    found = picked.select("doc_id", "r.*").orderBy("doc_id").toArrow()
     y = found.column("quality").to_numpy().astype(float)
     ids = found.column("doc_id").to_pylist()
     x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(len(y), CONTENT + 2 * BUCKETS + 8).astype(float)
