@@ -16,32 +16,36 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
+    """Drops documents that the quality classifier rejects. Rows of one id stay if one of them does; a null id goes."""
     kept = quality.score(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
     return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of equal texts, and one row of an id."""
-    kept = exact_dedup.exact_copies(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one row of equal texts. Null counts as empty. Rows of one id with different texts stay."""
+    kept = exact_dedup.exact_copies(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    rows = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    return rows.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id AND d.text_sha256 = k.text_sha256"), "left_semi").dropDuplicates(["doc_id", "text_sha256"]).select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate class."""
+    """Keeps the document of least id of each near-duplicate class. Texts without words are in no class and stay."""
     kept = chosen_path.jaccard_classes(docs).where("doc_id = class_id").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that an earlier document holds; n_chars follows the text. Texts of which nothing is left go."""
+    """Cuts passages that an earlier document holds; n_chars follows the text. Texts of which nothing is left go.
+
+    Rows of one id take the language and source of one of them.
+    """
     cut = suffix_dedup.remove_repeats(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
     kept = cut.where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long"))
-    return kept.join(docs.select("doc_id", "lang", "source"), "doc_id").select(*COLUMNS)
+    return kept.join(docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"]), "doc_id").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 2048 tokens."""
+    """Packs what is left into sequences of 2048 tokens: a row a piece. An empty table gives no rows."""
     return packing.pack_documents(docs)
 
 
