@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: First and last hours of AM, MD and PM by scheme; other hours are RD. A scheme "od" has the comments' hours.
 PERIODS = {
     "weekday": ((7, 9), (10, 15), (16, 18)),
+    "gap": ((7, 9), (10, 15), (16, 18)),
     "weekend": ((7, 9), (12, 13), (16, 18)),
     "region": ((7, 10), (11, 15), (16, 19)),
     "od": ((7, 10), (11, 15), (16, 19)),

@@ -156,3 +156,23 @@ def tract_representativeness(users: DataFrame, tracts: DataFrame) -> DataFrame:
 
 def place_coverage(places: DataFrame) -> DataFrame:
     return places.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("home_lon").isNotNull()).alias("with_home"), F.count_if(F.col("home_lon").isNotNull() & F.col("work_lon").isNotNull()).alias("with_both"))
+
+
+def kept_share(selected: DataFrame, trips: DataFrame) -> DataFrame:
+    """Trips in all and trips kept; selected: user_id, n_trips (kept)."""
+    total = trips.agg(F.count(F.lit(1)).alias("n_trips"))
+    kept = selected.agg(F.coalesce(F.sum("n_trips"), F.lit(0)).alias("n_kept"))
+    return total.crossJoin(kept).withColumn("share", F.col("n_kept") / F.col("n_trips"))  # one row each
+
+
+def main_route_coverage(points: DataFrame, high: DataFrame) -> DataFrame:
+    """Shares of the users of ``points`` with one high-resolution trip at least, and with more than one."""
+    counts = high.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = points.select("user_id").distinct().join(counts, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    share = lambda c: F.avg(F.when(c, 1).otherwise(0))
+    return users.agg(F.count(F.lit(1)).alias("n_users"), share(F.col("n") >= 1).alias("with_one"), share(F.col("n") > 1).alias("with_more"))
+
+
+def commuters(places: DataFrame) -> DataFrame:
+    """Users with a flag that tells whether they have a work place."""
+    return places.select("user_id", F.col("work_lon").isNotNull().alias("commuter"))

@@ -86,3 +86,15 @@ def weekly_profile(trips: DataFrame, hour_of_week: str = "hour_of_week") -> Data
     counts = trips.groupBy(F.col(hour_of_week).cast("int").alias("hour_of_week")).agg(F.count(F.lit(1)).alias("n"))
     full = spark.range(168).select(F.col("id").cast("int").alias("hour_of_week")).join(counts, "hour_of_week", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # 168 rows
+
+
+def large_flows(od: DataFrame, more_than: float = 1000) -> DataFrame:
+    return od.where(F.col("flow") > more_than)
+
+
+def mapped_survey(survey: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Survey flows between large zones by the map of small to large ones; flows within one go."""
+    from pingmill.operators.spatial import map_od
+
+    large = map_od(survey, mapping).select(F.col("o_large").alias("o_zone"), F.col("d_large").alias("d_zone"), "flow")
+    return aggregate_od(large)

@@ -73,7 +73,8 @@ def home_work(trips: DataFrame, eps: float = 0.001, min_pts: int = 2, share: flo
 def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005) -> DataFrame:
     """The ``k``-th most frequent directed pair of end clusters of each user, with centroids and trips.
 
-    Among pairs of equal counts the one whose first trip is latest comes first. A user without a ``k``-th pair has no row.
+    n_user_trips are all of the user's trips, n_trips those of the pair. Among pairs of equal counts the
+    one whose first trip is latest comes first. A user without a ``k``-th pair has no row.
     """
     ends = trip_ends(points)
     both = ends.select(
@@ -85,7 +86,8 @@ def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005) -> Dat
     pair = labelled.groupBy("user_id", "trip_id").agg(F.max(F.when(F.col("side") == 0, F.col("label"))).alias("o"), F.max(F.when(F.col("side") == 1, F.col("label"))).alias("d"))
     counts = pair.groupBy("user_id", "o", "d").agg(F.count(F.lit(1)).alias("n_trips"), F.min("trip_id").alias("first"), F.collect_list("trip_id").alias("trips"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n_trips"), F.desc("first")))
-    top = counts.withColumn("_rank", rank).where(F.col("_rank") == k).drop("_rank", "first")
+    ranked = counts.select("*", rank.alias("_rank"), F.sum("n_trips").over(Window.partitionBy("user_id")).alias("n_user_trips"))
+    top = ranked.where(F.col("_rank") == k).drop("_rank", "first")
     o = centres.select("user_id", F.col("label").alias("o"), F.col("c_lon").alias("o_lon"), F.col("c_lat").alias("o_lat"))
     d = centres.select("user_id", F.col("label").alias("d"), F.col("c_lon").alias("d_lon"), F.col("c_lat").alias("d_lat"))
     return top.join(o, ["user_id", "o"]).join(d, ["user_id", "d"])

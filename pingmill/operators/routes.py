@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingmill.functions.geo import PLANAR, haversine_km
+from pingmill.functions.geo import PLANAR, euclid, haversine_km
+from pingmill.functions.storage import materialise
 from pingmill.operators.components import connected_components
 from pingmill.operators.trips import drop, keep, legs
 
@@ -45,8 +46,23 @@ def _spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return y[i] * (1 - t) + y[i + 1] * t + ((1 - t) ** 3 - (1 - t)) * m[i] / 6 + (t**3 - t) * m[i + 1] / 6
 
 
-def smooth_traces(points: DataFrame, n: int = 100) -> DataFrame:
-    """Each trip as ``n`` points of a cubic spline over its collapsed points; trips of less than four stay as they are.
+def _collapsed(xy: np.ndarray, eps: float) -> np.ndarray:
+    """Points replaced by the centroid of their chain of points within ``eps``, without repeats in a row."""
+    near = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]) <= eps
+    root = np.arange(len(xy))
+    while True:
+        after = np.where(near, root[None, :], len(xy)).min(axis=1)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    many = np.maximum(np.bincount(root, minlength=len(xy)), 1)
+    centre = np.column_stack([np.bincount(root, xy[:, c], len(xy)) / many for c in (0, 1)])[root]
+    return centre[np.append(True, (centre[1:] != centre[:-1]).any(axis=1))]
+
+
+def smooth_traces(points: DataFrame, n: int = 100, eps: float | None = None) -> DataFrame:
+    """Each trip as ``n`` points of a cubic spline over its points, collapsed within ``eps`` if given; trips of less than four stay as they are.
 
     points: user_id, trip_id, k (order), lon, lat. A trip is one group; trips have hundreds of points.
     """
@@ -54,7 +70,9 @@ def smooth_traces(points: DataFrame, n: int = 100) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("k")
         xy = pdf[["lon", "lat"]].to_numpy()
-        if len(xy) >= 4:
+        steps = _collapsed(xy, eps) if eps else xy
+        if len(steps) >= 4:
+            xy = steps
             xy = _spline(xy, np.linspace(0, len(xy) - 1, n))
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "trip_id": pdf["trip_id"].iloc[0], "k": np.arange(len(xy)), "lon": xy[:, 0], "lat": xy[:, 1]})
 
@@ -72,23 +90,32 @@ def collapse(points: DataFrame, labels: DataFrame) -> DataFrame:
 def _shaped(points: DataFrame) -> DataFrame:
     """Per trip an array of (lon, lat, along, position) by k; position 0 for trips without length."""
     order = Window.partitionBy(*TRIP).orderBy("k")
-    leg = F.sqrt(F.pow(F.col("lon") - F.lag("lon").over(order), 2) + F.pow(F.col("lat") - F.lag("lat").over(order), 2)) / PLANAR
+    leg = euclid(F.lag("lon").over(order), F.lag("lat").over(order), F.col("lon"), F.col("lat"))
     run = points.withColumn("_leg", F.coalesce(leg, F.lit(0.0))).withColumn("along", F.sum("_leg").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = run.withColumn("_all", F.max("along").over(Window.partitionBy(*TRIP)))
     placed = whole.withColumn("position", F.when(F.col("_all") > 0, F.col("along") / F.col("_all")).otherwise(0.0))
     return placed.groupBy(*TRIP).agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat", "along", "position"))).alias("p"))
 
 
-def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88) -> DataFrame:
+def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88, within: float | None = None) -> DataFrame:
     """(user_id, trip_i, trip_j, dist), trip_i < trip_j: the modified Hausdorff distance of each pair of a user's trips.
 
     For each point of i: the partner in j of nearest position, the first of equal ones; among j's points
     within window / 2 of it along the trip, the least distance. The distance is the value at ``rank``.
+    ``within``: pairs that are farther may be left out. Such a pair has fewer points of i than ``rank``
+    asks for in the box of j widened by the distance, which is seen without comparing points.
     """
     shapes = _shaped(points)
     a = shapes.select("user_id", F.col("trip_id").alias("trip_i"), F.col("p").alias("a"))
     b = shapes.select("user_id", F.col("trip_id").alias("trip_j"), F.col("p").alias("b"))
+    at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1
+    if within is not None:
+        more = within * PLANAR * (1 + 1e-9)
+        edges = {f"_{c}{k}": f(F.transform("b", lambda y, c=c: y[c])) + sign * more for c in ("lon", "lat") for k, f, sign in ((0, F.array_min, -1), (1, F.array_max, 1))}
+        b = b.withColumns(edges)
     pairs = a.join(b, "user_id").where("trip_i < trip_j")
+    if within is not None:
+        pairs = pairs.where(F.size(F.filter("a", lambda x: x["lon"].between(F.col("_lon0"), F.col("_lon1")) & x["lat"].between(F.col("_lat0"), F.col("_lat1")))) >= at)
 
     def least(x, along):
         far = F.transform(F.filter("b", lambda y: F.abs(y["along"] - along) <= window / 2), lambda y: F.pow(y["lon"] - x["lon"], 2) + F.pow(y["lat"] - x["lat"], 2))
@@ -100,7 +127,6 @@ def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88)
         return F.transform(F.array(F.array_min(gap)["along"]), lambda along: least(x, along))[0]
 
     found = F.array_sort(F.transform("a", nearest))
-    at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1
     return pairs.select("user_id", "trip_i", "trip_j", F.element_at(found, at).alias("dist"))
 
 
@@ -113,22 +139,33 @@ def cluster_pairs(pairs: DataFrame, eps: float = 0.002, min_pts: int = 1) -> Dat
     return connected_components(edges, ["user_id"]).select("user_id", F.col("node").alias("trip_id"), "label")
 
 
-def main_routes(points: DataFrame, eps: float = 0.002, samples: int = 100) -> DataFrame:
-    """(user_id, trip_id, route_id) of high-resolution trips; routes are numbered from 0 by their first trip."""
+def shapes(points: DataFrame, high: DataFrame, samples: int = 100, near: float = 0.001) -> DataFrame:
+    """user_id, trip_id, k, lon, lat of the smoothed traces of the trips in ``high``."""
+    order = Window.partitionBy(*TRIP).orderBy("ts", "ping_id")
+    return smooth_traces(keep(points, high, TRIP).withColumn("k", F.row_number().over(order)), samples, near)
+
+
+def main_routes(points: DataFrame, eps: float = 0.002, samples: int = 100, shaped: DataFrame | None = None) -> DataFrame:
+    """(user_id, trip_id, route_id) of high-resolution trips; routes are numbered from 0 by their first trip.
+
+    Trips are compared as smoothed traces (``shapes``).
+    """
     high = high_res_trips(points)
-    shaped = resample_linear(keep(points, high, TRIP), samples)
-    labels = cluster_pairs(route_distances(shaped), eps)
+    shaped = shapes(points, high, samples) if shaped is None else shaped
+    labels = cluster_pairs(route_distances(shaped, within=eps), eps)
     named = high.join(labels, TRIP, "left").withColumn("label", F.coalesce("label", "trip_id"))
     return named.withColumn("route_id", F.dense_rank().over(Window.partitionBy("user_id").orderBy("label")) - 1).drop("label")
 
 
-def assign_low_res(points: DataFrame, routes: DataFrame, most_km: float = 1.5) -> DataFrame:
+def assign_low_res(points: DataFrame, routes: DataFrame, most_km: float = 1.5, shaped: DataFrame | None = None) -> DataFrame:
     """Routes of the other trips of users with main routes: that of the nearest high-resolution trip, the last of equal ones, else -1.
 
-    The distance is the greatest over the trip's points of the least to the other trip's points.
+    The distance is the greatest over the trip's points of the least to the other trip's points, which
+    are those of its smoothed trace.
     """
     low = drop(keep(points, routes, ["user_id"]), routes, TRIP).select(*TRIP, "ping_id", "lon", "lat")
-    high = points.join(routes, TRIP).select("user_id", F.col("trip_id").alias("high"), "route_id", F.col("lon").alias("h_lon"), F.col("lat").alias("h_lat"))
+    shaped = shapes(points, routes) if shaped is None else shaped
+    high = shaped.join(routes, TRIP).select("user_id", F.col("trip_id").alias("high"), "route_id", F.col("lon").alias("h_lon"), F.col("lat").alias("h_lat"))
     km = haversine_km(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon"))
     least = low.join(high, "user_id").groupBy(*TRIP, "ping_id", "high", "route_id").agg(F.min(km).alias("km"))
     far = least.groupBy(*TRIP, "high", "route_id").agg(F.max("km").alias("km"))
@@ -138,8 +175,25 @@ def assign_low_res(points: DataFrame, routes: DataFrame, most_km: float = 1.5) -
 
 def detect_routes(points: DataFrame, eps: float = 0.002, samples: int = 100, most_km: float = 1.5) -> DataFrame:
     """Routes of all trips of users who have a high-resolution trip."""
-    high = main_routes(points, eps, samples)
-    return high.unionByName(assign_low_res(points, high, most_km))
+    shaped = materialise(shapes(points, high_res_trips(points), samples), "shapes")
+    high = main_routes(points, eps, samples, shaped)
+    return high.unionByName(assign_low_res(points, high, most_km, shaped))
+
+
+def route_clusters(shaped: DataFrame, eps: float = 0.003) -> DataFrame:
+    """(user_id, trip_id, label) of trips that have another within ``eps``: density clusters of two and more."""
+    return cluster_pairs(route_distances(shaped, within=eps), eps)
+
+
+def corridor_clusters(shaped: DataFrame, clusters: int) -> tuple[DataFrame, DataFrame]:
+    """Trips of a corridor merged down to ``clusters`` routes a user by their distances, and each route's trips and users."""
+    labels = agglomerate(route_distances(shaped), clusters)
+    return labels, cluster_summary(labels)
+
+
+def region_routes(points: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(user_id, trip_id, region_a, region_b) of trips through a valid pair of regions; points with zone_id, pairs: region_a < region_b."""
+    return region_pair(region_sequence(points)).join(pairs.select("region_a", "region_b").distinct(), ["region_a", "region_b"], "left_semi")
 
 
 def clean_routes(routes: DataFrame, more_than: int = 2) -> DataFrame:
@@ -182,7 +236,7 @@ def similarity_aligned(points: DataFrame) -> DataFrame:
     """One over the mean distance of the points of equal k of each pair of a user's trips."""
     a = points.select("user_id", "k", F.col("trip_id").alias("trip_i"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
     b = points.select("user_id", "k", F.col("trip_id").alias("trip_j"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    d = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2)) / PLANAR
+    d = euclid(F.col("x2"), F.col("y2"), F.col("x1"), F.col("y1"))
     return a.join(b, ["user_id", "k"]).where("trip_i < trip_j").groupBy("user_id", "trip_i", "trip_j").agg((1 / (F.avg(d) + 1e-6)).alias("similarity"))
 
 

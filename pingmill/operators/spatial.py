@@ -88,3 +88,14 @@ def zone_distances(centroids: DataFrame) -> DataFrame:
 
 def zone_values(zones: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return zones.select("zone_id").distinct().join(values, "zone_id", "left").select("zone_id", F.coalesce(value, F.lit(0.0)).alias(value))
+
+
+def home_tracts(homes: DataFrame, tracts: DataFrame) -> DataFrame:
+    """(user_id, tract) of users whose home lies in a tract; homes: user_id, home_lon, home_lat."""
+    known = homes.where("home_lon is not null and home_lat is not null").select("user_id", "home_lon", "home_lat")
+    return assign_zones(known, tracts, "home_lon", "home_lat", "tract", ["user_id"]).where("tract is not null").select("user_id", "tract")
+
+
+def tract_income(homes: DataFrame, incomes: DataFrame) -> DataFrame:
+    """Home tract with the tract's income; users of tracts without one go."""
+    return homes.join(incomes.select("tract", "income"), "tract").select("user_id", "tract", "income")

@@ -70,6 +70,13 @@ def ridge_summary(df: DataFrame, metric: str, routes: str = "n_routes") -> DataF
     return df.groupBy(F.least(routes, F.lit(4)).alias("route_class")).agg(F.percentile(metric, 0.5).alias("median"), F.count(F.lit(1)).alias("n"))
 
 
+def ridge_density(df: DataFrame, metric: str, low: float, high: float, n: int, routes: str = "n_routes") -> DataFrame:
+    """(route_class, bin, n, density): the histogram of a metric within each class, as a share by unit of the metric."""
+    rows = df.select(F.least(routes, F.lit(4)).alias("route_class"), bin_of(F.col(metric), low, high, n).alias("bin")).where("bin is not null")
+    counts = rows.groupBy("route_class", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy("route_class")) / ((high - low) / n))
+
+
 def lognormal_fit(df: DataFrame, col: str) -> DataFrame:
     x = F.log(F.col(col))
     return df.where(F.col(col) > 0).agg(F.exp(F.avg(x)).alias("scale"), F.stddev_pop(x).alias("shape"), F.count(F.lit(1)).alias("n"))
@@ -84,7 +91,7 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 50_000, seed: int = 7,
 
     The running weight is taken within ranges and then shifted by the ranges' sums, so no window has one partition.
     """
-    part = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(64)))
+    part = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(max(64, df.count() // 100_000))))  # some 100,000 rows a range
     sums = part.groupBy("_part").agg(F.sum(weight).alias("_w"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_w").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("_part", "_base")
     total = sums.agg(F.sum("_w").alias("_total"))

@@ -196,3 +196,70 @@ def fill_grid_gaps(cells: DataFrame, fine: DataFrame, w: int = 2) -> DataFrame:
     kept = steps.join(first.select("user_id", "trip_id", "pos"), ["user_id", "trip_id", "pos"], "left_anti").select("user_id", "trip_id", "pos", F.lit(0).alias("at"), "grid")
     order = Window.partitionBy("user_id", "trip_id").orderBy("pos", "at")
     return kept.unionByName(filled).select("user_id", "trip_id", (F.row_number().over(order) - 1).cast("long").alias("seq"), "grid")
+
+
+def lat_lon(points: DataFrame) -> DataFrame:
+    """Points as latitude, longitude beside their keys."""
+    return points.select("user_id", "trip_id", "ping_id", "lat", "lon")
+
+
+def in_box(points: DataFrame, west: float, east: float) -> DataFrame:
+    return points.where(F.col("lon").between(west, east))
+
+
+def count_entities(points: DataFrame) -> DataFrame:
+    """Distinct users, and distinct trips of users, through one row a trip."""
+    per_user = points.select("user_id", "trip_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_user.agg(F.count(F.lit(1)).alias("n_users"), F.sum("n").alias("n_trips"))
+
+
+def avg_distance(ends: DataFrame) -> DataFrame:
+    """Mean km from end to end of each user's trips."""
+    return ends.groupBy("user_id").agg(F.avg(haversine_km(F.col("s_lat"), F.col("s_lon"), F.col("t_lat"), F.col("t_lon"))).alias("distance"))
+
+
+def lon_series(points: DataFrame, west: float, east: float, step: float) -> DataFrame:
+    """(user_id, trip_id, seq, slot, lat): runs of points in one slot of longitude, with their mean latitude."""
+    slots = in_box(points, west, east).withColumn("slot", ((F.col("lon") - west) / step).cast("int"))
+    run = F.sum(F.when(F.col("_was").isNull() | (F.col("_was") != F.col("slot")), 1).otherwise(0)).over(by_trip())
+    runs = slots.withColumn("_was", F.lag("slot").over(by_trip())).withColumn("seq", run - 1)
+    return runs.groupBy("user_id", "trip_id", "seq", "slot").agg(F.avg("lat").alias("lat"))
+
+
+def first_users(trips: DataFrame, n: int = 50) -> DataFrame:
+    """Rows of the first ``n`` users by id."""
+    return keep(trips, trips.select("user_id").distinct().orderBy("user_id").limit(n), ["user_id"])
+
+
+def all_users(*parts: DataFrame) -> DataFrame:
+    """Users of any of the parts."""
+    out = parts[0].select("user_id")
+    for more in parts[1:]:
+        out = out.union(more.select("user_id"))
+    return out.distinct()
+
+
+def common_users(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select("user_id").intersect(b.select("user_id"))
+
+
+def concatenate(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts; columns go by name."""
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def sorted_by_user(points: DataFrame) -> DataFrame:
+    """A user's points in one partition, in order of time."""
+    return points.repartition("user_id").sortWithinPartitions("user_id", "ts", "ping_id")
+
+
+def trips_top_od_grid(points: DataFrame, least: int = 13) -> DataFrame:
+    """Points of the trips of each user's commonest pair of cells, the least of equal ones, if it has ``least`` trips."""
+    cells = od_grid_trips(points)
+    counts = cells.groupBy("user_id", "o_grid", "d_grid").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "o_grid", "d_grid"))
+    top = counts.withColumn("_rank", rank).where((F.col("_rank") == 1) & (F.col("n") >= least))
+    return keep(points, keep(cells, top, ["user_id", "o_grid", "d_grid"]), ["user_id", "trip_id"])

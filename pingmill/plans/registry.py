@@ -497,7 +497,7 @@ def home_from_stays(s, d):
 
 @query()
 def detect_routes(s, d):
-    return routes.detect_routes(segmented(s, d), samples=10)
+    return routes.detect_routes(segmented(s, d))
 
 
 # --- grid bounds, resampling, trip similarity, samples -------------------------------------------
@@ -543,7 +543,7 @@ def smooth_traces(s, d):
     from pyspark.sql import Window
 
     order = Window.partitionBy("user_id", "trip_id").orderBy("ts", "ping_id")
-    return r6(routes.smooth_traces(segmented(s, d).withColumn("k", F.row_number().over(order)), 20), "lon", "lat")
+    return r6(routes.smooth_traces(segmented(s, d).withColumn("k", F.row_number().over(order)), eps=0.001), "lon", "lat")
 
 
 @query()
