@@ -10,6 +10,9 @@ from pingmill.functions.geo import haversine_km
 from pingmill.operators.components import connected_components
 from pingmill.operators.trips import keep, trip_ends
 
+#: Degrees up to which places are one: means of equal places differ in the last digits.
+SAME = 1e-9
+
 
 def cluster_points(points: DataFrame, group: list[str], eps: float, min_pts: int = 1, lon: str = "lon", lat: str = "lat", order: str = "idx") -> DataFrame:
     """``points`` with ``label``, the least ``order`` of its cluster; null for noise.
@@ -100,8 +103,8 @@ def trips_of_od_rank(points: DataFrame, k: int = 1, least: int = 10, eps: float
     columns = ["user_id", "trip_id", "ts", "lon", "lat", "ping_id"]
     own = keep(points, chosen, ["user_id", "trip_id"]).select(*columns, F.lit(0).alias("pos"))
     ends = trip_ends(points).join(chosen, ["user_id", "trip_id"])
-    lead = ends.where("s_lon <> o_lon or s_lat <> o_lat").select("user_id", "trip_id", F.col("dep_ts").alias("ts"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(-1).alias("pos"))
-    tail = ends.where("t_lon <> d_lon or t_lat <> d_lat").select("user_id", "trip_id", F.col("arr_ts").alias("ts"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(1).alias("pos"))
+    lead = ends.where(f"abs(s_lon - o_lon) > {SAME} or abs(s_lat - o_lat) > {SAME}").select("user_id", "trip_id", F.col("dep_ts").alias("ts"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(-1).alias("pos"))
+    tail = ends.where(f"abs(t_lon - d_lon) > {SAME} or abs(t_lat - d_lat) > {SAME}").select("user_id", "trip_id", F.col("arr_ts").alias("ts"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(1).alias("pos"))
     return own.unionByName(lead).unionByName(tail)
 
 

@@ -31,6 +31,11 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
 
 
+def r10(df: DataFrame, *cols: str) -> DataFrame:
+    """Means of places of six digits: ten keep them off the edge between two roundings."""
+    return df.withColumns({c: F.round(F.col(c), 10) for c in cols})
+
+
 def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips.segment_trips(fx.pings(spark, sf_dir))
 
@@ -465,34 +470,35 @@ def expand_od(s, d):
     return r6(od.expand_od(fx.od_tables(s, d)[0], _factors(s, d)), "flow_expanded")
 
 
-# --- clusters, places, stays, routes: brute-force tests instead of SQL ----------------------------
+# --- clusters, places, stays, routes: SQL with recursion is in ``more``; routes have brute-force tests --
 
 
 @query()
 def home_work(s, d):
     ends = trips.trip_summary(segmented(s, d)).withColumn("idx", F.col("trip_id"))
-    return r6(places.home_work(ends, eps=0.005), "home_lon", "home_lat", "work_lon", "work_lat")
+    return r10(places.home_work(ends, eps=0.005), "home_lon", "home_lat", "work_lon", "work_lat")
 
 
 @query()
 def significant_places(s, d):
     found = places.significant_places(segmented(s, d)).withColumn("trips", F.array_join(F.sort_array("trips"), ","))
-    return r6(found, "o_lon", "o_lat", "d_lon", "d_lat")
+    return r10(found, "o_lon", "o_lat", "d_lon", "d_lat")
 
 
 @query()
 def trips_of_od_rank(s, d):
-    return places.trips_of_od_rank(segmented(s, d), 1, 3)
+    return r10(places.trips_of_od_rank(segmented(s, d), 1, 3), "lon", "lat")
 
 
 @query()
 def stay_points(s, d):
-    return r6(places.stay_points(fx.pings(s, d)), "lon", "lat")
+    return r10(places.stay_points(fx.pings(s, d)), "lon", "lat")
 
 
 @query()
 def home_from_stays(s, d):
-    return places.home_from_stays(places.stay_points(fx.pings(s, d)), 0.005)
+    found = places.home_from_stays(places.stay_points(fx.pings(s, d)), 0.005)
+    return found.withColumns({c: F.round(c, 8) for c in ("c_lon", "c_lat")})
 
 
 @query()
