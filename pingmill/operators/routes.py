@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,26 +111,32 @@ def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88,
     shapes = _shaped(points)
     a = shapes.select("user_id", F.col("trip_id").alias("trip_i"), F.col("p").alias("a"))
     b = shapes.select("user_id", F.col("trip_id").alias("trip_j"), F.col("p").alias("b"))
-    at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1
     if within is not None:
         more = within * PLANAR * (1 + 1e-9)
-        edges = {f"_{c}{k}": f(F.transform("b", lambda y, c=c: y[c])) + sign * more for c in ("lon", "lat") for k, f, sign in ((0, F.array_min, -1), (1, F.array_max, 1))}
-        b = b.withColumns(edges)
+        values = {"lon": F.col("b.lon"), "lat": F.col("b.lat")}
+        b = b.withColumns({f"_{c}{k}": f(v) + sign * more for c, v in values.items() for k, f, sign in ((0, F.array_min, -1), (1, F.array_max, 1))})
     pairs = a.join(b, "user_id").where("trip_i < trip_j")
     if within is not None:
+        at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1
         pairs = pairs.where(F.size(F.filter("a", lambda x: x["lon"].between(F.col("_lon0"), F.col("_lon1")) & x["lat"].between(F.col("_lat0"), F.col("_lat1")))) >= at)
 
-    def least(x, along):
-        far = F.transform(F.filter("b", lambda y: F.abs(y["along"] - along) <= window / 2), lambda y: F.pow(y["lon"] - x["lon"], 2) + F.pow(y["lat"] - x["lat"], 2))
-        return F.sqrt(F.array_min(far)) / PLANAR
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in batch.columns[3:]]
+            dist = [_distance(row[:4], row[4:], window, rank) for row in zip(*shapes, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dist, pa.float64())], names=["user_id", "trip_i", "trip_j", "dist"])
+
+    fields = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("lon", "lat", "along", "position")]
+    return pairs.select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "trip_i", "trip_j")), *fields).mapInArrow(run, "user_id long, trip_i long, trip_j long, dist double")
 
-    def nearest(x):
-        gap = F.transform("b", lambda y: F.struct(F.abs(y["position"] - x["position"]).alias("g"), y["k"].alias("k"), y["along"].alias("along")))
-        # an array of one, so that the partner is looked for once
-        return F.transform(F.array(F.array_min(gap)["along"]), lambda along: least(x, along))[0]
 
-    found = F.array_sort(F.transform("a", nearest))
-    return pairs.select("user_id", "trip_i", "trip_j", F.element_at(found, at).alias("dist"))
+def _distance(a: tuple, b: tuple, window: float, rank: float) -> float:
+    """lon, lat, along and position of two trips' points in order."""
+    partner = np.abs(a[3][:, None] - b[3]).argmin(axis=1)
+    near = np.abs(b[2][partner][:, None] - b[2]) <= window / 2
+    square = (a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2
+    least = np.sort(np.sqrt(np.where(near, square, np.inf).min(axis=1)) / PLANAR)
+    return float(least[min(int(len(least) * rank), len(least) - 1)])
 
 
 def cluster_pairs(pairs: DataFrame, eps: float = 0.002, min_pts: int = 1) -> DataFrame:
