@@ -13,6 +13,7 @@ examples that are left out of their own search.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from pingmill.functions.storage import materialise
 SAMPLE = 6_000
 NEIGHBOURS = 30
 #: Examples of a block, blocks that are scored first, and examples with a term from which the term has bounds by block.
-BLOCK, FIRST, LISTED = 64, 4, 4
+BLOCK, FIRST, LISTED = 64, 4, 16
 #: A term in more than one example in this many has its weights in a row of all examples.
 COMMON = 16
 #: Weight of a term that tells nothing, and documents that a term counts to have beside those it was seen in.
@@ -63,6 +64,20 @@ class Index(NamedTuple):
     fit: np.ndarray  # of the calibration
 
 
+class Packed:
+    """A value that is broadcast compressed: an index is mostly small numbers and zeros."""
+
+    def __init__(self, value: object):
+        self.value = value
+
+    def __getstate__(self) -> tuple[int, bytes]:
+        data = pickle.dumps(self.value, 5)
+        return len(data), pa.compress(data, "zstd", asbytes=True)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        self.value = pickle.loads(pa.decompress(state[1], state[0], "zstd", asbytes=True))
+
+
 def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     terms = np.array(sorted(counts), np.int64)
     w = (1 + np.log([counts[t] for t in terms.tolist()])) * idf[terms] if len(terms) else np.zeros(0)
@@ -247,15 +262,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     seen[sums.column("term").to_numpy()] = sums.column("n").to_numpy()
     numbers = shared.value
     index = build(vocabulary, [(r["doc_id"], r["toxic"], {numbers[t]: n for t, n in zip(r["terms"], r["counts"], strict=True)}) for r in found], mean, seen[:-1], int(seen[-1]))
-    own = spark.sparkContext.broadcast(index)
+    own = spark.sparkContext.broadcast(Packed(index))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [evidence(own.value, *vector(_counts(t.as_py(), own.value.vocabulary), own.value.idf), without=i)[:2] for i, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
+            index = own.value.value
+            out = [evidence(index, *vector(_counts(t.as_py(), index.vocabulary), index.idf), without=i)[:2] for i, t in zip(batch.column(0).to_pylist(), batch.column(2), strict=True)]
             votes = np.array(out).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes[:, 0]), pa.array(votes[:, 1])], names=["doc_id", "toxic", "vote", "terms"])
 
     votes = rows.mapInArrow(vote, "doc_id long, toxic int, vote double, terms double").where("terms > 0").orderBy("doc_id").toArrow()
+    own.destroy()
     x = np.column_stack([votes.column("vote").to_numpy(), votes.column("terms").to_numpy()])
     return index._replace(fit=calibration(x, votes.column("toxic").to_numpy().astype(float), mean))
 
@@ -270,11 +287,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     text without a word of any example. Of rows repeated under one id, an example has the greatest text
     and label; all are scored. An empty table gives no rows; other columns of ``docs`` are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(Packed(index))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, scores, ids, similar = shared.value, [], [], []
+            index, scores, ids, similar = shared.value.value, [], [], []
             for text in batch.column(2):
                 vote, matched, best, close = evidence(index, *vector(_counts(text.as_py() or "", index.vocabulary), index.idf))
                 scores.append(probability(index, vote, matched))
