@@ -32,7 +32,7 @@ COMMON = 600_000
 #: Longer words, in bytes, are merged with a heap: the fold looks at all pairs at each step, so its time grows with the square.
 LONG = 256
 #: Words of a block of documents, about; each word of a block is folded once. A longer text is in a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Buckets of the table of about 100,000 pairs.
 BUCKETS = 1 << 16
 #: Characters that no token has: a pair that merges with nothing, the end of a word, and separators of the table.
@@ -74,20 +74,32 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _merged(table: Column, pair: Column) -> Column:
-    """The token that a pair of tokens merges to, or NONE."""
+def byte_table(ranks: dict[bytes, int]) -> Column:
+    """Literal array of what each pair of bytes merges to, by left * 256 + right."""
+    pairs = (ranks.get(bytes([left, right])) for left in range(256) for right in range(256))
+    return F.split(F.lit(BUCKET.join(NONE if rank is None else character(rank) for rank in pairs)), BUCKET)
 
-    def found(bucket: Column, entry: Column) -> Column:
-        return _let(F.instr(bucket, entry), lambda at: F.when(at > 0, F.substring(bucket, at + 3, F.lit(1))).otherwise(NONE))
 
+def _merged(table: Column, pair: Column) -> Column:
+    """The token that a pair of tokens merges to, or NONE, which is put behind the bucket's entries with the pair."""
+    entry = F.concat(F.lit(ENTRY), pair)
     bucket = F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int"))
-    return _let(bucket, lambda b: found(b, F.concat(F.lit(ENTRY), pair)))
+    return _let(F.concat(bucket, entry, F.lit(NONE)), lambda b: F.substring(b, F.instr(b, entry) + 3, F.lit(1)))
 
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
     """The ids of each of an array of words, by merges alone. The literals occur once: each copy in the plan would be read by every task."""
     letters = "".join(map(chr, range(256))), "".join(character(ranks[bytes([b])]) for b in range(256))
-    return _let(pair_table(ranks), lambda table: F.transform(words, lambda w: _ids(_fold(F.translate(F.decode(F.encode(w, "UTF-8"), "ISO-8859-1"), *letters), table))))
+
+    def fold(word: Column, table: Column, pairs: Column) -> Column:
+        return _ids(_let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda data: _fold(F.translate(data, *letters), _byte_pairs(data, pairs), table)))
+
+    return _let(pair_table(ranks), lambda table: _let(byte_table(ranks), lambda pairs: F.transform(words, lambda w: fold(w, table, pairs))))
+
+
+def _byte_pairs(data: Column, pairs: Column) -> Column:
+    """What the adjacent bytes of a string of one character a byte merge to."""
+    return _let(F.transform(F.split(data, ""), F.ascii), lambda own: F.array_join(F.transform(own, lambda c, i: F.get(pairs, c * 256 + F.get(own, i + 1))), ""))
 
 
 def decode_words(ids: Column, ranks: dict[bytes, int]) -> Column:
@@ -100,12 +112,11 @@ def _ids(tokens: Column) -> Column:
     return F.when(tokens == "", F.array().cast("array<int>")).otherwise(F.transform(number, lambda c: c - F.when(c < 0xD800, 1).otherwise(0x801)))
 
 
-def _fold(letters: Column, table: Column) -> Column:
+def _fold(letters: Column, pairs: Column, table: Column) -> Column:
     rest, one = F.lit(1 << 30), F.lit(1)
 
     def start(tokens: Column) -> Column:
-        pairs = F.transform(F.sequence(one, F.length(tokens) - 1), lambda i: _merged(table, F.substring(tokens, i, F.lit(2))))
-        return F.struct(tokens.alias("tokens"), F.array_join(pairs, "").alias("merged"))
+        return F.struct(tokens.alias("tokens"), F.concat(F.lit(NONE), pairs, F.lit(NONE)).alias("merged"))
 
     def merge(state: Column, best: Column, at: Column) -> Column:
         tokens, merged = state["tokens"], state["merged"]
