@@ -52,14 +52,14 @@ def character(token: int) -> str:
 
 
 def pair_table(ranks: dict[bytes, int]) -> Column:
-    """Literal array of buckets by the pair's CRC-32: (separator, left, right, merged) of each pair in a string."""
+    """Literal array of buckets by the CRC-32 of separator and pair: (separator, left, right, merged) of each pair in a string."""
     buckets = [""] * BUCKETS
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                pair = character(left) + character(right)
-                buckets[zlib.crc32(pair.encode()) % BUCKETS] += ENTRY + pair + character(rank)
+                entry = ENTRY + character(left) + character(right)
+                buckets[zlib.crc32(entry.encode()) % BUCKETS] += entry + character(rank)
     return F.split(F.lit(BUCKET.join(buckets)), BUCKET)
 
 
@@ -70,8 +70,8 @@ def pieces_of(ranks: dict[bytes, int]) -> Column:
 
 
 def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once."""
-    return F.transform(F.array(value), use)[0]
+    """``use(value)`` with ``value`` worked out once: an aggregate over nothing copies no value, as an array's transform would."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda start, _: start, use)
 
 
 def byte_table(ranks: dict[bytes, int]) -> Column:
@@ -82,9 +82,12 @@ def byte_table(ranks: dict[bytes, int]) -> Column:
 
 def _merged(table: Column, pair: Column) -> Column:
     """The token that a pair of tokens merges to, or NONE, which is put behind the bucket's entries with the pair."""
-    entry = F.concat(F.lit(ENTRY), pair)
-    bucket = F.get(table, F.pmod(F.crc32(pair.cast("binary")), F.lit(BUCKETS)).cast("int"))
-    return _let(F.concat(bucket, entry, F.lit(NONE)), lambda b: F.substring(b, F.instr(b, entry) + 3, F.lit(1)))
+
+    def look(entry: Column) -> Column:
+        bucket = F.get(table, F.pmod(F.crc32(entry.cast("binary")), F.lit(BUCKETS)).cast("int"))
+        return _let(F.concat(bucket, entry, F.lit(NONE)), lambda b: F.substring(b, F.instr(b, entry) + 3, F.lit(1)))
+
+    return _let(F.concat(F.lit(ENTRY), pair), look)
 
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
