@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import bpe, chosen_path, chunk_bpe, context_mixing, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
+from pingmill.llm import alignment, bpe, chosen_path, chunk_bpe, context_mixing, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -61,12 +61,16 @@ def op11_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     own = (
         op1_cotraining, op2_chosen_path_join, op3_block_max_neighbours, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op8_context_mixing, op9_deep_shallow_dedup, op10_page_differencing,
-        op11_chunk_reuse_bpe,
+        op11_chunk_reuse_bpe, op13_token_alignment,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
