@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pingmill.llm import alignment, bpe, chosen_path, chunk_bpe, context_mixing, exact_dedup, html_extract, media, packing, quality, suffix_dedup, toxicity
+from pingmill.llm import alignment, bpe, chosen_path, chunk_bpe, context_mixing, exact_dedup, hard_negatives, html_extract, media, packing, quality, suffix_dedup, toxicity
 
 #: Rows of an Arrow batch. Texts are long, so the default of 10,000 holds too much at once.
 BATCH_ROWS = "1000"
@@ -61,6 +61,10 @@ def op11_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op12_anchor_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.token_alignment(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     own = (
         op1_cotraining, op2_chosen_path_join, op3_block_max_neighbours, op4_chunk_recipe_dedup, op5_hof_bpe, op6_avi_clips, op7_bin_completion, op8_context_mixing, op9_deep_shallow_dedup, op10_page_differencing,
-        op11_chunk_reuse_bpe, op13_token_alignment,
+        op11_chunk_reuse_bpe, op12_anchor_lists, op13_token_alignment,
     )
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
@@ -81,4 +85,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op12_anchor_lists": """
+            WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+                FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+              s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+                FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+              p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+              n AS (SELECT p.*, other AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INT) AS rank
+                FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+            SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""",
     }
