@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import pi, sin
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pingmill.functions.geo import PLANAR, euclid, haversine_km
+from pingmill.functions.geo import EARTH_KM, PLANAR, euclid
 from pingmill.functions.storage import materialise
 from pingmill.operators.components import connected_components
 from pingmill.operators.trips import drop, keep, legs
 
 TRIP = ["user_id", "trip_id"]
+#: Steps to half of the cells up to two apart; the others are the same pairs seen from the other side.
+FORWARD = [(x, y) for x in range(3) for y in range(-2, 3) if (x, y) > (0, 0)]
+#: A cell's number is its column times this, plus its row.
+ROWS = 1 << 21
 
 
 def high_res_trips(points: DataFrame, most_km: float = 1.0) -> DataFrame:
@@ -36,32 +42,81 @@ def resample_linear(points: DataFrame, n: int = 100) -> DataFrame:
 
 
 def _spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cubic spline through y at 0, 1, 2, ... without knots next to the ends."""
+    """Cubic spline through y at 0, 1, 2, ... without knots next to the ends, in linear time.
+
+    Without those knots the second derivative at 1 is a sixth of its right side, and so is the last but one;
+    the others follow from elimination forwards and substitution backwards.
+    """
     n = len(y)
-    a, r = np.zeros((n, n)), np.zeros((n, y.shape[1]))
-    k = np.arange(1, n - 1)
-    a[k, k - 1], a[k, k], a[k, k + 1] = 1, 4, 1
-    r[1:-1] = 6 * (y[2:] - 2 * y[1:-1] + y[:-2])
-    a[0, :3], a[-1, -3:] = (1, -2, 1), (1, -2, 1)
-    m = np.linalg.solve(a, r)
+    m = np.zeros_like(y)
+    m[1:-1] = 6 * (y[2:] - 2 * y[1:-1] + y[:-2])
+    m[1] /= 6
+    if n > 4:
+        m[-2] /= 6
+        rows, pivot = m.tolist(), [0.0] * n
+        for k in range(2, n - 2):
+            pivot[k] = 1 / (4 - pivot[k - 1])
+            rows[k] = [(r - before) * pivot[k] for r, before in zip(rows[k], rows[k - 1], strict=True)]
+        for k in range(n - 3, 1, -1):
+            rows[k] = [r - pivot[k] * after for r, after in zip(rows[k], rows[k + 1], strict=True)]
+        m = np.array(rows)
+    elif n == 4:
+        m[2] /= 6
+    m[0], m[-1] = 2 * m[1] - m[2], 2 * m[-2] - m[-3]
     i = np.minimum(at.astype(int), n - 2)
     t = (at - i)[:, None]
     return y[i] * (1 - t) + y[i + 1] * t + ((1 - t) ** 3 - (1 - t)) * m[i] / 6 + (t**3 - t) * m[i + 1] / 6
 
 
+def _any_near(a: np.ndarray, b: np.ndarray, eps: float) -> bool:
+    """Whether a point of ``a`` and one of ``b`` are within ``eps``: boxes that are near or far as a whole decide, others are halved."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        low, high = np.minimum.reduce, np.maximum.reduce
+        a0, a1, b0, b1 = low(a), high(a), low(b), high(b)
+        if np.hypot(*np.maximum(0, np.maximum(b0 - a1, a0 - b1))) > eps:
+            continue
+        if np.hypot(*np.maximum(b1 - a0, a1 - b0)) <= eps:
+            return True
+        if len(a) * len(b) <= 4096:
+            if (np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]) <= eps).any():
+                return True
+            continue
+        halved, other = (a, b) if len(a) >= len(b) else (b, a)
+        axis = int(np.argmax(np.ptp(halved, axis=0)))
+        order = np.argpartition(halved[:, axis], len(halved) // 2)
+        stack += [(halved[half], other) for half in (order[: len(order) // 2], order[len(order) // 2 :])]
+    return False
+
+
 def _collapsed(xy: np.ndarray, eps: float) -> np.ndarray:
-    """Points replaced by the centroid of their chain of points within ``eps``, without repeats in a row."""
-    near = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1]) <= eps
-    root = np.arange(len(xy))
-    while True:
-        after = np.where(near, root[None, :], len(xy)).min(axis=1)
-        after = after[after]
-        if (after == root).all():
-            break
-        root = after
-    many = np.maximum(np.bincount(root, minlength=len(xy)), 1)
-    centre = np.column_stack([np.bincount(root, xy[:, c], len(xy)) / many for c in (0, 1)])[root]
-    return centre[np.append(True, (centre[1:] != centre[:-1]).any(axis=1))]
+    """Points replaced by the centroid of their chain of points within ``eps``, without repeats in a row.
+
+    Points of one cell of eps / sqrt 2 are within eps of each other; cells up to two apart are linked if some of their points are.
+    """
+    cell, inside = np.unique(np.floor(xy / (eps / np.sqrt(2) * (1 - 1e-9))).astype(np.int64), axis=0, return_inverse=True)
+    inside = inside.ravel()
+    order = np.argsort(inside, kind="stable")
+    members = np.split(xy[order], np.cumsum(np.bincount(inside))[:-1])
+    at = {c: k for k, c in enumerate(map(tuple, cell.tolist()))}
+    root = list(range(len(cell)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for (x, y), k in at.items():
+        for dx, dy in FORWARD:
+            other = at.get((x + dx, y + dy))
+            if other is not None and find(k) != find(other) and _any_near(members[k], members[other], eps):
+                root[find(k)] = find(other)
+    label = np.array([find(k) for k in range(len(cell))])[inside]
+    many = np.maximum(np.bincount(label, minlength=len(cell)), 1)
+    centre = np.column_stack([np.bincount(label, xy[:, c], len(cell)) / many for c in (0, 1)])[label]
+    return centre[np.append(True, (label[1:] != label[:-1]))]
 
 
 def smooth_traces(points: DataFrame, n: int = 100, eps: float | None = None) -> DataFrame:
@@ -90,44 +145,83 @@ def collapse(points: DataFrame, labels: DataFrame) -> DataFrame:
     return flagged.select(*TRIP, F.row_number().over(order).alias("k"), F.col("c_lon").alias("lon"), F.col("c_lat").alias("lat"))
 
 
-def _shaped(points: DataFrame) -> DataFrame:
+def _trip(trip: list[str]) -> Column:
+    return F.col(trip[0]) if len(trip) == 1 else F.struct(*trip)
+
+
+def _shaped(points: DataFrame, group: list[str], trip: list[str]) -> DataFrame:
     """Per trip an array of (lon, lat, along, position) by k; position 0 for trips without length."""
-    order = Window.partitionBy(*TRIP).orderBy("k")
+    keys = [*group, *trip]
+    order = Window.partitionBy(*keys).orderBy("k")
     leg = euclid(F.lag("lon").over(order), F.lag("lat").over(order), F.col("lon"), F.col("lat"))
     run = points.withColumn("_leg", F.coalesce(leg, F.lit(0.0))).withColumn("along", F.sum("_leg").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = run.withColumn("_all", F.max("along").over(Window.partitionBy(*TRIP)))
+    whole = run.withColumn("_all", F.max("along").over(Window.partitionBy(*keys)))
     placed = whole.withColumn("position", F.when(F.col("_all") > 0, F.col("along") / F.col("_all")).otherwise(0.0))
-    return placed.groupBy(*TRIP).agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat", "along", "position"))).alias("p"))
+    return placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat", "along", "position"))).alias("p")).select(*group, _trip(trip).alias("trip"), "p")
 
 
-def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88, within: float | None = None) -> DataFrame:
-    """(user_id, trip_i, trip_j, dist), trip_i < trip_j: the modified Hausdorff distance of each pair of a user's trips.
+def _needed(rank: float) -> Column:
+    """How many points of a trip ``n`` decide its distance: those up to the rank."""
+    return (F.least(F.floor(F.col("n") * rank), F.col("n") - 1) + 1).cast("int")
+
+
+def _celled(shapes: DataFrame, within: float) -> DataFrame:
+    """Adds n, the numbers of the points' cells (codes), and those of all cells around them (around)."""
+    size = within * PLANAR * (1 + 1e-9)
+    code = lambda p: F.floor(p["lon"] / size) * ROWS + F.floor(p["lat"] / size)
+    steps = F.array(*(F.lit(x * ROWS + y).cast("long") for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    celled = shapes.withColumns({"n": F.size("p"), "codes": F.transform("p", code)})
+    return celled.withColumn("around", F.array_distinct(F.flatten(F.transform(F.array_distinct("codes"), lambda c: F.transform(steps, lambda d: c + d)))))
+
+
+def candidate_pairs(celled: DataFrame, rank: float = 0.88, group: list[str] = ["user_id"]) -> DataFrame:  # noqa: B006
+    """(group, trip_i, trip_j), trip_i < trip_j: a superset of the pairs within the distance that the cells were made for.
+
+    So many points of i as decide the distance must lie in cells around j. Then of i's rarest cells, taken
+    until they hold more points than may miss, one at least is around j: only these cells are joined, not
+    the common ones where all trips begin. What is found is counted over all points of i.
+    """
+    cells = celled.select(*group, "trip", "n", F.explode("codes").alias("code")).groupBy(*group, "trip", "code").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    around = celled.select(*group, "trip", F.explode("around").alias("code"))
+    trips = around.groupBy(*group, "code").agg(F.count(F.lit(1)).alias("trips"))
+    order = Window.partitionBy(*group, "trip").orderBy("trips", "code").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("m").over(order), F.lit(0))
+    rare = cells.join(trips, [*group, "code"]).withColumn("_before", before).where(F.col("_before") <= F.col("n") - _needed(rank))
+    met = rare.select(*group, "code", F.col("trip").alias("trip_i")).join(around.withColumnRenamed("trip", "trip_j"), [*group, "code"]).where("trip_i < trip_j")
+    pairs = met.select(*group, "trip_i", "trip_j").distinct()
+    i = celled.select(*group, F.col("trip").alias("trip_i"), "n", "codes")
+    j = celled.select(*group, F.col("trip").alias("trip_j"), F.col("around").alias("_around"))
+    near = F.size(F.filter("codes", lambda c: F.array_contains("_around", c)))
+    return pairs.join(i, [*group, "trip_i"]).join(j, [*group, "trip_j"]).where(near >= _needed(rank)).select(*group, "trip_i", "trip_j")
+
+
+def route_distances(points: DataFrame, window: float = 2.0, rank: float = 0.88, within: float | None = None, group: list[str] = ["user_id"], trip: list[str] = ["trip_id"]) -> DataFrame:  # noqa: B006
+    """(group, trip_i, trip_j, dist), trip_i < trip_j: the modified Hausdorff distance of each pair of a group's trips.
 
     For each point of i: the partner in j of nearest position, the first of equal ones; among j's points
     within window / 2 of it along the trip, the least distance. The distance is the value at ``rank``.
-    ``within``: pairs that are farther may be left out. Such a pair has fewer points of i than ``rank``
-    asks for in the box of j widened by the distance, which is seen without comparing points.
+    ``within``: pairs that are farther may be left out; then only ``candidate_pairs`` are formed.
+    ``trip`` columns name a trip in its group; if there are several, trip_i and trip_j are structs of them.
     """
-    shapes = _shaped(points)
-    a = shapes.select("user_id", F.col("trip_id").alias("trip_i"), F.col("p").alias("a"))
-    b = shapes.select("user_id", F.col("trip_id").alias("trip_j"), F.col("p").alias("b"))
-    if within is not None:
-        more = within * PLANAR * (1 + 1e-9)
-        values = {"lon": F.col("b.lon"), "lat": F.col("b.lat")}
-        b = b.withColumns({f"_{c}{k}": f(v) + sign * more for c, v in values.items() for k, f, sign in ((0, F.array_min, -1), (1, F.array_max, 1))})
-    pairs = a.join(b, "user_id").where("trip_i < trip_j")
-    if within is not None:
-        at = F.least(F.floor(F.size("a") * rank), F.size("a") - 1).cast("int") + 1
-        pairs = pairs.where(F.size(F.filter("a", lambda x: x["lon"].between(F.col("_lon0"), F.col("_lon1")) & x["lat"].between(F.col("_lat0"), F.col("_lat1")))) >= at)
+    shapes = _shaped(points, group, trip)
+    if within is None:
+        i, j = (shapes.select(*group, F.col("trip").alias(f"trip_{x}"), F.col("p").alias(y)) for x, y in ("ia", "jb"))
+        pairs = i.join(j, group).where("trip_i < trip_j")
+    else:
+        shapes = materialise(_celled(shapes, within), "shapes")
+        i, j = (shapes.select(*group, F.col("trip").alias(f"trip_{x}"), F.col("p").alias(y)) for x, y in ("ia", "jb"))
+        pairs = candidate_pairs(shapes, rank, group).join(i, [*group, "trip_i"]).join(j, [*group, "trip_j"])
+    names = [*group, "trip_i", "trip_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in batch.columns[3:]]
+            shapes = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in batch.columns[len(names) :]]
             dist = [_distance(row[:4], row[4:], window, rank) for row in zip(*shapes, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(dist, pa.float64())], names=["user_id", "trip_i", "trip_j", "dist"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(dist, pa.float64())], names=[*names, "dist"])
 
     fields = [F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in ("a", "b") for c in ("lon", "lat", "along", "position")]
-    return pairs.select(*(F.col(c).cast("long").alias(c) for c in ("user_id", "trip_i", "trip_j")), *fields).mapInArrow(run, "user_id long, trip_i long, trip_j long, dist double")
+    schema = T.StructType([*pairs.select(*names).schema.fields, T.StructField("dist", T.DoubleType())])
+    return pairs.select(*names, *fields).mapInArrow(run, schema)
 
 
 def _distance(a: tuple, b: tuple, window: float, rank: float) -> float:
@@ -139,13 +233,13 @@ def _distance(a: tuple, b: tuple, window: float, rank: float) -> float:
     return float(least[min(int(len(least) * rank), len(least) - 1)])
 
 
-def cluster_pairs(pairs: DataFrame, eps: float = 0.002, min_pts: int = 1) -> DataFrame:
-    """(user_id, trip_id, label) of components of pairs within ``eps``; trips without one are left out, for ``min_pts`` 1 too.
+def cluster_pairs(pairs: DataFrame, eps: float = 0.002, min_pts: int = 1, group: list[str] = ["user_id"]) -> DataFrame:  # noqa: B006
+    """(group, trip_id, label) of components of pairs within ``eps``; trips without one are left out, for ``min_pts`` 1 too.
 
     Callers that keep single trips join the labels from the left and give a single trip its own id.
     """
-    edges = pairs.where(F.col("dist") <= eps).select("user_id", F.col("trip_i").alias("src"), F.col("trip_j").alias("dst"))
-    return connected_components(edges, ["user_id"]).select("user_id", F.col("node").alias("trip_id"), "label")
+    edges = pairs.where(F.col("dist") <= eps).select(*group, F.col("trip_i").alias("src"), F.col("trip_j").alias("dst"))
+    return connected_components(edges, group).select(*group, F.col("node").alias("trip_id"), "label")
 
 
 def shapes(points: DataFrame, high: DataFrame, samples: int = 100, near: float = 0.001) -> DataFrame:
@@ -166,20 +260,66 @@ def main_routes(points: DataFrame, eps: float = 0.002, samples: int = 100, shape
     return named.withColumn("route_id", F.dense_rank().over(Window.partitionBy("user_id").orderBy("label")) - 1).drop("label")
 
 
+def _around(km: float) -> tuple[Column, Column, float]:
+    """Columns and rows of the cells within ``km`` of a point (lon, lat), and the cells' size in degrees."""
+    size = km / EARTH_KM * 180 / pi * (1 + 1e-6)
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.lit(sin(km / EARTH_KM / 2)) / F.cos(F.radians(F.least(F.abs("lat") + size, F.lit(89.9))))))) * 2 * (1 + 1e-6)
+    return F.sequence(F.floor((F.col("lon") - wide) / size), F.floor((F.col("lon") + wide) / size)), F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1), size
+
+
+def near_routes(low: DataFrame, high: DataFrame, most_km: float = 1.5) -> DataFrame:
+    """(user_id, trip_id, high): trips of ``high`` that pass within ``most_km`` of one point of a trip of ``low``.
+
+    The point is the one around whose cells the fewest trips pass. A trip all of whose points are
+    that near to a trip of ``high`` has it among these. low: user_id, trip_id, ping_id, lon, lat; high: user_id, high, lon, lat.
+    """
+    columns, rows, size = _around(most_km)
+    cells = high.select("user_id", "high", F.floor(F.col("lon") / size).alias("x"), F.floor(F.col("lat") / size).alias("y")).distinct()
+    counts = cells.groupBy("user_id", "x", "y").agg(F.count(F.lit(1)).alias("trips"))
+    asked = low.select(*TRIP, "ping_id", F.explode(columns).alias("x"), rows.alias("_ys")).withColumn("y", F.explode("_ys")).drop("_ys")
+    passing = asked.join(counts, ["user_id", "x", "y"], "left").groupBy(*TRIP, "ping_id").agg(F.sum(F.coalesce("trips", F.lit(0))).alias("trips"))
+    rank = F.row_number().over(Window.partitionBy(*TRIP).orderBy("trips", "ping_id"))
+    pivot = passing.withColumn("_rank", rank).where("_rank = 1").select(*TRIP, "ping_id")
+    return asked.join(pivot, [*TRIP, "ping_id"], "left_semi").join(cells, ["user_id", "x", "y"]).select(*TRIP, "high").distinct()
+
+
+def _farthest_km(lon: np.ndarray, lat: np.ndarray, h_lon: np.ndarray, h_lat: np.ndarray, most_km: float) -> float | None:
+    """The greatest over points of the least distance to the other points; None as soon as it is over ``most_km``."""
+    worst, a, b = 0.0, np.radians(lat), np.radians(h_lat)
+    for k in range(0, len(a), 64):
+        up = np.sin((b[None, :] - a[k : k + 64, None]) / 2) ** 2
+        side = np.sin(np.radians(h_lon[None, :] - lon[k : k + 64, None]) / 2) ** 2
+        square = up + np.cos(a[k : k + 64, None]) * np.cos(b)[None, :] * side
+        worst = max(worst, float((2 * EARTH_KM * np.arcsin(np.sqrt(square.min(axis=1)))).max()))
+        if worst > most_km:
+            return None
+    return worst
+
+
 def assign_low_res(points: DataFrame, routes: DataFrame, most_km: float = 1.5, shaped: DataFrame | None = None) -> DataFrame:
     """Routes of the other trips of users with main routes: that of the nearest high-resolution trip, the last of equal ones, else -1.
 
     The distance is the greatest over the trip's points of the least to the other trip's points, which
-    are those of its smoothed trace.
+    are those of its smoothed trace. Only trips of ``near_routes`` are compared, and a comparison ends at the first points beyond ``most_km``.
     """
-    low = drop(keep(points, routes, ["user_id"]), routes, TRIP).select(*TRIP, "ping_id", "lon", "lat")
+    low = materialise(drop(keep(points, routes, ["user_id"]), routes, TRIP).select(*TRIP, "ping_id", "lon", "lat"), "low")
     shaped = shapes(points, routes) if shaped is None else shaped
-    high = shaped.join(routes, TRIP).select("user_id", F.col("trip_id").alias("high"), "route_id", F.col("lon").alias("h_lon"), F.col("lat").alias("h_lat"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("h_lat"), F.col("h_lon"))
-    least = low.join(high, "user_id").groupBy(*TRIP, "ping_id", "high", "route_id").agg(F.min(km).alias("km"))
-    far = least.groupBy(*TRIP, "high", "route_id").agg(F.max("km").alias("km"))
+    high = materialise(shaped.join(routes, TRIP).select("user_id", F.col("trip_id").alias("high"), "route_id", "lon", "lat"), "high")
+    lists = lambda df, keys, name: df.groupBy(*keys).agg(F.collect_list(F.struct("lon", "lat")).alias(name))
+    pairs = near_routes(low, high, most_km).join(lists(low, TRIP, "a"), TRIP).join(lists(high, ["user_id", "high", "route_id"], "b"), ["user_id", "high"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[x.values.to_numpy(zero_copy_only=False) for x in column] for column in batch.columns[4:]]
+            km = pa.array([_farthest_km(*row, most_km) for row in zip(*lines, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], km], names=[*names, "km"])
+
+    names = [*TRIP, "high", "route_id"]
+    schema = T.StructType([*pairs.select(*names).schema.fields, T.StructField("km", T.DoubleType())])
+    far = pairs.select(*names, "a.lon", "a.lat", F.col("b.lon").alias("h_lon"), F.col("b.lat").alias("h_lat")).mapInArrow(run, schema).where("km is not null")
     rank = F.row_number().over(Window.partitionBy(*TRIP).orderBy("km", F.desc("high")))
-    return far.withColumn("_rank", rank).where("_rank = 1").select(*TRIP, F.when(F.col("km") <= most_km, F.col("route_id")).otherwise(-1).alias("route_id"))
+    found = far.withColumn("_rank", rank).where("_rank = 1").select(*TRIP, "route_id")
+    return low.select(*TRIP).distinct().join(found, TRIP, "left").select(*TRIP, F.coalesce("route_id", F.lit(-1)).alias("route_id"))
 
 
 def detect_routes(points: DataFrame, eps: float = 0.002, samples: int = 100, most_km: float = 1.5) -> DataFrame:
@@ -194,10 +334,27 @@ def route_clusters(shaped: DataFrame, eps: float = 0.003) -> DataFrame:
     return cluster_pairs(route_distances(shaped, within=eps), eps)
 
 
-def corridor_clusters(shaped: DataFrame, clusters: int) -> tuple[DataFrame, DataFrame]:
-    """Trips of a corridor merged down to ``clusters`` routes a user by their distances, and each route's trips and users."""
-    labels = agglomerate(route_distances(shaped), clusters)
-    return labels, cluster_summary(labels)
+CORRIDOR = ["o_zone", "d_zone"]
+
+
+def corridor_shapes(shaped: DataFrame, zoned: DataFrame) -> DataFrame:
+    """Traces of the trips of all users with their corridor: the pair of zones of their ends; zoned: user_id, trip_id, o_zone, d_zone."""
+    ends = zoned.where("o_zone is not null and d_zone is not null").select(*TRIP, *CORRIDOR)
+    return shaped.join(ends, TRIP)
+
+
+def corridor_clusters(shaped: DataFrame, clusters: int = 30, within: float | None = None) -> DataFrame:
+    """(o_zone, d_zone, user_id, trip_id, label) of each corridor's trips, of all users, merged down to ``clusters`` routes.
+
+    label is the first (user_id, trip_id) of a route. ``within``: pairs farther apart have no affinity, so
+    parts of a corridor without such a pair between them are separate tasks, and merging ends where no affinity is left.
+    A corridor of one trip has that trip. shaped: traces with o_zone and d_zone (``corridor_shapes``).
+    """
+    pairs = materialise(route_distances(shaped, within=within, group=CORRIDOR, trip=TRIP), "corridors")
+    pairs = pairs if within is None else pairs.where(F.col("dist") <= within)
+    alone = shaped.select(*CORRIDOR, F.struct(*TRIP).alias("trip_id")).distinct()
+    named = alone.join(agglomerate(pairs, clusters, CORRIDOR, within is not None, alone), [*CORRIDOR, "trip_id"], "left")
+    return named.select(*CORRIDOR, "trip_id.*", F.coalesce("label", "trip_id").alias("label"))
 
 
 def region_routes(points: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -228,10 +385,11 @@ def complete_trips(trips: DataFrame, routes: DataFrame) -> DataFrame:
 
 
 def local_scale(pairs: DataFrame, k: int = 2, low: float = 0.4, high: float = 20.0) -> DataFrame:
-    """The ``k``-th least distance of each trip to the user's others, clipped."""
+    """The ``k``-th least distance of each trip to the user's others, the greatest if there are fewer, clipped."""
     both = pairs.select("user_id", F.col("trip_i").alias("trip_id"), "dist").union(pairs.select("user_id", F.col("trip_j").alias("trip_id"), "dist"))
-    rank = F.row_number().over(Window.partitionBy(*TRIP).orderBy("dist"))
-    return both.withColumn("_r", rank).where(F.col("_r") == k).select(*TRIP, F.greatest(F.least("dist", F.lit(high)), F.lit(low)).alias("scale"))
+    trip = Window.partitionBy(*TRIP)
+    ranked = both.withColumns({"_r": F.row_number().over(trip.orderBy("dist")), "_n": F.count(F.lit(1)).over(trip)})
+    return ranked.where(F.col("_r") == F.least("_n", F.lit(k))).select(*TRIP, F.greatest(F.least("dist", F.lit(high)), F.lit(low)).alias("scale"))
 
 
 def affinity(pairs: DataFrame, scales: DataFrame) -> DataFrame:
@@ -249,31 +407,89 @@ def similarity_aligned(points: DataFrame) -> DataFrame:
     return a.join(b, ["user_id", "k"]).where("trip_i < trip_j").groupBy("user_id", "trip_i", "trip_j").agg((1 / (F.avg(d) + 1e-6)).alias("similarity"))
 
 
-def agglomerate(pairs: DataFrame, clusters: int) -> DataFrame:
-    """(user_id, trip_id, label): each user's trips merged, by greatest mean inverse squared distance, down to ``clusters``.
+def merges(i: np.ndarray, j: np.ndarray, dist: np.ndarray, n: int, until: int = 1) -> list[tuple[int, int, float]]:
+    """(a, b, affinity) of each merge of groups named by their first members, a < b, while there are more than ``until`` groups.
 
-    Merging is sequential within a user; users are independent groups of tens of trips.
+    Groups of greatest mean inverse squared distance merge first, of equal ones the pair of first a, then b; pairs that are not
+    given have no affinity, and merging ends where none is left. The best partner of each group is kept; a
+    merge looks only those up again whose partner was merged, so the work grows with the square of n.
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["trip_i"]) | set(pdf["trip_j"]))
-        at = {t: k for k, t in enumerate(names)}
-        w = np.zeros((len(names), len(names)))
-        for i, j, d in zip(pdf["trip_i"], pdf["trip_j"], pdf["dist"], strict=True):
-            w[at[i], at[j]] = w[at[j], at[i]] = 1 / (d * d + 1e-12)
-        groups = [[k] for k in range(len(names))]
-        while len(groups) > clusters:
-            scored = [(w[np.ix_(a, b)].mean(), -i, -j) for i, a in enumerate(groups) for j, b in enumerate(groups) if i < j]
-            _, i, j = max(scored)
-            groups[-i] += groups.pop(-j)
-        rows = [(names[k], names[min(g)]) for g in groups for k in g]
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "trip_id": [r[0] for r in rows], "label": [r[1] for r in rows]})
-
-    return pairs.groupBy("user_id").applyInPandas(one, "user_id long, trip_id long, label long")
-
-
-def cluster_summary(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("label").agg(F.count(F.lit(1)).alias("n_trips"), F.countDistinct("user_id").alias("n_users"))
+    weight = np.zeros((n, n))
+    weight[i, j] = weight[j, i] = 1 / (dist * dist + 1e-6)
+    size, alive, out = np.ones(n), np.ones(n, bool), []
+    best, partner = np.zeros(n), np.zeros(n, np.int64)
+
+    def look(k: int) -> None:
+        mean = np.where(alive[k + 1 :], weight[k, k + 1 :] / (size[k] * size[k + 1 :]), 0)
+        at = int(mean.argmax()) if len(mean) else 0
+        best[k], partner[k] = (mean[at], k + 1 + at) if len(mean) else (0, k)
+
+    for k in range(n):
+        look(k)
+    while n - len(out) > until:
+        a = int(best.argmax())
+        b, affinity = int(partner[a]), float(best[a])
+        if affinity <= 0:
+            break
+        out.append((a, b, affinity))
+        alive[b], best[b] = False, 0
+        weight[a] += weight[b]
+        weight[:, a] = weight[a]
+        size[a] += size[b]
+        again = alive & ((partner == a) | (partner == b)) & (best > 0)
+        again[a] = True
+        mean = weight[:a, a] / (size[:a] * size[a])  # others whose best the merged group has become
+        better = alive[:a] & ~again[:a] & ((mean > best[:a]) | (mean == best[:a]) & (a < partner[:a]) & (mean > 0))
+        best[:a][better], partner[:a][better] = mean[better], a
+        for k in np.flatnonzero(again):
+            look(int(k))
+    return out
+
+
+def agglomerate(pairs: DataFrame, clusters: int, group: list[str] = ["user_id"], split: bool = False, trips: DataFrame | None = None) -> DataFrame:  # noqa: B006
+    """(group, trip_id, label): each group's trips merged, by greatest mean inverse squared distance, down to ``clusters``.
+
+    pairs: group, trip_i < trip_j, dist. A group is one task unless ``split``: then each connected part is,
+    and of all parts' merges those of greatest affinity are made, of equal ones those of the part with the first trip.
+    That is the same, for a pair between two parts has no affinity. ``trips`` (group, trip_id) counts trips
+    without a pair; they are in no row of the result.
+    """
+    given = pairs.select(*group, F.col("trip_i").alias("trip_id")).union(pairs.select(*group, F.col("trip_j"))).distinct()
+    if split:
+        parts = connected_components(pairs.select(*group, F.col("trip_i").alias("src"), F.col("trip_j").alias("dst")), group)
+        keyed = pairs.join(parts.select(*group, F.col("node").alias("trip_i"), F.col("label").alias("part")), [*group, "trip_i"])
+    else:
+        keyed = pairs.withColumn("part", F.lit(0))
+    until = 1 if split else clusters
+    kind = pairs.schema["trip_i"].dataType
+    names = [*group, "part"]
+
+    def one(table: pa.Table) -> pa.Table:
+        both = pa.chunked_array([*table.column("trip_i").chunks, *table.column("trip_j").chunks]).to_pylist()
+        key = (lambda t: tuple(t.values())) if isinstance(kind, T.StructType) else (lambda t: t)
+        own = {key(t): t for t in both}
+        order = sorted(own)
+        at = {t: k for k, t in enumerate(order)}
+        place = np.array([at[key(t)] for t in both])
+        half = len(place) // 2
+        found = merges(place[:half], place[half:], table.column("dist").to_numpy(), len(order), until)
+        ends = [pa.array([own[order[m[c]]] for m in found], table.schema.field("trip_i").type) for c in (0, 1)]
+        keys = [pa.array([table.column(c)[0].as_py()] * len(found), table.schema.field(c).type) for c in names]
+        return pa.table([*keys, *ends, pa.array([m[2] for m in found], pa.float64()), pa.array(range(len(found)), pa.int64())], names=[*names, "src", "dst", "affinity", "step"])
+
+    schema = T.StructType([*keyed.select(*names).schema.fields, T.StructField("src", kind), T.StructField("dst", kind), T.StructField("affinity", T.DoubleType()), T.StructField("step", T.LongType())])
+    made = keyed.select(*names, "trip_i", "trip_j", "dist").groupBy(*names).applyInArrow(one, schema)
+    if split:
+        n = (given if trips is None else trips).groupBy(*group).agg((F.count(F.lit(1)) - clusters).alias("_most"))
+        rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("affinity"), "part", "step"))
+        made = made.withColumn("_rank", rank).join(n, group).where("_rank <= _most")
+    labels = connected_components(made.select(*group, "src", "dst"), group).select(*group, F.col("node").alias("trip_id"), "label")
+    return given.join(labels, [*group, "trip_id"], "left").select(*group, "trip_id", F.coalesce("label", "trip_id").alias("label"))
+
+
+def cluster_summary(labels: DataFrame, group: list[str] = ["user_id"]) -> DataFrame:  # noqa: B006
+    """(group, label, n_trips, n_users) of the clusters of each group; a label is one of its own group only."""
+    return labels.groupBy(*dict.fromkeys([*group, "label"])).agg(F.count(F.lit(1)).alias("n_trips"), (F.lit(1).cast("long") if "user_id" in group else F.countDistinct("user_id")).alias("n_users"))
 
 
 def region_sequence(points: DataFrame) -> DataFrame:
