@@ -78,9 +78,16 @@ def travel_time_index(routes: DataFrame, least: int = 10) -> DataFrame:
     return free.groupBy("user_id", "dep_hour").agg((F.avg("tt") / F.min("free_flow")).alias("tti"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def relative_gap(routes: DataFrame, least: int = 10) -> DataFrame:
-    free = weekday_only(matched_only(routes)).withColumn("free_flow", F.min("tt").over(_user())).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "dep_hour")))
-    return free.where(F.col("_n") >= least).withColumn("gap", F.greatest((F.col("tt") - F.col("free_flow")) / F.col("free_flow"), F.lit(0.0))).drop("_n")
+def relative_gap(routes: DataFrame, least: int = 10, clip: bool = True) -> DataFrame:
+    """Weekday matched trips with ``gap``, their time over the user's least as a share of it, not below 0 with ``clip``.
+
+    Users' hours with fewer than ``least`` trips are left out. ``routes`` may bring a ``free_flow`` of its own, which times may be below.
+    """
+    free = weekday_only(matched_only(routes))
+    free = free if "free_flow" in free.columns else free.withColumn("free_flow", F.min("tt").over(_user()))
+    free = free.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "dep_hour")))
+    gap = (F.col("tt") - F.col("free_flow")) / F.col("free_flow")
+    return free.where(F.col("_n") >= least).withColumn("gap", F.greatest(gap, F.lit(0.0)) if clip else gap).drop("_n")
 
 
 def reliability(routes: DataFrame, least: int = 20) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from math import asin, cos, pi, sin, sqrt
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingmill.functions.classes import local_time
-from pingmill.functions.geo import haversine_km
+from pingmill.functions.geo import EARTH_KM
+from pingmill.functions.storage import materialise
 from pingmill.operators.components import connected_components
 from pingmill.operators.trips import keep, trip_ends
 
@@ -14,23 +20,81 @@ from pingmill.operators.trips import keep, trip_ends
 SAME = 1e-9
 
 
+#: Pairs of places of two cells that are compared one by one; cells of more pairs are halved first.
+DIRECT = 4096
+
+
+def _box(lon: str, lat: str) -> list[Column]:
+    return [f(c).alias(f"_{n}{k}") for c, n in ((lon, "x"), (lat, "y")) for k, f in ((0, F.min), (1, F.max))]
+
+
+def _apart(least: bool) -> Column:
+    """The least or the greatest distance that points of the boxes a and b can have."""
+    gap = []
+    for c in ("x", "y"):
+        one, other = F.col(f"b._{c}0") - F.col(f"a._{c}1"), F.col(f"a._{c}0") - F.col(f"b._{c}1")
+        gap.append(F.greatest(one, other, F.lit(0.0)) if least else F.greatest(-one, -other))
+    return F.sqrt(gap[0] * gap[0] + gap[1] * gap[1])
+
+
+def _cell_links(spots: DataFrame, cells: DataFrame, group: list[str], eps: float, side: float, lon: str, lat: str) -> DataFrame:
+    """(group, src, dst): ids of cells up to two apart that have a place each within ``eps`` of each other.
+
+    Boxes that are near or far as a whole decide. Of the others, small ones compare their places; large ones are
+    quartered along both sides until boxes decide or both are single places.
+    """
+    steps = F.array(*(F.struct(F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x in range(3) for y in range(-2, 3) if (x, y) > (0, 0)))
+    asked = cells.withColumn("_s", F.explode(steps)).withColumns({"_tx": F.col("_cx") + F.col("_s.x"), "_ty": F.col("_cy") + F.col("_s.y")}).alias("a")
+    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
+    met = asked.join(cells.alias("b"), [*same, F.col("a._tx") == F.col("b._cx"), F.col("a._ty") == F.col("b._cy")]).where(_apart(True) <= eps)
+    pairs = materialise(
+        met.select(*(F.col(f"a.{g}").alias(g) for g in group), F.col("a._id").alias("src"), F.col("b._id").alias("dst"), (_apart(False) <= eps).alias("sure"), (F.col("a._places") * F.col("b._places")).alias("work")), "cells"
+    )
+    ids = [*group, "src", "dst"]
+    links = [pairs.where("sure").select(*ids)]
+    open_ = pairs.where("not sure")
+    own = spots.select(*group, "_cx", "_cy", lon, lat).join(cells.select(*group, "_cx", "_cy", "_id"), [*group, "_cx", "_cy"])
+
+    def side_of(name: str) -> DataFrame:
+        return own.select(*group, F.col("_id").alias(name), F.col(lon).alias(f"_{name}_lon"), F.col(lat).alias(f"_{name}_lat"))
+
+    dx, dy = F.col("_dst_lon") - F.col("_src_lon"), F.col("_dst_lat") - F.col("_src_lat")
+    small = open_.where(F.col("work") <= DIRECT).select(*ids).join(side_of("src"), [*group, "src"]).join(side_of("dst"), [*group, "dst"])
+    links.append(small.where(F.sqrt(dx * dx + dy * dy) <= eps).select(*ids).distinct())
+    # a node of a cell is named by its column and row, at first those of the cell
+    nodes = open_.where(F.col("work") > DIRECT).select(*ids, *(F.lit(0).cast("long").alias(c) for c in ("ax", "ay", "bx", "by")))
+    large, level = materialise(nodes, "nodes"), 0
+    while not large.isEmpty():
+        was, size = (None if level == 0 else side / 4**level), side / 4 ** (level + 1)
+        cut = lambda c, s: F.lit(0).cast("long") if s is None else F.floor(F.col(c) / s)
+        ends = large.select(*group, F.col("src").alias("_id")).union(large.select(*group, F.col("dst"))).distinct()
+        parts = own.join(ends, [*group, "_id"], "left_semi").withColumns({"px": cut(lon, was), "py": cut(lat, was), "sx": cut(lon, size), "sy": cut(lat, size)})
+        parts = parts.groupBy(*group, "_id", "px", "py", "sx", "sy").agg(*_box(lon, lat))
+        a, b = parts.alias("a"), parts.alias("b")
+        at = lambda t, end, x: [*(F.col(f"l.{g}") == F.col(f"{t}.{g}") for g in group), F.col(f"l.{end}") == F.col(f"{t}._id"), F.col(f"l.{x}x") == F.col(f"{t}.px"), F.col(f"l.{x}y") == F.col(f"{t}.py")]
+        closer = large.alias("l").join(a, at("a", "src", "a")).join(b, at("b", "dst", "b")).where(_apart(True) <= eps)
+        closer = materialise(closer.select(*(F.col(f"l.{c}").alias(c) for c in ids), F.col("a.sx").alias("ax"), F.col("a.sy").alias("ay"), F.col("b.sx").alias("bx"), F.col("b.sy").alias("by"), (_apart(False) <= eps).alias("sure")), "nodes")
+        sure = closer.where("sure").select(*ids).distinct()
+        links.append(sure)
+        large, level = materialise(closer.join(sure, ids, "left_anti").drop("sure"), "nodes"), level + 1
+    return reduce(DataFrame.union, links)
+
+
 def cluster_points(points: DataFrame, group: list[str], eps: float, min_pts: int = 1, lon: str = "lon", lat: str = "lat", order: str = "idx") -> DataFrame:
     """``points`` with ``label``, the least ``order`` of its cluster; null for noise.
 
     With ``min_pts`` 1 or 2 density clusters are the components of the graph of points within ``eps``.
-    Equal places are merged first; places meet by cells of size eps, each looking at the cells around it.
+    Points of one cell of side eps / sqrt 2 are in one cluster, so only cells are linked (``_cell_links``), and
+    a cell of any number of places takes work in proportion to it. Points without a place are left out.
     """
-    spots = points.groupBy(*group, lon, lat).agg(F.min(order).alias("_id"), F.count(F.lit(1)).alias("_weight"))
-    celled = spots.withColumn("_cx", F.floor(F.col(lon) / eps)).withColumn("_cy", F.floor(F.col(lat) / eps))
-    around = F.sequence(F.lit(-1), F.lit(1))
-    spread = celled.withColumn("_cx", F.explode(F.transform(around, lambda d: F.col("_cx") + d))).withColumn("_cy", F.explode(F.transform(around, lambda d: F.col("_cy") + d)))
-    other = celled.select(*group, "_cx", "_cy", F.col("_id").alias("_other"), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"))
-    near = F.sqrt(F.pow(F.col(lon) - F.col("_lon"), 2) + F.pow(F.col(lat) - F.col("_lat"), 2)) <= eps
-    edges = spread.join(other, [*group, "_cx", "_cy"]).where((F.col("_id") < F.col("_other")) & near).select(*group, F.col("_id").alias("src"), F.col("_other").alias("dst"))
-    labels = connected_components(edges, group).withColumnRenamed("node", "_id")
-    label = F.coalesce("label", F.when((F.col("_weight") > 1) | F.lit(min_pts < 2), F.col("_id")))
-    named = spots.join(labels, [*group, "_id"], "left").select(*group, lon, lat, label.alias("label"))
-    return points.join(named, [*group, lon, lat])
+    side = eps / sqrt(2) * (1 - 1e-9)
+    celled = points.withColumn("_cx", F.floor(F.col(lon) / side)).withColumn("_cy", F.floor(F.col(lat) / side))
+    spots = materialise(celled.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).groupBy(*group, "_cx", "_cy", lon, lat).agg(F.min(order).alias("_id"), F.count(F.lit(1)).alias("_n")), "places")
+    cells = materialise(spots.groupBy(*group, "_cx", "_cy").agg(F.min("_id").alias("_id"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_places"), *_box(lon, lat)), "cells")
+    labels = connected_components(_cell_links(spots, cells, group, eps, side, lon, lat), group).withColumnRenamed("node", "_id")
+    label = F.coalesce("label", F.when((F.col("_n") > 1) | F.lit(min_pts < 2), F.col("_id")))
+    named = cells.join(labels, [*group, "_id"], "left").select(*group, "_cx", "_cy", label.alias("label"))
+    return celled.join(named, [*group, "_cx", "_cy"]).drop("_cx", "_cy")
 
 
 def cluster_centroids(points: DataFrame, group: list[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -111,27 +175,36 @@ def trips_of_od_rank(points: DataFrame, k: int = 1, least: int = 10, eps: float
 def stay_points(pings: DataFrame, radius_km: float = 0.3, least_s: int = 600) -> DataFrame:
     """user_id, arrival_ts, duration, lon, lat: stays longer than ``least_s`` within ``radius_km`` of a running centroid.
 
-    A fold over a user's points in order. A repeated record is skipped; the last, open stay is not given.
+    A fold over each partition, sorted by user and time, that carries one user's open stay from batch to
+    batch, so a user of any number of points takes the same memory. A repeated record is skipped; the
+    last, open stay is not given. Points without a time or place are left out.
     """
-    point = F.struct("ts", "ping_id", "lon", "lat")
-    tracks = pings.groupBy("user_id").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    none = F.array().cast("array<struct<arrival_ts:bigint,duration:bigint,lon:double,lat:double>>")
-    first = F.element_at("p", 1)
-    start = F.struct(first["ts"].alias("begin"), first["lon"].alias("lon"), first["lat"].alias("lat"), F.lit(1).cast("long").alias("n"), first["ts"].alias("ts"), first["lon"].alias("plon"), first["lat"].alias("plat"), none.alias("stays"))
-
-    def step(s: Column, p: Column) -> Column:
-        far = haversine_km(s["lat"], s["lon"], p["lat"], p["lon"]) > radius_km
-        repeat = (p["ts"] == s["ts"]) & (p["lon"] == s["plon"]) & (p["lat"] == s["plat"])
-        # the stay lasts until the last point before the one that leaves
-        stay = F.struct(s["begin"].alias("arrival_ts"), (s["ts"] - s["begin"]).alias("duration"), s["lon"].alias("lon"), s["lat"].alias("lat"))
-        stays = F.when(s["ts"] - s["begin"] > least_s, F.concat(s["stays"], F.array(stay))).otherwise(s["stays"])
-        n = s["n"] + 1
-        left = F.struct(p["ts"].alias("begin"), p["lon"].alias("lon"), p["lat"].alias("lat"), F.lit(1).cast("long").alias("n"), p["ts"].alias("ts"), p["lon"].alias("plon"), p["lat"].alias("plat"), stays.alias("stays"))
-        more = F.struct(s["begin"].alias("begin"), ((s["lon"] * s["n"] + p["lon"]) / n).alias("lon"), ((s["lat"] * s["n"] + p["lat"]) / n).alias("lat"), n.alias("n"), p["ts"].alias("ts"), p["lon"].alias("plon"), p["lat"].alias("plat"), s["stays"].alias("stays"))
-        return F.when(repeat, s).when(far, left).otherwise(more)
-
-    folded = F.aggregate(F.slice("p", 2, F.size("p")), start, step, lambda s: s["stays"])
-    return tracks.select("user_id", F.explode(folded).alias("s")).select("user_id", "s.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, begin, c_lon, c_lat, n, ts, p_lon, p_lat = None, None, 0.0, 0.0, 0, 0, 0.0, 0.0
+        half = pi / 360
+        for batch in batches:
+            out: list[tuple] = []
+            for u, t, lon, lat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if u != user or begin is None:
+                    user, begin, c_lon, c_lat, n = u, t, lon, lat, 1
+                elif t == ts and lon == p_lon and lat == p_lat:
+                    continue
+                else:
+                    square = sin((lat - c_lat) * half) ** 2 + cos(c_lat * 2 * half) * cos(lat * 2 * half) * sin((lon - c_lon) * half) ** 2
+                    if 2 * EARTH_KM * asin(sqrt(square)) > radius_km:
+                        if ts - begin > least_s:  # the stay lasts until the last point before the one that leaves
+                            out.append((user, begin, ts - begin, c_lon, c_lat))
+                        begin, c_lon, c_lat, n = t, lon, lat, 1
+                    else:
+                        c_lon, c_lat, n = (c_lon * n + lon) / (n + 1), (c_lat * n + lat) / (n + 1), n + 1
+                ts, p_lon, p_lat = t, lon, lat
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 3 + (pa.float64(),) * 2, strict=True)], names=["user_id", "arrival_ts", "duration", "lon", "lat"])
+
+    rows = pings.where("ts is not null and lon is not null and lat is not null").select(F.col("user_id").cast("long"), F.col("ts").cast("long"), "ping_id", F.col("lon").cast("double"), F.col("lat").cast("double"))
+    track = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", "ping_id", "lon", "lat").drop("ping_id")
+    return track.mapInArrow(run, "user_id long, arrival_ts long, duration long, lon double, lat double")
 
 
 def merge_visits(visits: DataFrame, keys: list[str], gap_s: int = 3600) -> DataFrame:

@@ -1,6 +1,7 @@
 """Zones: point in polygon by cells, centroids, assignment of trip ends.
 
-zones: zone_id, ring_id, ring array<struct<lon, lat>> (a closed or open ring), min_lon, max_lon, min_lat, max_lat.
+zones, a row a polygon: zone_id, ring_id, rings array<array<struct<lon, lat>>> (the border and the holes, closed or open),
+min_lon, max_lon, min_lat, max_lat.
 """
 
 from __future__ import annotations
@@ -13,43 +14,57 @@ from pingmill.functions.geo import haversine_km
 CELL_DEG = 0.05
 
 
-def inside(ring: Column, lon: Column, lat: Column) -> Column:
-    """Ray casting with half-open edges, so a shared edge belongs to one side."""
-    n = F.size(ring)
+def inside(rings: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd rule over all rings, so holes are outside; edges are half-open, so a shared edge belongs to one side."""
 
-    def crosses(a: Column, i: Column) -> Column:
-        b = F.element_at(ring, (i + 1) % n + 1)
-        spans = (a["lat"] > lat) != (b["lat"] > lat)
-        return spans & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])
+    def crossings(ring: Column) -> Column:
+        n = F.size(ring)
 
-    return F.size(F.filter(F.transform(ring, crosses), lambda x: x)) % 2 == 1
+        def crosses(a: Column, i: Column) -> Column:
+            b = F.element_at(ring, (i + 1) % n + 1)
+            spans = (a["lat"] > lat) != (b["lat"] > lat)
+            return spans & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"])
+
+        return F.size(F.filter(F.transform(ring, crosses), lambda x: x))
+
+    return F.aggregate(rings, F.lit(0), lambda n, ring: n + crossings(ring)) % 2 == 1
 
 
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size)
 
 
-def assign_zones(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "lat", into: str = "zone_id", keys: list[str] | None = None, cell: float = CELL_DEG) -> DataFrame:
-    """``points`` with the zone that holds each, the greatest of several, null for none.
+def zone_hits(points: DataFrame, zones: DataFrame, lon: str, lat: str, keys: list[str], cell: float = CELL_DEG) -> DataFrame:
+    """(keys, zone_id) of points and the polygons that hold them.
 
     Zones are spread over the cells of their boxes, points meet them by cell, then box, then exact test.
-    ``keys`` name a point; without them its own columns do.
     """
-    keys = keys or points.columns
     spread = zones.withColumn(
         "_cx", F.explode(F.sequence(_cell(F.col("min_lon"), cell), _cell(F.col("max_lon"), cell)))
     ).withColumn("_cy", F.explode(F.sequence(_cell(F.col("min_lat"), cell), _cell(F.col("max_lat"), cell))))
     at = points.select(*keys, F.col(lon).alias("_lon"), F.col(lat).alias("_lat")).withColumn("_cx", _cell(F.col("_lon"), cell)).withColumn("_cy", _cell(F.col("_lat"), cell))
     box = F.col("_lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("_lat").between(F.col("min_lat"), F.col("max_lat"))
-    hits = at.join(spread, ["_cx", "_cy"]).where(box).where(inside(F.col("ring"), F.col("_lon"), F.col("_lat")))
-    found = hits.groupBy(*keys).agg(F.max("zone_id").alias(into))
+    return at.join(spread, ["_cx", "_cy"]).where(box).where(inside(F.col("rings"), F.col("_lon"), F.col("_lat"))).select(*keys, "zone_id")
+
+
+def assign_zones(points: DataFrame, zones: DataFrame, lon: str = "lon", lat: str = "lat", into: str = "zone_id", keys: list[str] | None = None, cell: float = CELL_DEG) -> DataFrame:
+    """``points`` with the zone that holds each, the greatest of several, null for none.
+
+    ``keys`` name a point; without them its own columns do.
+    """
+    keys = keys or points.columns
+    found = zone_hits(points, zones, lon, lat, keys, cell).groupBy(*keys).agg(F.max("zone_id").alias(into))
     return points.join(found, keys, "left")
 
 
 def assign_trip_zones(trips: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
-    """Trips with o_zone and d_zone; only those with both."""
-    origin = assign_zones(trips, zones, "s_lon", "s_lat", "o_zone", keys)
-    return assign_zones(origin, zones, "t_lon", "t_lat", "d_zone", keys).where("o_zone is not null and d_zone is not null")
+    """Trips with o_zone and d_zone; only those with both. Both ends meet the zones in one pass."""
+    end = lambda side, lon, lat: F.struct(F.lit(side).alias("_side"), F.col(lon).alias("_end_lon"), F.col(lat).alias("_end_lat"))
+    ends = trips.select(*keys, F.explode(F.array(end("o", "s_lon", "s_lat"), end("d", "t_lon", "t_lat"))).alias("_e")).select(*keys, "_e.*")
+    hits = zone_hits(ends, zones, "_end_lon", "_end_lat", [*keys, "_side"])
+    of = lambda side: F.max(F.when(F.col("_side") == side, F.col("zone_id")))
+    found = hits.groupBy(*keys).agg(of("o").alias("o_zone"), of("d").alias("d_zone")).where("o_zone is not null and d_zone is not null")
+    return trips.join(found, keys)
 
 
 def in_named_zone(points: DataFrame, zones: DataFrame, zone: int, keys: list[str]) -> DataFrame:
@@ -58,9 +73,10 @@ def in_named_zone(points: DataFrame, zones: DataFrame, zone: int, keys: list[str
 
 
 def zone_centroids(zones: DataFrame) -> DataFrame:
-    """Mean of the corners of each zone's ring of most corners, the first of equal ones."""
+    """Mean of the corners of each zone's border of most corners, the first of equal ones."""
+    bordered = zones.withColumn("ring", F.col("rings")[0])
     order = Window.partitionBy("zone_id").orderBy(F.desc(F.size("ring")), "ring_id")
-    largest = zones.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
+    largest = bordered.withColumn("_rank", F.row_number().over(order)).where("_rank = 1")
     mean = lambda c: F.aggregate(F.transform("ring", lambda p: p[c]), F.lit(0.0), lambda a, x: a + x) / F.size("ring")
     return largest.select("zone_id", mean("lon").alias("c_lon"), mean("lat").alias("c_lat"))
 

@@ -86,31 +86,46 @@ def classification_accuracy(df: DataFrame, truth: str, predicted: str) -> DataFr
     return df.agg(F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"), F.avg((F.col(truth) == 1).cast("int")).alias("positive_share"))
 
 
-def weighted_sample(df: DataFrame, weight: str, n: int = 50_000, seed: int = 7, cells: int = 1024) -> DataFrame:
-    """``n`` rows drawn with replacement by weight: draws meet the intervals of the running weight by cell.
+def _mark(seed: int | str, *key: Column) -> Column:
+    """The MD5 of a seed and key columns as text, which other engines give too."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in key)))
 
-    The running weight is taken within ranges and then shifted by the ranges' sums, so no window has one partition.
+
+def uniform(seed: int, *key: Column) -> Column:
+    """A draw from [0, 1) with 52 bits that hangs on the seed and the key alone, on no partition or order."""
+    return F.conv(F.substring(_mark(seed, *key), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def weighted_sample(df: DataFrame, weight: str, n: int = 50_000, seed: int = 7, cells: int = 1024, key: list[str] | None = None, digits: int = 3) -> DataFrame:
+    """``n`` rows drawn with replacement by weight: draw k is ``uniform(seed, k)`` of the running weight in the order of the keys' hashes.
+
+    Draws meet the intervals of the running weight by cell. It is taken within ranges of hashes, by their
+    first hexadecimal ``digits``, and shifted by the ranges' sums, so no window has one partition.
+    ``key`` columns name a row; all do by default.
     """
-    part = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(max(64, df.count() // 100_000))))  # some 100,000 rows a range
+    key = key or df.columns
+    marked = df.withColumn("_mark", _mark(seed, *map(F.col, key)))
+    part = marked.withColumn("_part", F.substring("_mark", 1, digits))
     sums = part.groupBy("_part").agg(F.sum(weight).alias("_w"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_w").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("_part", "_base")
     total = sums.agg(F.sum("_w").alias("_total"))
-    high = F.col("_base") + F.sum(weight).over(Window.partitionBy("_part").orderBy(*df.columns).rowsBetween(Window.unboundedPreceding, 0))
+    high = F.col("_base") + F.sum(weight).over(Window.partitionBy("_part").orderBy("_mark", *key).rowsBetween(Window.unboundedPreceding, 0))
     ranges = part.where(F.col(weight) > 0).join(base, "_part").withColumn("_high", high).withColumn("_low", F.col("_high") - F.col(weight)).crossJoin(F.broadcast(total))
     cell = lambda x: F.least(F.floor(x / F.col("_total") * cells), F.lit(cells - 1))
     spread = ranges.withColumn("_cell", F.explode(F.sequence(cell(F.col("_low")), cell(F.col("_high")))))
-    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select((F.rand(seed) * F.col("_total")).alias("_u"), "_total").select("_u", cell(F.col("_u")).alias("_cell"))
+    draws = df.sparkSession.range(n).crossJoin(F.broadcast(total)).select((uniform(seed, F.col("id")) * F.col("_total")).alias("_u"), "_total").select("_u", cell(F.col("_u")).alias("_cell"))
     return spread.drop("_total").join(draws, "_cell").where("_u >= _low and _u < _high").select(*df.columns)
 
 
-def sample_rows(df: DataFrame, fraction: float = 7 / 30, seed: int = 7) -> DataFrame:
-    return df.sample(fraction, seed)
+def sample_rows(df: DataFrame, fraction: float = 7 / 30, seed: int = 7, key: list[str] | None = None) -> DataFrame:
+    """The rows whose draw by their ``key`` columns (all by default) is below ``fraction``: the same ones in every run and engine."""
+    return df.where(uniform(seed, *map(F.col, key or df.columns)) < fraction)
 
 
-def perturb_income(df: DataFrame, mean: str, seed: int = 7) -> DataFrame:
-    """A draw from N(m, m / 4), clipped to m -+ m / 4 and cut to whole numbers; the same for a row in every run."""
-    u = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30)) + F.lit(2.0**-31)
-    v = F.pmod(F.xxhash64(*df.columns, F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def perturb_income(df: DataFrame, mean: str, seed: int = 7, key: list[str] | None = None) -> DataFrame:
+    """A draw from N(m, m / 4), clipped to m -+ m / 4 and cut to whole numbers; the same for a row's ``key`` columns in every run and engine."""
+    named = [F.col(c) for c in key or df.columns]
+    u, v = uniform(seed, *named) + F.lit(2.0**-53), uniform(seed + 1, *named)
     z = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
     m = F.col(mean)
     return df.withColumn("income_draw", F.greatest(F.least(m + z * m / 4, m * 1.25), m * 0.75).cast("int"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pingmill.functions.geo import GRID_ROWS, grid_id, haversine_km, neighbour_grids
+from pingmill.functions.geo import CELL, GRID_ROWS, grid_bounds, grid_id, grid_manhattan, haversine_km, neighbour_grids
 
 def by_user():
     return Window.partitionBy("user_id").orderBy("ts", "ping_id")
@@ -90,6 +90,21 @@ def combine_trips(monthly: DataFrame, month: str = "month") -> DataFrame:
     return monthly.withColumn("trip_id", F.dense_rank().over(Window.partitionBy("user_id").orderBy(month, "trip_id"))).drop(month)
 
 
+def number_trips(monthly: DataFrame, month: str = "month", users: int = 4096) -> DataFrame:
+    """One id space for all users over monthly trip ids: ``trip_no`` from 0 by month, user, then id.
+
+    Trips are ranked within a month and a range of ``users`` ids, and shifted by what ranges before hold: a
+    window without keys sees one row a range only.
+    """
+    trip = [month, "user_id", "trip_id"]
+    ranged = monthly.select(*trip).distinct().withColumn("_range", F.floor(F.col("user_id") / users))
+    sizes = ranged.groupBy(month, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(month, "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(month, "_range").orderBy("user_id", "trip_id")) - 1
+    numbered = ranged.withColumn("_rank", rank).join(sizes.select(month, "_range", before.alias("_before")), [month, "_range"])
+    return monthly.join(numbered.select(*trip, (F.col("_before") + F.col("_rank")).alias("trip_no")), trip)
+
+
 def trip_ends(points: DataFrame) -> DataFrame:
     at = F.struct("ts", "ping_id")
     return points.groupBy("user_id", "trip_id").agg(
@@ -263,3 +278,20 @@ def trips_top_od_grid(points: DataFrame, least: int = 13) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "o_grid", "d_grid"))
     top = counts.withColumn("_rank", rank).where((F.col("_rank") == 1) & (F.col("n") >= least))
     return keep(points, keep(cells, top, ["user_id", "o_grid", "d_grid"]), ["user_id", "trip_id"])
+
+
+def trips_frequent_od(points: DataFrame, least: int = 13, apart: int = 10) -> DataFrame:
+    """(user_id, trip_id, o_grid, d_grid) of the trips of all pairs of cells that are ``apart`` cells from each other and have ``least`` trips of a user."""
+    cells = od_grid_trips(points).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "o_grid", "d_grid")))
+    return cells.where((F.col("_n") >= least) & (grid_manhattan(F.col("o_grid"), F.col("d_grid")) >= apart)).select("user_id", "trip_id", "o_grid", "d_grid")
+
+
+def block_sequence(points: DataFrame, blocks: DataFrame, cell: float = CELL) -> DataFrame:
+    """Each trip's blocks in order, without repeats in a row: points look the block of their cell's borders up, and those without one go.
+
+    blocks: block_id, min_lon, max_lon, min_lat, max_lat. The result has the first point of each run.
+    """
+    bounds = grid_bounds(F.col("lon"), F.col("lat"), cell)
+    named = points.withColumns(bounds).join(blocks, list(bounds)).drop(*bounds)
+    order = Window.partitionBy("user_id", "trip_id").orderBy("ts", "ping_id")
+    return named.withColumn("_was", F.lag("block_id").over(order)).where("_was is null or _was <> block_id").drop("_was")

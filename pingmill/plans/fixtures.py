@@ -57,10 +57,16 @@ def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zones(spark: SparkSession) -> DataFrame:
     """Rectangles; each fifth is two triangles."""
-    base = spark.range(19 * 13).select((F.col("id") % 19).alias("ix"), F.floor(F.col("id") / 19).alias("iy"))
+    return _triangled(spark.range(19 * 13).select((F.col("id") % 19).alias("ix"), F.floor(F.col("id") / 19).alias("iy")))
+
+
+def _corner(x: float, y: float):
     west, south = F.lit(-97.95) + F.col("ix") * 0.1, F.lit(32.02) + F.col("iy") * 0.1
-    corner = lambda x, y: F.struct((west + 0.1 * x).alias("lon"), (south + 0.1 * y).alias("lat"))
-    sw, se, ne, nw = corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)
+    return F.struct((west + 0.1 * x).alias("lon"), (south + 0.1 * y).alias("lat"))
+
+
+def _triangled(base: DataFrame) -> DataFrame:
+    sw, se, ne, nw = _corner(0, 0), _corner(1, 0), _corner(1, 1), _corner(0, 1)
     split = (F.col("ix") + F.col("iy")) % 5 == 0
     rings = F.when(split, F.array(F.array(sw, se, ne), F.array(sw, ne, nw))).otherwise(F.array(F.array(sw, se, ne, nw)))
     out = base.select("ix", "iy", split.alias("split"), F.posexplode(rings).alias("part", "ring"))
@@ -68,6 +74,30 @@ def zones(spark: SparkSession) -> DataFrame:
     return with_boxes(out.select(zone.cast("long").alias("zone_id"), F.lit(0).alias("ring_id"), "ring"))
 
 
+def ping_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells (ix, iy) of the zones' size that hold a ping."""
+    return pings(spark, sf_dir).select(F.floor((F.col("lon") + 97.95) / 0.1).alias("ix"), F.floor((F.col("lat") - 32.02) / 0.1).alias("iy")).distinct()
+
+
+def table_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones in whose cells there are pings."""
+    return _triangled(ping_cells(spark, sf_dir))
+
+
+#: Sides of a hole and of the island in it, as shares of the cell.
+HOLE, ISLAND = (0.3, 0.7), (0.45, 0.55)
+
+
+def holed_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares around pings; every other has a hole, and every fourth an island in it that is a second polygon of the zone."""
+    square = lambda a, b: F.array(_corner(a, a), _corner(b, a), _corner(b, b), _corner(a, b))
+    kind = F.col("ix") + F.col("iy")
+    first = F.when(kind % 2 == 0, F.array(square(0, 1), square(*HOLE))).otherwise(F.array(square(0, 1)))
+    polygons = F.when(kind % 4 == 0, F.array(first, F.array(square(*ISLAND)))).otherwise(F.array(first))
+    rows = ping_cells(spark, sf_dir).select((F.col("ix") * 100 + F.col("iy")).cast("long").alias("zone_id"), F.posexplode(polygons).alias("ring_id", "rings"))
+    return with_boxes(rows)
+
+
 def od_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Estimated flows, survey flows, population by zone."""
     li, o, c, s = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "supplier"))

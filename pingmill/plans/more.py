@@ -199,24 +199,42 @@ RINGS = """cells AS (SELECT i % 19 AS ix, i // 19 AS iy FROM range(247) AS t(i))
     cen AS (SELECT zone_id, ix, iy, -9795e-2 + 1e-1 * (ix + list_avg(xs)) AS c_lon, 3202e-2 + 1e-1 * (iy + list_avg(ys)) AS c_lat FROM rings),
     zmap AS (SELECT zone_id AS small_zone, (ix // 3) * 100 + iy // 3 AS large_zone FROM cen WHERE ix < 18 AND iy < 12)"""
 
+#: The same for the zones in whose cells there are pings.
+TABLE_RINGS = f"{fx.D_PINGS}, " + RINGS.replace("SELECT i % 19 AS ix, i // 19 AS iy FROM range(247) AS t(i)", "SELECT DISTINCT CAST(floor((lon + 9795e-2) / 1e-1) AS BIGINT) AS ix, CAST(floor((lat - 3202e-2) / 1e-1) AS BIGINT) AS iy FROM pings")
 
-def _large(s):
+
+def _large(s, base=None):
     from pingmill.sources.tables import with_boxes
 
-    base = s.range(6 * 4).select((F.col("id") % 6).alias("ix"), F.floor(F.col("id") / 6).alias("iy"))
+    base = s.range(6 * 4).select((F.col("id") % 6).alias("ix"), F.floor(F.col("id") / 6).alias("iy")) if base is None else base
     west, south = F.lit(-97.95) + F.col("ix") * 0.3, F.lit(32.02) + F.col("iy") * 0.3
     corner = lambda x, y: F.struct((west + 0.3 * x).alias("lon"), (south + 0.3 * y).alias("lat"))
     return with_boxes(base.select((F.col("ix") * 100 + F.col("iy")).cast("long").alias("zone_id"), F.lit(0).alias("ring_id"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring")))
 
 
-@query(f"WITH {RINGS} SELECT zone_id, round(c_lon, 6) AS c_lon, round(c_lat, 6) AS c_lat FROM cen")
+@query(f"WITH {TABLE_RINGS} SELECT zone_id, round(c_lon, 6) AS c_lon, round(c_lat, 6) AS c_lat FROM cen")
 def zone_centroids(s, d):
-    return r6(spatial.zone_centroids(fx.zones(s)), "c_lon", "c_lat")
+    return r6(spatial.zone_centroids(fx.table_zones(s, d)), "c_lon", "c_lat")
 
 
-@query(f"WITH {RINGS} SELECT small_zone, large_zone FROM zmap")
+@query(f"WITH {TABLE_RINGS} SELECT small_zone, large_zone FROM zmap")
 def zone_map(s, d):
-    return spatial.zone_map(fx.zones(s), _large(s)).where("large_zone is not null")
+    large = fx.ping_cells(s, d).where("ix < 18 and iy < 12").select(F.floor(F.col("ix") / 3).alias("ix"), F.floor(F.col("iy") / 3).alias("iy")).distinct()
+    return spatial.zone_map(fx.table_zones(s, d), _large(s, large)).where("large_zone is not null")
+
+
+def _d_square(sides: tuple[float, float]) -> str:
+    low, high = (f"CAST({0.1 * x!r} AS DOUBLE)" for x in sides)
+    west, south = "(-9795e-2 + ix * 1e-1)", "(3202e-2 + iy * 1e-1)"
+    return f"(lon >= {west} + {low} AND lon < {west} + {high} AND lat >= {south} + {low} AND lat < {south} + {high})"
+
+
+@query(f"""WITH {fx.D_PINGS}, c AS (SELECT *, CAST(floor((lon + 9795e-2) / 1e-1) AS BIGINT) AS ix, CAST(floor((lat - 3202e-2) / 1e-1) AS BIGINT) AS iy FROM pings)
+    SELECT user_id, ping_id, CASE WHEN (ix + iy) % 2 = 0 AND {_d_square(fx.HOLE)} AND NOT ((ix + iy) % 4 = 0 AND {_d_square(fx.ISLAND)}) THEN -1 ELSE ix * 100 + iy END AS zone_id FROM c""")
+def holed_zones(s, d):
+    """Pings by zones with holes and islands in holes; -1 in a hole."""
+    found = spatial.assign_zones(fx.pings(s, d), fx.holed_zones(s, d), keys=["user_id", "ping_id"])
+    return found.select("user_id", "ping_id", F.coalesce("zone_id", F.lit(-1).cast("long")).alias("zone_id"))
 
 
 @query(f"""WITH {ZONED}, {RINGS} SELECT z.user_id, z.trip_id, o.large_zone AS o_large, e.large_zone AS d_large FROM zoned z JOIN zmap o ON o.small_zone = o_zone JOIN zmap e ON e.small_zone = d_zone""")
@@ -233,9 +251,9 @@ def survey_od_to_zip(s, d):
     return od.mapped_survey(od.survey_demand(rides), spatial.zone_map(fx.zones(s), _large(s)))
 
 
-@query(f"WITH {RINGS} SELECT a.zone_id AS o_zone, b.zone_id AS d_zone, round({fx.haversine('a.c_lat', 'a.c_lon', 'b.c_lat', 'b.c_lon')}, 5) AS km FROM cen a JOIN cen b ON a.zone_id <> b.zone_id")
+@query(f"WITH {TABLE_RINGS} SELECT a.zone_id AS o_zone, b.zone_id AS d_zone, round({fx.haversine('a.c_lat', 'a.c_lon', 'b.c_lat', 'b.c_lon')}, 5) AS km FROM cen a JOIN cen b ON a.zone_id <> b.zone_id")
 def zone_distances(s, d):
-    return spatial.zone_distances(spatial.zone_centroids(fx.zones(s))).withColumn("km", F.round("km", 5))
+    return spatial.zone_distances(spatial.zone_centroids(fx.table_zones(s, d))).withColumn("km", F.round("km", 5))
 
 
 @query(f"WITH {ZONED} SELECT user_id, trip_id, CASE WHEN o_zone = 305 THEN 1 ELSE 0 END AS inside FROM zoned")

@@ -1,14 +1,15 @@
-"""Registered queries on trip shapes: distances, routes, corridors of all users, and their SQL by brute force."""
+"""Registered queries on trip shapes (distances, routes, corridors of all users) with SQL by brute force, and variants of operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pingmill.operators import routes, spatial, trips
+from pingmill.functions import geo
+from pingmill.operators import behavior, places, routes, spatial, stats, trips
 from pingmill.plans import fixtures as fx
-from pingmill.plans.more import FINE, _clusters
-from pingmill.plans.registry import RESAMPLED, SAMPLES, ZONED, query, segmented
+from pingmill.plans.more import FINE, HOMES, VISITS
+from pingmill.plans.registry import LOW, MATCHED, ORACLES, RESAMPLED, SAMPLES, ZONED, _d_uniform, query, r6, r10, segmented
 
 
 def _distances(source: str, group: str) -> str:
@@ -128,3 +129,51 @@ def corridor_clusters(s, d):
     """Each corridor's trips merged down to three routes."""
     found = routes.corridor_clusters(_corridors(s, d), 3)
     return found.select(*routes.CORRIDOR, *routes.TRIP, F.col("label.user_id").alias("label_user"), F.col("label.trip_id").alias("label_trip"))
+
+
+# --- variants: other forms and the parameters that the operators have by default --------------------
+
+
+@query(f"WITH {MATCHED}, c AS (SELECT *, count(*) OVER (PARTITION BY user_id, dep_hour) AS n FROM w) SELECT trip_id, round((tt - ff * 2) / (ff * 2), 6) AS gap FROM c WHERE n >= 1")
+def relative_gap_unclipped(s, d):
+    """Against a free-flow time that is given, here twice the least, so gaps may be below 0."""
+    rows = behavior.relative_gap(fx.trip_routes(s, d), 1).select("user_id", F.col("free_flow").alias("least")).distinct()
+    given = fx.trip_routes(s, d).join(rows, "user_id").withColumn("free_flow", 2 * F.col("least"))
+    return r6(behavior.relative_gap(given, 1, clip=False).select("trip_id", "gap"), "gap")
+
+
+@query(f"""WITH {fx.D_PINGS}, m AS (SELECT user_id, ts // 2592000 AS month, ts // 86400 AS trip_id, ping_id FROM pings)
+    SELECT user_id, ping_id, dense_rank() OVER (ORDER BY month, user_id, trip_id) - 1 AS trip_no FROM m""")
+def number_trips(s, d):
+    monthly = fx.pings(s, d).select("user_id", "ping_id", F.floor(F.col("ts") / 2592000).alias("month"), F.floor(F.col("ts") / 86400).alias("trip_id"))
+    return trips.number_trips(monthly, users=64).select("user_id", "ping_id", "trip_no")
+
+
+@query(f"""WITH {fx.D_TRIPS}, c AS (SELECT *, {LOW.format(x='lon')} AS x, {LOW.format(x='lat')} AS y FROM trips), b AS (SELECT *, CAST(x * 100000 + y AS BIGINT) AS block_id FROM c WHERE CAST(x + y AS BIGINT) % 3 <> 0),
+    l AS (SELECT *, lag(block_id) OVER (PARTITION BY user_id, trip_id ORDER BY ts, ping_id) AS was FROM b) SELECT user_id, trip_id, ping_id, block_id FROM l WHERE was IS NULL OR was <> block_id""")
+def block_sequence(s, d):
+    """Blocks by their borders; a third of the blocks is not in the table."""
+    points = segmented(s, d)
+    x, y = (F.round(F.col(c) * 1000) for c in ("min_lon", "min_lat"))
+    borders = points.select(*(c.alias(n) for n, c in geo.grid_bounds(F.col("lon"), F.col("lat")).items())).distinct()
+    blocks = borders.where((x + y) % 3 != 0).withColumn("block_id", (x * 100000 + y).cast("long"))
+    return trips.block_sequence(points, blocks).select("user_id", "trip_id", "ping_id", "block_id")
+
+
+@query(f"WITH e AS (SELECT CAST(event_id AS BIGINT) AS event_id FROM events) SELECT event_id FROM e WHERE {_d_uniform(7, 'event_id')} < 7 / 30e0")
+def sample_rows(s, d):
+    return stats.sample_rows(fx.table(s, d, "events").select(F.col("event_id").cast("long").alias("event_id")))
+
+
+@query(f"WITH RECURSIVE {HOMES.replace('5e-3', '1e-3')} SELECT user_id, round(home_lon, 10) AS home_lon, round(home_lat, 10) AS home_lat, round(work_lon, 10) AS work_lon, round(work_lat, 10) AS work_lat FROM hw")
+def home_work_fine(s, d):
+    """At the default distance of 0.001 degrees."""
+    found = places.home_work(trips.trip_summary(segmented(s, d)).withColumn("idx", F.col("trip_id")))
+    return r10(found, "home_lon", "home_lat", "work_lon", "work_lat")
+
+
+@query(ORACLES["home_from_stays"].replace(VISITS, VISITS.replace("5e-3", "5e-4")))
+def home_from_stays_fine(s, d):
+    """At the default distance of 0.0005 degrees."""
+    found = places.home_from_stays(places.stay_points(fx.pings(s, d)))
+    return found.withColumns({c: F.round(c, 8) for c in ("c_lon", "c_lat")})

@@ -169,10 +169,7 @@ OD_CELLS = f"""{fx.D_ENDS}, c AS (SELECT user_id, trip_id, {GRID.format(lon='s_l
 @query(f"""WITH {OD_CELLS}, n AS (SELECT *, count(*) OVER (PARTITION BY user_id, o_grid, d_grid) AS n FROM c)
     SELECT user_id, trip_id, o_grid, d_grid FROM n WHERE n >= 2 AND abs(o_grid // 699 - d_grid // 699) + abs(o_grid % 699 - d_grid % 699) >= 10""")
 def frequent_od_trips(s, d):
-    from pyspark.sql import Window
-
-    cells = trips.od_grid_trips(segmented(s, d)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id", "o_grid", "d_grid")))
-    return cells.where((F.col("n") >= 2) & (geo.grid_manhattan(F.col("o_grid"), F.col("d_grid")) >= 10)).select("user_id", "trip_id", "o_grid", "d_grid")
+    return trips.trips_frequent_od(segmented(s, d), 2)
 
 
 @query(f"""WITH {OD_CELLS}, g AS (SELECT user_id, o_grid, d_grid, count(*) AS n FROM c GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, o_grid, d_grid) AS k FROM g)
@@ -552,14 +549,21 @@ def smooth_traces(s, d):
     return r6(routes.smooth_traces(segmented(s, d).withColumn("k", F.row_number().over(order)), eps=0.001), "lon", "lat")
 
 
-@query()
+def _d_uniform(seed: int, key: str) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+@query(f"""WITH {fx.D_PROFILE}, w AS (SELECT user_id, income, sum(income) OVER (ORDER BY md5('7:' || CAST(user_id AS VARCHAR)), user_id ROWS UNBOUNDED PRECEDING) AS high FROM profile),
+    draws AS (SELECT {_d_uniform(7, 'k')} * (SELECT sum(income) FROM profile) AS u FROM range(50000) AS t(k)), hit AS (SELECT u, min(high) AS high FROM (SELECT u, high FROM draws ASOF JOIN (SELECT high FROM w WHERE income > 0) w ON u < high) GROUP BY u)
+    SELECT user_id, income FROM draws JOIN hit USING (u) JOIN w USING (high) WHERE income > 0""")
 def weighted_sample(s, d):
-    return stats.weighted_sample(fx.profile(s, d).select("user_id", "income"), "income")
+    return stats.weighted_sample(fx.profile(s, d).select("user_id", "income"), "income", key=["user_id"])
 
 
-@query()
+@query(f"""WITH {fx.D_PROFILE}, z AS (SELECT user_id, income AS m, sqrt(-2 * ln({_d_uniform(7, 'user_id')} + 2e0 ** -53)) * cos(2 * 3.141592653589793e0 * {_d_uniform(8, 'user_id')}) AS z FROM profile)
+    SELECT user_id, m AS income, CAST(trunc(greatest(least(m + z * m / 4, m * 125e-2), m * 75e-2)) AS INT) AS income_draw FROM z""")
 def perturb_income(s, d):
-    return stats.perturb_income(fx.profile(s, d).select("user_id", "income"), "income")
+    return stats.perturb_income(fx.profile(s, d).select("user_id", "income"), "income", key=["user_id"])
 
 
 STEPS_OFF = "greatest(abs((({d}) + 699349) % 699 - 349), abs((({d}) - ((({d}) + 699349) % 699 - 349)) // 699))"
