@@ -126,8 +126,8 @@ def corridor_summary(s, d):
 
 @query()
 def corridor_clusters(s, d):
-    """Each corridor's trips merged down to three routes."""
-    found = routes.corridor_clusters(_corridors(s, d), 3)
+    """Each corridor's trips merged down to three routes, as far as trips within 0.004 of each other lead."""
+    found = routes.corridor_clusters(_corridors(s, d), 3, 0.004)
     return found.select(*routes.CORRIDOR, *routes.TRIP, F.col("label.user_id").alias("label_user"), F.col("label.trip_id").alias("label_trip"))
 
 
