@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pingmill.functions.storage import materialise
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<svg\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?<=/)>|<(svg)\b.*?</svg\s*>|<(script|style|noscript|template|textarea|select|iframe)\b.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 BLOCKS = frozenset(
@@ -92,23 +92,26 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
     articles = elements = 0
     block = ""  # that text stands in
     heads: set[int] = set()  # elements marked by name that hold the main heading of their article
+    boxed: set[int] = set()  # articles inside what has a name of boilerplate, such as comments and teasers
+    titled: set[int] = set()  # articles that hold a main heading
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
         buffer.clear()
         if text:
             _, article, mark, element = stack[-1] if stack else ("", 0, CLEAR, 0)
-            if article and element and any(x[0] == "h1" for x in stack):
+            if article and any(x[0] == "h1" for x in stack):
+                titled.add(article)
                 heads.add(element)
             out.append((text, article, mark, any(x[0] in HEADINGS for x in stack), element, block in PROSE))
 
     for m in TOKEN.finditer(page):
-        name = m[3]
+        name = m[4]
         if name is None:
             token = m[0]
             if token[0] != "<" or token == "<":
                 buffer.append(html.unescape(token))
-            elif m[1]:
+            elif m[1] or m[2] or token[1] in "sS":
                 buffer.append(" ")
             continue
         name = name.lower()
@@ -116,18 +119,18 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
             buffer.append(" ")
         if name in BLOCKS:
             flush()
-            block = "" if m[2] else name
-        if name in VOID or name in LOOSE and not m[4]:
+            block = "" if m[3] else name
+        if name in VOID or name in LOOSE and not m[5]:
             continue
-        if m[2]:
+        if m[3]:
             if name not in LOOSE or any(x[0] == name for x in stack):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
                         break
             continue
-        if name in LOOSE or name not in BLOCKS and not m[4]:
-            if not _mark(name, m[4] or "", bool(stack) and stack[-1][1] > 0):
+        if name in LOOSE or name not in BLOCKS and not m[5]:
+            if not _mark(name, m[5] or "", bool(stack) and stack[-1][1] > 0):
                 continue
             if name in LOOSE:  # a marked paragraph or item: it ends with its own end tag or its parent's
                 while stack and stack[-1][0] == name:
@@ -135,20 +138,25 @@ def lines(page: str) -> list[tuple[str, bool, bool, bool, bool]]:
         if name == "body":
             stack = [x for x in stack if x[0] != "head"]
         _, inside, mark, element = stack[-1] if stack else ("", 0, CLEAR, 0)
-        if m[4].rstrip().endswith("/") and name not in BLOCKS:
+        if m[5].rstrip().endswith("/") and name not in BLOCKS:
             continue
         if name in ARTICLE and not inside:
             articles += 1
             inside = articles
-            if mark < SURE:  # names of what is around an article say nothing of the article
+            if mark == NAMED:
+                boxed.add(inside)
+            if mark < SURE:  # names of what is around the article say nothing of it; ``_judged`` looks at other articles
                 mark, element = CLEAR, 0
-        own = _mark(name, m[4] or "", inside > 0)
+        own = _mark(name, m[5] or "", inside > 0)
         if own == NAMED and mark < NAMED:
             elements += 1
             element = elements
         stack.append((name, inside, max(mark, own), element))
     flush()
-    return _judged(out, heads)
+    if len({x[1] for x in out if x[1]}) > 1:  # a page's only article is the article, whatever is around it
+        boxed -= titled
+        out = [(text, 0, max(mark, NAMED), heading, -1, prose) if article in boxed else (text, article, mark, heading, element, prose) for text, article, mark, heading, element, prose in out]
+    return _judged(out, heads - {0})
 
 
 def _judged(found: list[tuple[str, int, int, bool, int, bool]], heads: set[int]) -> list[tuple[str, bool, bool, bool, bool]]:
@@ -163,6 +171,10 @@ def _judged(found: list[tuple[str, int, int, bool, int, bool]], heads: set[int])
     ]
 
 
+#: Pairs of equal lines up to which they are followed one by one; more are counted by bits.
+PAIRS = 20_000
+
+
 def common_lines(a: list[int], b: list[int]) -> list[bool]:
     """Which of ``a`` are in a longest common subsequence with ``b``."""
     out, low, high = [False] * len(a), 0, 0
@@ -175,6 +187,9 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     where = defaultdict(list)
     for j in range(low, len(b) - high):
         where[b[j]].append(j)
+    if sum(len(where.get(x, ())) for x in a[low : len(a) - high]) > PAIRS:
+        _halved(a, b, low, len(a) - high, low, len(b) - high, out)
+        return out
     tails: list[int] = []  # the least end in b of a subsequence of each length
     last: list[tuple] = []  # its (line of a, the one before)
     for i in range(low, len(a) - high):
@@ -192,6 +207,37 @@ def common_lines(a: list[int], b: list[int]) -> list[bool]:
     return out
 
 
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of a longest common subsequence of ``a`` and each beginning of ``b``: a bit a line of b, all worked on at once."""
+    where: dict[int, int] = defaultdict(int)
+    for j, x in enumerate(b):
+        where[x] |= 1 << j
+    every = (1 << len(b)) - 1
+    bits = every
+    for x in a:
+        if own := where.get(x, 0):
+            met = bits & own
+            bits = (bits + met | bits - met) & every
+    grown = np.unpackbits(np.frombuffer((~bits & every).to_bytes(-(-len(b) // 8) or 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(grown, dtype=np.int64))
+
+
+def _halved(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, out: list[bool]) -> None:
+    """Marks a[a0:a1] by halves: b is parted where both halves of a have most in common with its parts. Memory stays in proportion to the lines."""
+    stack = [(a0, a1, b0, b1)]
+    while stack:
+        a0, a1, b0, b1 = stack.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            out[a0] = a[a0] in b[b0:b1]
+            continue
+        middle = (a0 + a1) // 2
+        before, after = _lengths(a[a0:middle], b[b0:b1]), _lengths(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]
+        cut = b0 + int((before + after).argmax())
+        stack += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+
+
 def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -231,39 +277,46 @@ def neighbours(light: DataFrame) -> DataFrame:
     return placed.join(first, "part").withColumn("place", F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "first", "at", "path")
 
 
-def unshared(own: list[int], flags: list[bool], doubts: list[bool], prose: list[bool], article: bool, others: list[list[int]]) -> list[bool]:
-    """Which lines of a page stay, given the lines of its neighbours."""
+def unshared(own: list[int], flags: list[bool], doubts: list[bool], prose: list[bool], article: bool, others: list[list[int]]) -> tuple[list[bool], int]:
+    """Which lines of a page stay, given the lines of its neighbours, and how many went because a neighbour has them.
+
+    Shared lines go but for those that the page's article protects: clear prose, and what is shared when a
+    neighbour holds a copy of the article. Of what no neighbour has, lines that markup calls boilerplate go.
+    """
     masks = [np.array(common_lines(own, other), bool) for other in others]
     if not masks or not own:
-        return flags
-    keep, doubtful = np.array(flags, bool), np.array(doubts, bool)
-    gone = doubtful & np.any(masks, axis=0)
+        return flags, 0
+    keep, doubtful, shared = np.array(flags, bool), np.array(doubts, bool), np.any(masks, axis=0)
+    protected = keep & ~doubtful
     if article and len(masks) > 1 and all(2 * (m & keep).sum() < keep.sum() for m in masks):
         site = keep & ~np.array(prose, bool) & np.all(masks, axis=0)
         site[np.argmax(keep)] = False
-        gone |= site
-    return (keep & ~gone).tolist()
+        protected &= ~site
+    gone = shared & ~protected
+    return (~gone & keep).tolist(), int(gone.sum())
 
 
 def shared_lines(placed: DataFrame) -> DataFrame:
-    """(row, keep): which lines of a page stay beside the pages before and after it on its host."""
+    """(row, keep, n_shared): which lines of a page stay beside the pages before and after it on its host, and how many went as shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
             out = [unshared(*own, [o for o in others if o]) for *own, before, after in rows for others in [(before, after)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.bool_()))], names=["row", "keep"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in out], pa.list_(pa.bool_())), pa.array([n for _, n in out], pa.int64())], names=["row", "keep", "n_shared"])
 
     def beside(step: int, name: str) -> DataFrame:
         return placed.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
 
     pairs = placed.join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
     same = [F.when(F.col("host").eqNullSafe(F.col(f"{n}_host")), F.col(n)).alias(n) for n in ("before", "after")]
-    return pairs.select("row", "hashes", "flags", "doubts", "prose", "article", *same).mapInArrow(run, "row long, keep array<boolean>")
+    return pairs.select("row", "hashes", "flags", "doubts", "prose", "article", *same).mapInArrow(run, "row long, keep array<boolean>, n_shared long")
 
 
 def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars; ``separator`` stands between the blocks of a text.
+    """One row per page: page_id, url, text, n_chars, n_shared; ``separator`` stands between the blocks of a text.
+
+    n_shared: lines that went because a neighbouring page has them.
 
     A null html counts as empty, and its text is empty. Pages whose url is null or has no host are
     neighbours of each other. Repeated rows each give a row. An empty table gives no rows; other
@@ -278,4 +331,4 @@ def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
     )
     text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), separator)
     kept = rows.select("row", "page_id", "url", "texts").join(shared_lines(neighbours(light)), "row")
-    return kept.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return kept.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_shared")
