@@ -70,6 +70,10 @@ def signature(items: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def _set_id(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, set_id (digest of the shingle set, null for no words), signature."""
 
@@ -77,7 +81,7 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1)):
                 sets = shingle_sets(data, offsets, size)
-                ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                ids = [_set_id(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(ids, pa.binary()), pa.array([signature(s).tobytes() for s in sets], pa.binary())],
                     names=["doc_id", "set_id", "signature"],
@@ -258,23 +262,24 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame:
 
 
 def exact_links(members: DataFrame, docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """rep, root, links of each block of each loose class; members: rep, label, copies."""
+    """rep, root, links of each block of each loose class; members: rep, label, copies, set_id, keep_id (a document that has the set)."""
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     wanted = members.join(sizes, "label").where("n > 1")
-    ids = wanted.select(F.col("rep").alias("doc_id"))
+    ids = wanted.select(F.col("keep_id").alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array([s.tobytes() for s in shingle_sets(data, offsets, size)], pa.binary())], names=["rep", "items"]
-                )
+            for _, _, data, offsets in slices(batch.column(0)):
+                sets = shingle_sets(data, offsets, size)
+                yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "items"])
 
-    sets = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(ids, "doc_id", "left_semi").mapInArrow(run, "rep long, items binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).alias("d")
+    texts = own.join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(run, "set_id binary, items binary").where("set_id is not null")
     blocks = F.ceil(F.col("n") / block).cast("int")
     placed = (
-        wanted.join(sets.dropDuplicates(["rep"]), "rep")
+        wanted.join(sets.dropDuplicates(["set_id"]), "set_id")
         .withColumn("blocks", blocks)
         .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -302,24 +307,28 @@ def jaccard_classes(docs: DataFrame, recall: float = RECALL, size: int = SHINGLE
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is 0.8 or
     more; class_id is the least doc_id of the linked component, n_links the number of other rows linked
     directly. Words are split at white space; a text with fewer words has one shingle of all of them.
-    Texts without words, null ones too, link to nothing. Repeated rows link to each other like copies.
+    Texts without words, null ones too, link to nothing. Repeated rows link to each other like copies, and
+    rows of one doc_id with different texts link each by its own; a null doc_id is in no class_id but that of rows with null ids alone.
     An empty table gives no rows; other columns of ``docs`` are not read.
     """
     rows = materialise(signatures(docs, size), "signatures")
     full = rows.where("set_id is not null").select("doc_id", "set_id")
-    whole = materialise(groups(full, ["set_id"], "doc_id", F.min("doc_id")), "sets")
-    reps = whole.select("set_id", F.col("keep_id").alias("rep"), F.col("group_size").alias("copies"))
+    # sets are named by numbers of their own: rows of one doc_id may have several sets
+    whole = materialise(groups(full, ["set_id"], "doc_id", F.min("doc_id")).withColumn("rep", F.monotonically_increasing_id()), "sets")
+    reps = whole.select("set_id", "rep", "keep_id", F.col("group_size").alias("copies"))
     sets = materialise(
-        rows.where("set_id is not null").join(reps, "set_id").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "signature"), "reps"
+        rows.where("set_id is not null").join(reps, "set_id").where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["rep"]).select("rep", "signature"), "reps"
     )
     labels = connected_components(loose_links(sets, recall))
-    members = labels.withColumnRenamed("node", "rep").join(reps.select("rep", "copies"), "rep")
+    members = labels.withColumnRenamed("node", "rep").join(reps, "rep")
     found = materialise(exact_links(members, docs, size), "links")
-    classes = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst")))
+    classes = connected_components(found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep").join(reps.select("rep", "keep_id"), "rep")
+    least = groups(classes, ["label"], "keep_id", F.min("keep_id")).withColumnRenamed("keep_id", "class_id").drop("group_size")
+    named = dealt(classes, least, ["label"], "keep_id").select("rep", "class_id")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = (
-        whole.withColumnRenamed("keep_id", "rep").join(classes.select(F.col("node").alias("rep"), "label"), "rep", "left").join(links, "rep", "left")
-        .select("set_id", "_salts", F.coalesce("label", "rep").alias("class_id"), (F.col("group_size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        whole.join(named, "rep", "left").join(links, "rep", "left")
+        .select("set_id", "_salts", F.coalesce("class_id", "keep_id").alias("class_id"), (F.col("group_size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
     return dealt(full, known, ["set_id"], "doc_id").select("doc_id", "class_id", F.col("n_links").cast("long")).union(
         rows.where("set_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

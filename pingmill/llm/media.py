@@ -255,9 +255,11 @@ def clips(media: Column) -> Column:
 
 
 def clip_rows(media: DataFrame, column: str = "media") -> DataFrame:
-    """One row per clip of the AVI files in ``column``, beside the other columns."""
-    others = [F.col(c) for c in media.columns if c != column]
-    return media.select(*others, F.explode(clips(F.col(column))).alias("_clip")).select(*[c for c in media.columns if c != column], "_clip.*")
+    """One row per clip of the AVI files in ``column``, beside the other columns; a clip's column whose name one of them has is led by clip_."""
+    others = [c for c in media.columns if c != column]
+    found = media.select(F.struct(*others).alias("_row") if others else F.lit(None).alias("_row"), F.explode(clips(F.col(column))).alias("_clip"))
+    own = [F.col(f"_clip.{c}").alias(f"clip_{c}" if c in others else c) for c in found.select("_clip.*").columns]
+    return found.select(*(F.col(f"_row.`{c}`").alias(c) for c in others), *own)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -267,7 +269,8 @@ def media_digest(docs: DataFrame) -> DataFrame:
     """Stores each text as an AVI file in a binary column, reads the stored bytes back, and returns digests.
 
     feature: frames, shots, the first frames of the shots after the first, mean and deviation of the
-    payload's samples. Null and empty texts are 64 bytes 0. Equal texts give equal values.
+    payload's samples. Null and empty texts are 64 bytes 0. Equal texts give equal values. Repeated rows each
+    give a row; a null doc_id stays null; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
