@@ -242,7 +242,7 @@ def _hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(errors="surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-PARSED = "page_id long, url string, texts array<string>, article boolean, flags array<boolean>, doubts array<boolean>, prose array<boolean>, hashes array<long>"
+PARSED = "page_id long, url string, texts array<string>, article boolean, flags array<boolean>, doubts array<boolean>, prose array<boolean>, open boolean, hashes array<long>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
@@ -250,6 +250,7 @@ def parsed(pages: DataFrame) -> DataFrame:
 
     flags: in a page with an article, whether a line is in it and no boilerplate; else whether it is no boilerplate.
     doubts: in a page with an article, whether a line stands in doubtful markup; else all lines.
+    open: whether a neighbour can change what stays; else the page's text needs no other page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,10 +261,11 @@ def parsed(pages: DataFrame) -> DataFrame:
                 article = any(x[1] and not x[2] for x in found)
                 keep = [not x[2] and (x[1] or not article) for x in found]
                 doubts = [k and (x[3] or not article) for k, x in zip(keep, found, strict=True)]
-                out.append((page_id, url, [x[0] for x in found], article, keep, doubts, [x[4] for x in found], [_hash(x[0]) for x in found]))
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()))
-            names = ["page_id", "url", "texts", "article", "flags", "doubts", "prose", "hashes"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=names)
+                may_go = [d or not x[4] for k, d, x in zip(keep, doubts, found, strict=True) if k]
+                out.append((page_id, url, [x[0] for x in found], article, keep, doubts, [x[4] for x in found], any(doubts) or any(may_go[1:]), [_hash(x[0]) for x in found]))
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.bool_(), pa.list_(pa.int64()))
+            names = ["page_id", "url", "texts", "article", "flags", "doubts", "prose", "open", "hashes"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, kinds, strict=True)], names=names)
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, PARSED)
 
@@ -293,11 +295,11 @@ def unshared(own: list[int], flags: list[bool], doubts: list[bool], prose: list[
         site[np.argmax(keep)] = False
         protected &= ~site
     gone = shared & ~protected
-    return (~gone & keep).tolist(), int(gone.sum())
+    return (~gone & keep).tolist(), int((gone & keep).sum())
 
 
 def shared_lines(placed: DataFrame) -> DataFrame:
-    """(row, keep, n_shared): which lines of a page stay beside the pages before and after it on its host, and how many went as shared."""
+    """(row, keep, n_shared): which lines of an open page stay beside the pages before and after it on its host, and how many went as shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +310,7 @@ def shared_lines(placed: DataFrame) -> DataFrame:
     def beside(step: int, name: str) -> DataFrame:
         return placed.select((F.col("place") + step).alias("place"), F.col("host").alias(f"{name}_host"), F.col("hashes").alias(name))
 
-    pairs = placed.join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
+    pairs = placed.where("open").join(beside(1, "before"), "place", "left").join(beside(-1, "after"), "place", "left")
     same = [F.when(F.col("host").eqNullSafe(F.col(f"{n}_host")), F.col(n)).alias(n) for n in ("before", "after")]
     return pairs.select("row", "hashes", "flags", "doubts", "prose", "article", *same).mapInArrow(run, "row long, keep array<boolean>, n_shared long")
 
@@ -316,7 +318,8 @@ def shared_lines(placed: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
     """One row per page: page_id, url, text, n_chars, n_shared; ``separator`` stands between the blocks of a text.
 
-    n_shared: lines that went because a neighbouring page has them.
+    n_shared: lines that went because a neighbouring page has them, of those that markup leaves. Only pages
+    that a neighbour can change are joined with what their neighbours say.
 
     A null html counts as empty, and its text is empty. Pages whose url is null or has no host are
     neighbours of each other. Repeated rows each give a row. An empty table gives no rows; other
@@ -325,10 +328,12 @@ def main_text(pages: DataFrame, separator: str = "\n") -> DataFrame:
     rows = materialise(parsed(pages).withColumn("row", F.monotonically_increasing_id()), "parsed")
     url = F.coalesce("url", F.lit(""))
     light = rows.select(
-        "row", "hashes", "flags", "doubts", "prose", "article",
+        "row", "hashes", "flags", "doubts", "prose", "article", "open",
         F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1).alias("path"),
     )
+    columns = ["page_id", "url", "texts", "keep", "n_shared"]
+    decided = rows.where("not open").select("page_id", "url", "texts", F.col("flags").alias("keep"), F.lit(0).cast("long").alias("n_shared"))
+    compared = rows.where("open").select("row", "page_id", "url", "texts").join(shared_lines(neighbours(light)), "row").select(*columns)
     text = F.array_join(F.transform(F.filter(F.arrays_zip("texts", "keep"), lambda x: x["keep"]), lambda x: x["texts"]), separator)
-    kept = rows.select("row", "page_id", "url", "texts").join(shared_lines(neighbours(light)), "row")
-    return kept.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_shared")
+    return decided.union(compared).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "n_shared")
