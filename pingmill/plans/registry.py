@@ -467,7 +467,7 @@ def expand_od(s, d):
     return r6(od.expand_od(fx.od_tables(s, d)[0], _factors(s, d)), "flow_expanded")
 
 
-# --- clusters, places, stays, routes: SQL with recursion is in ``more``; routes have brute-force tests --
+# --- clusters, places, stays, routes: SQL with recursion is in ``more`` --
 
 
 @query()
