@@ -27,11 +27,11 @@ from pingmill.llm.chunk_bpe import Vocabulary, _lists, sure_breaks
 from pingmill.llm.words import commonest, slices
 
 #: Bytes of text of a batch; a longer text is a batch of its own.
-BATCH = 4 << 20
+BATCH = 2 << 20
 #: Pairs of ids whose counts are broadcast, 16 bytes each.
 PAIRS = 1_000_000
 #: Distinct units that a task remembers, and pairs that it counts before it hands them over.
-UNITS, HELD = 300_000, 2_000_000
+UNITS, HELD = 200_000, 2_000_000
 SPACE = 32
 TOKENS = "key long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, times binary, code long, n long"
 
