@@ -2,8 +2,9 @@
 
 Packing only needs to know how many pieces there are of each length, which is a histogram of at most
 ``capacity`` rows however large the corpus is. A best-fit packing is the first incumbent. Bins are
-completed around the largest length left: undominated fillings of the room beside it are enumerated and
-tried in turn, and branches are cut whose bins and bound exceed what the best packing so far has. Whole runs of equal bins
+completed around the largest length left: undominated fillings of the room beside it are enumerated, the
+fullest first, and tried in turn, and branches are cut that waste more than a better packing may. Where the
+search ends before it is through, wasteful bins are emptied and completed anew. Whole runs of equal bins
 are made at once, so the plan is a short list of patterns. Spark then gives each piece its rank among
 the pieces of its length, and the rank gives its sequence and offset.
 """
@@ -12,10 +13,10 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 import zlib
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Rows of one length and salt that one task ranks, about.
 RANKED_ROWS = 50_000
-#: Steps of the search with backtracking.
-WORK = 20_000
+#: Steps of the search with backtracking: lengths looked at and fillings begun.
+WORK = 2_000_000
+#: How often bins are emptied and completed anew, how many patterns of the most wasteful and of all at a time, and steps of each such search.
+ROUNDS, REOPENED, AGAIN = 3_000, 4, 500
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # how many bins, and (length, number in each bin) from the longest
 
 
@@ -99,7 +102,12 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
-    """Bins that any packing needs: the sum, and for each k the pieces over half the capacity with those of k to a half that do not fit beside them."""
+    """Bins that any packing needs.
+
+    The greatest of the sum; for each k the pieces over half the capacity with those of k to a half that do not
+    fit beside them; and sums of dual-feasible weights: a piece over a (k+1)-th weighs its whole (k+1)-ths by k,
+    with pieces below a threshold left out and those that fill all but less than it counted whole.
+    """
     counts = np.zeros(capacity + 2, np.int64)
     counts[list(histogram)] = list(histogram.values())
     lengths = np.arange(capacity + 2)
@@ -108,46 +116,101 @@ def lower_bound(histogram: dict[int, int], capacity: int) -> int:
     large, middle = n[-1] - n[capacity - k + 1], n[capacity - k + 1] - n[half + 1]
     room = middle * capacity - (total[capacity - k + 1] - total[half + 1])
     small = total[half + 1] - total[np.minimum(k, half + 1)]
-    return int(max((large + middle + np.maximum(0, -(-(small - room) // capacity))).max(), -(-total[-1] // capacity)))
-
-
-def _moves(counts: dict[int, int], capacity: int, work: list[int]) -> Iterator[Pattern]:
-    """All undominated bins around the longest piece left, each from as often as the pieces last down to once."""
-    lengths, own = sorted(counts, reverse=True), dict(counts)
-    first = lengths[0]
-    own[first] -= 1
-
-    def undominated() -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
-        stack: list[tuple[int, int, tuple[tuple[int, int], ...]]] = [(0, capacity - first, ())]
+    found = max((large + middle + np.maximum(0, -(-(small - room) // capacity))).max(), -(-total[-1] // capacity))
+    for parts in range(1, 13):
+        times = (parts + 1) * lengths
+        weight = np.where(times % capacity == 0, parts * lengths, times // capacity * capacity)  # of parts * capacity
+        before, after = np.append(0, np.cumsum(counts * weight)), parts * capacity
+        inner = before[capacity - k + 1] - before[np.minimum(k, capacity - k + 1)]
+        found = max(found, int((-(-(large * after + inner) // after)).max()))
+    return int(found)
+
+
+def _sums(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each place in ``lengths`` the sums up to ``room`` that the pieces from there on can make, as bits."""
+    mask, made = (2 << room) - 1, [1]
+    for x in reversed(lengths):
+        bits, left, take = made[-1], min(counts[x], room // x), 1
+        while left > 0:
+            take = min(take, left)
+            bits |= (bits << take * x) & mask
+            left, take = left - take, 2 * take
+        made.append(bits)
+    return made[::-1]
+
+
+def _fillings(counts: dict[int, int], room: int, most: int, work: list[int]) -> Iterator[tuple[int, tuple[tuple[int, int], ...]]]:
+    """All undominated fillings of ``room`` that leave at most ``most``, the fullest first: (left, (length, number)...).
+
+    A filling is dominated if a piece fits into what it leaves or can take the place of a shorter one in it.
+    """
+    lengths = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
+    sums = _sums(lengths, counts, room)
+    work[0] -= len(lengths)
+    for left in range(min(most, room) + 1):
+        stack = [(0, room - left, ())] if sums[0] >> (room - left) & 1 else []
         while stack and work[0] > 0:
             work[0] -= 1
-            at, left, items = stack.pop()
-            while at < len(lengths) and (lengths[at] > left or not own[lengths[at]]):
-                at += 1
-            if at < len(lengths) and left:
+            at, rest, items = stack.pop()
+            if rest:
+                while lengths[at] > rest:
+                    at += 1
                 x = lengths[at]
-                stack += [(at + 1, left - n * x, (*items, (x, n)) if n else items) for n in range(min(own[x], left // x) + 1)]
+                for n in range(min(counts[x], rest // x) + 1):
+                    if sums[at + 1] >> (rest - n * x) & 1:
+                        stack.append((at + 1, rest - n * x, (*items, (x, n)) if n else items))
                 continue
             used = dict(items)
-            spare = [x for x in lengths if own[x] > used.get(x, 0)] if left else []
+            spare = [x for x in lengths if counts[x] > used.get(x, 0)] if left else []
             if not any(x <= left or any(y < x <= y + left for y in used) for x in spare):
                 yield left, items
 
-    found = undominated()
-    for _, items in chain(sorted(islice(found, 8), key=lambda f: f[0]), found):
+
+def _moves(counts: dict[int, int], capacity: int, spare: int, work: list[int]) -> Iterator[Pattern]:
+    """All undominated bins around the longest piece left that waste at most ``spare`` together, each from as often as the pieces last down to once."""
+    first, own = max(counts), dict(counts)
+    own[first] -= 1
+    for left, items in _fillings(own, capacity - first, spare, work):
         bin_ = dict(items)
         bin_[first] = bin_.get(first, 0) + 1
         pattern = tuple(sorted(bin_.items(), reverse=True))
-        for times in range(min(counts[x] // n for x, n in pattern), 0, -1):
+        for times in range(min(*(counts[x] // n for x, n in pattern), spare // left if left else counts[first]), 0, -1):
             yield times, pattern
 
 
-def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], lower: int, work: int) -> list[Pattern]:
-    """Depth-first search with backtracking over (pattern, times); exact unless it ends after ``work`` steps."""
-    counts, bins, budget = dict(histogram), sum(times for times, _ in best), [work]
-    rest, used, plan = sum(x * n for x, n in counts.items()), 0, []
+def _dive(histogram: dict[int, int], capacity: int) -> list[Pattern]:
+    """Completes each bin around the longest piece left by the fullest filling, as often as the pieces last."""
+    counts, plan = dict(histogram), []
+    while counts:
+        times, pattern = next(_moves(counts, capacity, capacity * sum(counts.values()), [1 << 60]))
+        plan.append((times, pattern))
+        for x, n in pattern:
+            counts[x] -= times * n
+            if not counts[x]:
+                del counts[x]
+    return plan
+
+
+def _bins(plan: list[Pattern]) -> int:
+    return sum(times for times, _ in plan)
+
+
+def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], lower: int, work: int) -> tuple[list[Pattern], bool]:
+    """Depth-first search with backtracking over (pattern, times), and whether it went through all; it ends after ``work`` steps.
+
+    A branch is cut where its waste is more than a packing with a bin less than the best one may have.
+    """
+    counts, bins, budget = dict(histogram), _bins(best), [work]
+    total = rest = sum(x * n for x, n in counts.items())
+    used, plan = 0, []
     seen: dict[frozenset, int] = {}  # the fewest bins that led to what is left, for short histograms
-    stack = [_moves(counts, capacity, budget)]
+
+    def spare() -> int:
+        return (bins - 1 - used) * capacity - rest
+
+    if not counts or spare() < 0:
+        return best, True
+    stack = [_moves(counts, capacity, spare(), budget)]
     while stack and budget[0] > 0:
         budget[0] -= 1
         move = next(stack[-1], None)
@@ -168,34 +231,76 @@ def _search(histogram: dict[int, int], capacity: int, best: list[Pattern], lower
                     best, bins = list(plan), used
                     if bins <= lower:
                         break
-            elif used + max(-(-rest // capacity), sum(n for x, n in counts.items() if 2 * x > capacity)) < bins:
+            elif spare() >= 0 and used + sum(n for x, n in counts.items() if 2 * x > capacity) < bins:
                 key = frozenset(counts.items()) if len(counts) <= 64 else None
                 deeper = key is None or seen.get(key, bins) > used
                 if deeper and key is not None:
                     seen[key] = used
         if deeper:
-            stack.append(_moves(counts, capacity, budget))
+            stack.append(_moves(counts, capacity, spare(), budget))
         elif plan:
             times, pattern = plan.pop()
             used -= times
             for x, n in pattern:
                 rest += times * n * x
                 counts[x] = counts.get(x, 0) + times * n
-    return best
+    return best, budget[0] > 0
+
 
+def _pieces_of(plan: list[Pattern]) -> dict[int, int]:
+    counts: dict[int, int] = {}
+    for times, items in plan:
+        for x, n in items:
+            counts[x] = counts.get(x, 0) + times * n
+    return counts
+
+
+def _reopen(plan: list[Pattern], capacity: int, lower: int, rounds: int, work: int = AGAIN) -> list[Pattern]:
+    """Empties some patterns at a time, the most wasteful among them, and completes their bins anew.
+
+    What comes of it is kept if it has fewer bins, or as many and none of the waste is spread further, as the
+    sum of the squares of the fillings tells: waste that gathers in few bins makes one of them needless in
+    the end. The choice hangs on the round's number alone, so equal histograms give equal packings.
+    """
 
-def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, work: int = WORK) -> list[Pattern]:
+    def order(part: list[Pattern]) -> tuple[int, int]:
+        return _bins(part), -sum(times * sum(x * n for x, n in items) ** 2 for times, items in part)
+
+    bins, draws = _bins(plan), random.Random(0)
+    for _ in range(rounds):
+        if bins <= lower:
+            break
+        by_waste = sorted(range(len(plan)), key=lambda i: sum(x * n for x, n in plan[i][1]))
+        few = min(REOPENED, len(by_waste))
+        chosen = {*draws.sample(by_waste[: 4 * REOPENED], few), *draws.sample(by_waste, few)}
+        old = [plan[i] for i in sorted(chosen)]
+        counts = _pieces_of(old)
+        new = min(_dive(counts, capacity), old, key=order)
+        if (least := lower_bound(counts, capacity)) < _bins(new):
+            new, _ = _search(counts, capacity, new, least, work)
+        if order(new) <= order(old):
+            plan = [p for i, p in enumerate(plan) if i not in chosen] + new
+            bins = _bins(plan)
+    return plan
+
+
+def complete_bins(histogram: dict[int, int], capacity: int = CAPACITY, work: int = WORK, rounds: int = ROUNDS) -> list[Pattern]:
     """Patterns that hold every piece once, in as few bins as the search finds.
 
-    The incumbent is a best-fit packing. If it does not meet the lower bound, a search with backtracking
-    goes through all undominated fillings, depth first, for ``work`` steps at most; a branch is cut where
-    its bins and the bound of what is left come to no less than the incumbent. It is exact unless the
-    steps end; callers see the gap by ``lower_bound``.
+    The incumbent is the better of a best-fit packing and of one that completes each bin by its fullest filling.
+    If it does not meet the lower bound, a search with backtracking goes through all undominated fillings, depth
+    first, for ``work`` steps at most, and then ``rounds`` times bins are emptied and completed anew. The search is
+    exact unless its steps end; callers see the gap by ``lower_bound``.
     """
     if any(not 0 < x <= capacity for x in histogram):
         raise ValueError("a length must be from 1 to the capacity")
     lower, best = lower_bound(histogram, capacity), best_fit(histogram, capacity)
-    return best if sum(times for times, _ in best) <= lower else _search(histogram, capacity, best, lower, work)
+    if _bins(best) > lower:
+        best = min(best, _dive(histogram, capacity), key=_bins)
+    through = _bins(best) <= lower
+    if not through:
+        best, through = _search(histogram, capacity, best, lower, work)
+    return best if through else _reopen(best, capacity, lower, rounds)
 
 
 def places(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
