@@ -37,7 +37,7 @@ SHARD = 1 << 24
 #: Bytes that the multikey quicksort orders before the tries take over: the anchor.
 SHALLOW = 24
 LEFT, RIGHT = WINDOW - 1, MATCH
-#: Stands for a null doc_id.
+#: Stands for a null doc_id where ids are compared.
 LAST = (1 << 63) - 1
 ENTRY = np.dtype([("fp", "<u8"), ("digest", "<u8"), ("doc", "<i8")])
 CONTEXT = np.dtype([("fp", "<u8"), ("doc", "<i8"), ("left", "u1"), ("windows", "u1"), ("before", "u1", LEFT), ("after", "u1", RIGHT)])
@@ -289,7 +289,7 @@ def contexts(data: np.ndarray, found: Runs, doc_ids: np.ndarray, chosen: np.ndar
 
 # --- Spark ---------------------------------------------------------------------------------------
 
-SLICES = "slice long, doc_ids binary, offsets binary, text binary, size long"
+SLICES = "slice long, doc_ids binary, offsets binary, text binary, size long, unnamed binary"
 
 
 def sliced(docs: DataFrame) -> DataFrame:
@@ -299,11 +299,12 @@ def sliced(docs: DataFrame) -> DataFrame:
         task, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1), SLICE):
-                ids = batch.column(0)[a:b].fill_null(LAST).to_numpy(zero_copy_only=False)
+                part = batch.column(0)[a:b]
+                ids, unnamed = (x.to_numpy(zero_copy_only=False) for x in (part.fill_null(LAST), part.is_null()))
                 text = pa.compress(data.tobytes(), "zstd", asbytes=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([(task << 32) + k]), *(pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), offsets.tobytes(), text)), pa.array([len(data)])],
-                    names=["slice", "doc_ids", "offsets", "text", "size"],
+                    [pa.array([(task << 32) + k]), *(pa.array([x], pa.binary()) for x in (ids.astype(np.int64).tobytes(), offsets.tobytes(), text)), pa.array([len(data)]), pa.array([np.packbits(unnamed).tobytes()], pa.binary())],
+                    names=["slice", "doc_ids", "offsets", "text", "size", "unnamed"],
                 )
                 k += 1
 
@@ -372,8 +373,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Each byte goes that lies in a 50-byte string which also starts in a document of smaller doc_id, as
     the texts came. A null text counts as empty. Rows repeated under one id do not remove each other's
-    bytes. kept_text lacks characters that a cut broke. A null doc_id counts as greater than all others
-    and stays null. An empty table gives no rows; other columns of ``docs`` are not read.
+    bytes. kept_text lacks characters that a cut broke. A null doc_id is compared
+    as the greatest id, 2^63 - 1, and stays null. An empty table gives no rows; other columns of ``docs`` are not read.
     """
     table = materialise(sliced(docs), "slices")
     total = table.agg(F.sum("size").alias("n")).first()["n"] or 0
@@ -404,7 +405,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, *row, answers, masks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, *row, unnamed, answers, masks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids, offsets, data = _opened(*row)
                 found = runs(data, offsets)
                 s = sent(found, ids, shards)
@@ -420,19 +421,19 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                     np.add.at(edge, hit, 1)
                     np.add.at(edge, hit + MATCH, -1)
                 gone = np.cumsum(edge[:-1]) > 0
-                yield _result(ids, offsets, data, gone, with_text)
+                yield _result(ids, offsets, data, gone, unnamed, with_text)
 
     judged_by_slice = _gathered(judged, "answers")
     asked = table.join(judged_by_slice, "slice").select(*columns, "answers").mapInArrow(send_contexts, BLOBS)
     masks = materialise(_answered(asked, shards, CONTEXT, compare, True), "masks")
     out = (
-        table.join(judged_by_slice, "slice", "left").join(_gathered(masks, "masks"), "slice", "left").select(*columns, "answers", "masks")
+        table.join(judged_by_slice, "slice", "left").join(_gathered(masks, "masks"), "slice", "left").select(*columns, "unnamed", "answers", "masks")
         .mapInArrow(finish, RESULT)
     )
     return out if with_text else out.drop("kept_text")
 
 
-def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, gone: np.ndarray, with_text: bool) -> pa.RecordBatch:
+def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, gone: np.ndarray, unnamed: bytes, with_text: bool) -> pa.RecordBatch:
     begins = gone.copy()
     begins[1:] &= ~gone[:-1]
     edge = offsets[:-1][offsets[:-1] < len(data)]
@@ -443,7 +444,7 @@ def _result(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray, gone: np.nda
     texts = [kept[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(ids, mask=ids == LAST), pa.array(np.diff(offsets)), pa.array(np.diff(removed[offsets])), pa.array(np.diff(spans[offsets])),
+            pa.array(ids, mask=np.unpackbits(np.frombuffer(unnamed, np.uint8), count=len(ids)).astype(bool)), pa.array(np.diff(offsets)), pa.array(np.diff(removed[offsets])), pa.array(np.diff(spans[offsets])),
             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
             pa.array([t.decode(errors="ignore") if with_text else None for t in texts], pa.string()),
         ],

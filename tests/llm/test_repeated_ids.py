@@ -2,7 +2,7 @@
 
 import random
 
-from pingmill.llm import chosen_path, media
+from pingmill.llm import chosen_path, media, suffix_dedup
 
 FIELDS = "doc_id long, text string, rep long, set_id string"
 
@@ -36,3 +36,11 @@ def test_clips_beside_columns_of_their_names(spark):
     assert len(set(out.columns)) == len(out.columns) and {"doc_id", "score", "clip"} <= set(out.columns)
     row = out.first()
     assert (row.doc_id, row.score, row.clip) == (1, 0.5, 7) and out.count() >= 1
+
+
+def test_the_greatest_id_and_null_ids_are_told_apart(spark):
+    last = (1 << 63) - 1
+    rows = [(last, text(1)), (None, text(2)), (7, text(1)), (7, text(2)), (None, None), (last, ""), (-last - 1, text(3))]
+    out = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_bytes int")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in out), key=str) == sorted(
+        ((i, len(t or ""), len(t or "") if i in (last, None) else 0) for i, t in rows), key=str)
