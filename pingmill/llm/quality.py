@@ -160,11 +160,15 @@ def _read(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED):
-    """Fits on about ``labelled`` and ``unlabelled`` rows, drawn by hash of the id. None if a class has no labels."""
-    usable = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    """Fits on about ``labelled`` and ``unlabelled`` rows, drawn by hash of the id. None if a class has no labels.
+
+    Repeated labels count once; an id labelled both 0 and 1 teaches nothing.
+    """
+    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(*(f("quality").cast("int").alias(k) for f, k in ((F.min, "quality"), (F.max, "other"))))
+    usable = marks.where("quality = other").drop("other")
     n, n_docs = usable.count(), docs.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    chosen = usable.where(draw < min(1.0, labelled / max(n, 1)) * 1_000_000).dropDuplicates(["doc_id"])
+    chosen = usable.where(draw < min(1.0, labelled / max(n, 1)) * 1_000_000)
     free = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("free")), F.lit(1_000_000)) < min(1.0, unlabelled / max(n_docs, 1)) * 1_000_000)
     rows = _read(docs).join(F.broadcast(chosen), "doc_id").unionByName(_read(free).withColumn("quality", F.lit(-1)))
 
