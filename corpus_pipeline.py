@@ -1,6 +1,7 @@
 """A training-corpus pipeline: five stages, each an operator over all that the stage before kept.
 
-Stages take (spark, docs, sf_dir). All but the last return the columns of documents.
+Stages take (spark, docs, sf_dir). All but the last return the columns of documents. A null doc_id is an
+id like others, null texts count as empty, and columns other than those of documents are not read.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ from pingmill.llm.queries import table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id, null or not, is in ``ids``."""
+    return docs.alias("d").join(ids.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi").select(*COLUMNS)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects. Rows of one id stay if one of them does; a null id goes."""
-    kept = quality.score(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(kept.dropDuplicates(["doc_id"]), "doc_id", "left_semi").select(*COLUMNS)
+    """Drops documents that the quality classifier rejects. Rows of one id stay if one of them does."""
+    return _of(docs, quality.score(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct())
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,19 +34,22 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each near-duplicate class. Texts without words are in no class and stay."""
-    kept = chosen_path.jaccard_classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Keeps the document of least id of each near-duplicate class. Texts without words are in no class and stay.
+
+    Rows of one id stay if one of them does.
+    """
+    return _of(docs, chosen_path.jaccard_classes(docs).where("doc_id <=> class_id").select("doc_id"))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that an earlier document holds; n_chars follows the text. Texts of which nothing is left go.
 
-    Rows of one id take the language and source of one of them.
+    Rows of one id take the least language of theirs and the least source beside it.
     """
     cut = suffix_dedup.remove_repeats(docs, with_text=True).select("doc_id", F.col("kept_text").alias("text"))
     kept = cut.where(F.trim("text") != "").withColumn("n_chars", F.length("text").cast("long"))
-    return kept.join(docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"]), "doc_id").select(*COLUMNS)
+    beside = docs.groupBy("doc_id").agg(F.min(F.struct("lang", "source")).alias("own"))
+    return kept.alias("k").join(beside.alias("b"), F.expr("k.doc_id <=> b.doc_id")).select("k.doc_id", "text", "own.*", "n_chars").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +70,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each result is written and read again."""
+    """Applies the stages to the documents; each result is written and read again. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
