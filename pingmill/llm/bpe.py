@@ -132,7 +132,9 @@ def _fold(letters: Column, pairs: Column, table: Column) -> Column:
 
     def step(state: Column, _: Column) -> Column:
         least = F.array_min(F.split(state["merged"], ""))
-        return _let(least, lambda x: F.when(x == NONE, state).otherwise(_let(F.instr(state["merged"], x), lambda at: merge(state, x, at))))
+        done = F.struct(state["tokens"].alias("tokens"), F.lit("").alias("merged"))  # steps that are left look at nothing
+        search = _let(least, lambda x: F.when(x == NONE, done).otherwise(_let(F.instr(state["merged"], x), lambda at: merge(state, x, at))))
+        return F.when(state["merged"] == "", state).otherwise(search)
 
     bounded = F.concat(F.lit(EDGE), letters, F.lit(EDGE))
     folded = _let(bounded, lambda tokens: F.aggregate(F.sequence(one, F.greatest(one, F.length(tokens) - 3)), start(tokens), step, lambda s: s["tokens"]))
