@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pingmill.functions.storage import materialise
@@ -213,7 +213,20 @@ def loose_links(sets: DataFrame, recall: float = RECALL, bucket: int = BUCKET) -
         # else these share as many tokens as the depth: one class, whose pairs are compared below
         least = big.groupBy("path").agg(F.min("rep").alias("dst"))
         found = found.union(big.join(least, "path").where("rep <> dst").select(F.col("rep").alias("src"), "dst"))
-    return found.distinct()
+    return gathered(found)
+
+
+def gathered(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """The same components by fewer links; links: src, dst, dst < src.
+
+    A set of many alike ones is in a bucket of each run and linked to the least set of each. It keeps its link to the
+    least of these, and they are linked to that one themselves: links that many sets share become one.
+    """
+    links = links.distinct()
+    for _ in range(rounds):
+        led = links.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
+        links = led.select("src", F.col("least").alias("dst")).union(led.where("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct()
+    return links
 
 
 # --- exact comparison inside the loose classes ---------------------------------------------------
