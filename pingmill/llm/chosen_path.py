@@ -222,10 +222,11 @@ def gathered(links: DataFrame, rounds: int = 2) -> DataFrame:
     A set of many alike ones is in a bucket of each run and linked to the least set of each. It keeps its link to the
     least of these, and they are linked to that one themselves: links that many sets share become one.
     """
-    links = links.distinct()
+    links = materialise(links.distinct(), "loose")
     for _ in range(rounds):
         led = links.withColumn("least", F.min("dst").over(Window.partitionBy("src")))
-        links = led.select("src", F.col("least").alias("dst")).union(led.where("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst"))).distinct()
+        links = led.select("src", F.col("least").alias("dst")).union(led.where("dst <> least").select(F.col("dst").alias("src"), F.col("least").alias("dst")))
+        links = materialise(links.distinct(), "loose")
     return links
 
 
