@@ -88,13 +88,13 @@ def cluster_points(points: DataFrame, group: list[str], eps: float, min_pts: int
     a cell of any number of places takes work in proportion to it. Points without a place are left out.
     """
     side = eps / sqrt(2) * (1 - 1e-9)
-    celled = points.withColumn("_cx", F.floor(F.col(lon) / side)).withColumn("_cy", F.floor(F.col(lat) / side))
+    celled = materialise(points.withColumn("_cx", F.floor(F.col(lon) / side)).withColumn("_cy", F.floor(F.col(lat) / side)), "points")
     spots = materialise(celled.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).groupBy(*group, "_cx", "_cy", lon, lat).agg(F.min(order).alias("_id"), F.count(F.lit(1)).alias("_n")), "places")
     cells = materialise(spots.groupBy(*group, "_cx", "_cy").agg(F.min("_id").alias("_id"), F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_places"), *_box(lon, lat)), "cells")
     labels = connected_components(_cell_links(spots, cells, group, eps, side, lon, lat), group).withColumnRenamed("node", "_id")
     label = F.coalesce("label", F.when((F.col("_n") > 1) | F.lit(min_pts < 2), F.col("_id")))
     named = cells.join(labels, [*group, "_id"], "left").select(*group, "_cx", "_cy", label.alias("label"))
-    return celled.join(named, [*group, "_cx", "_cy"]).drop("_cx", "_cy")
+    return materialise(celled.join(named, [*group, "_cx", "_cy"]).drop("_cx", "_cy"), "labelled")
 
 
 def cluster_centroids(points: DataFrame, group: list[str], lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -131,19 +131,20 @@ def place_pools(trips: DataFrame, zone: str = "US/Central") -> DataFrame:
 
 def home_work(trips: DataFrame, eps: float = 0.001, min_pts: int = 2, share: float = 0.4) -> DataFrame:
     """user_id, home_lon, home_lat, work_lon, work_lat of every user with a trip; null where there is no main place."""
+    trips = materialise(trips.select("user_id", "idx", "dep_ts", "arr_ts", "s_lon", "s_lat", "t_lon", "t_lat"), "trips")
     places = main_place(place_pools(trips), ["user_id", "pool"], eps, min_pts, share)
     at = lambda pool, c: F.max(F.when(F.col("pool") == pool, F.col(c))).alias(f"{pool}_{c}")
     found = places.groupBy("user_id").agg(at("home", "lon"), at("home", "lat"), at("work", "lon"), at("work", "lat"))
     return trips.select("user_id").distinct().join(found, "user_id", "left")
 
 
-def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005) -> DataFrame:
+def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005, ends: DataFrame | None = None) -> DataFrame:
     """The ``k``-th most frequent directed pair of end clusters of each user, with centroids and trips.
 
     n_user_trips are all of the user's trips, n_trips those of the pair. Among pairs of equal counts the
-    one whose first trip is latest comes first. A user without a ``k``-th pair has no row.
+    one whose first trip is latest comes first. A user without a ``k``-th pair has no row. ``ends``: the points' ``trip_ends``, if known.
     """
-    ends = trip_ends(points)
+    ends = trip_ends(points) if ends is None else ends
     both = ends.select(
         "user_id", "trip_id", "dep_ts",
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s_lon").alias("lon"), F.col("s_lat").alias("lat")), F.struct(F.lit(1).alias("side"), F.col("t_lon").alias("lon"), F.col("t_lat").alias("lat")))).alias("e"),
@@ -162,11 +163,12 @@ def significant_places(points: DataFrame, k: int = 1, eps: float = 0.005) -> Dat
 
 def trips_of_od_rank(points: DataFrame, k: int = 1, least: int = 10, eps: float = 0.005) -> DataFrame:
     """Points of the trips of that pair if it has ``least`` trips, led to both centroids: ``pos`` -1, then 0 for points, then 1."""
-    places = significant_places(points, k, eps).where(F.col("n_trips") >= least)
-    chosen = places.select("user_id", F.explode("trips").alias("trip_id"), "o_lon", "o_lat", "d_lon", "d_lat")
+    known = materialise(trip_ends(points), "ends")
+    places = significant_places(points, k, eps, known).where(F.col("n_trips") >= least)
+    chosen = materialise(places.select("user_id", F.explode("trips").alias("trip_id"), "o_lon", "o_lat", "d_lon", "d_lat"), "chosen")
     columns = ["user_id", "trip_id", "ts", "lon", "lat", "ping_id"]
     own = keep(points, chosen, ["user_id", "trip_id"]).select(*columns, F.lit(0).alias("pos"))
-    ends = trip_ends(points).join(chosen, ["user_id", "trip_id"])
+    ends = known.join(chosen, ["user_id", "trip_id"])
     lead = ends.where(f"abs(s_lon - o_lon) > {SAME} or abs(s_lat - o_lat) > {SAME}").select("user_id", "trip_id", F.col("dep_ts").alias("ts"), F.col("o_lon").alias("lon"), F.col("o_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(-1).alias("pos"))
     tail = ends.where(f"abs(t_lon - d_lon) > {SAME} or abs(t_lat - d_lat) > {SAME}").select("user_id", "trip_id", F.col("arr_ts").alias("ts"), F.col("d_lon").alias("lon"), F.col("d_lat").alias("lat"), F.lit(-1).cast("long").alias("ping_id"), F.lit(1).alias("pos"))
     return own.unionByName(lead).unionByName(tail)
