@@ -65,3 +65,29 @@ def test_links_of_alike_sets_are_few(spark):
     few = gathered(links).cache()
     assert few.count() < 1.5 * 300 < links.distinct().count() / 2
     assert sorted(connected_components(few).collect()) == sorted(connected_components(links).collect())
+
+
+def test_pairs_in_blocks_are_all_pairs_once(spark, monkeypatch):
+    """Trips of several sizes, users of several blocks, against the distance of each pair by itself."""
+    import numpy as np
+
+    from pingmill.operators import routes
+
+    monkeypatch.setattr(routes, "BLOCK", 5)
+    rng = np.random.default_rng(3)
+    rows = [(u, t, k, float(x), float(y)) for u in (1, 2) for t in range(17 * u) for k, (x, y) in enumerate(rng.random((3 + t % 3, 2)))]
+    points = spark.createDataFrame(rows, "user_id long, trip_id long, k long, lon double, lat double")
+    found = {(r.user_id, r.trip_i, r.trip_j): r.dist for r in routes.route_distances(points).collect()}
+    shapes = {(r.user_id, r.trip): [np.array([x[c] for x in r.p]) for c in ("lon", "lat", "along", "position")] for r in routes._shaped(points, ["user_id"], ["trip_id"]).collect()}
+    wanted = {(u, i, j): routes._distance(shapes[u, i], shapes[u, j], 2.0, 0.88) for u in (1, 2) for i in range(17 * u) for j in range(i + 1, 17 * u)}
+    assert found == wanted and len(found) == routes.route_distances(points).count()
+    near = {(r.user_id, r.trip_i, r.trip_j): r.dist for r in routes.route_distances(points, within=0.1).collect()}
+    assert near == {k: v for k, v in wanted.items() if v <= 0.1} and 0 < len(near) < len(wanted)
+
+
+def test_a_pair_moves_no_trips(spark, many_orders):
+    """The shapes of both trips went through a join for each pair; now no join but that of the blocks' numbers is left."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["distance_matrix"](spark, many_orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and entry.queries()["similarity_aligned"](spark, many_orders)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
