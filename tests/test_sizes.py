@@ -91,3 +91,42 @@ def test_a_pair_moves_no_trips(spark, many_orders):
 
     plan = entry.queries()["distance_matrix"](spark, many_orders)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and entry.queries()["similarity_aligned"](spark, many_orders)._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_gaps_are_filled_from_cells_that_are_written_once(spark, many_orders):
+    """The plan held ten segmentations of all pings, and each gap was fifty rows."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["fill_grid_gaps"](spark, many_orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and plan.count("Join ") <= 2
+
+
+@pytest.mark.parametrize("w", [0, 1, 2])
+def test_gaps_across_strips_against_plain_loops(spark, w):
+    """Cells on all sides of a strip's border and of a column's end, negative numbers among them."""
+    from pingmill.operators import trips
+
+    draw = __import__("random").Random(w)
+    walk = lambda n: [draw.randrange(-20, 20) + 699 * draw.randrange(-2, 3) for _ in range(n)]
+    fine, coarse = {t: walk(12) for t in range(6)}, {10 + t: walk(5) for t in range(8)}
+    apart = lambda a, b: max(abs(r := (b - a + 349) % 699 - 349), abs((b - a - r) // 699))
+    table = lambda lines: spark.createDataFrame([(1, t, k, k, g) for t, line in lines.items() for k, g in enumerate(line)], "user_id long, trip_id long, ts long, ping_id long, grid int")
+    want = {}
+    for t, line in coarse.items():
+        out = line[:1]
+        for near, grid in zip(line[:-1], line[1:], strict=True):
+            part = [grid]
+            for cells in fine.values() if apart(near, grid) > w else ():
+                if max(cells) < min(near, grid) - 701 or min(cells) > max(near, grid) + 701:
+                    continue
+                at = lambda end, k: [n for n, c in enumerate(cells) if apart(end, c) <= k]  # noqa: B023, E731
+                span = next(((f(at(near, k)), f(at(grid, k))) for k, f in ((0, min), (1, max), (2, max)) if at(near, k) and at(grid, k)), None)
+                if span:
+                    part = cells[span[0] : span[1]]
+                    break
+            out += part
+        want[t] = out
+    got = {}
+    for r in trips.fill_grid_gaps(table(coarse), table(fine), w).orderBy("trip_id", "seq").collect():
+        got.setdefault(r.trip_id, []).append(r.grid)
+    assert got == want and got != coarse
