@@ -232,3 +232,45 @@ def test_whole_route_detection_against_plain_loops(spark):
             best = min(far, key=lambda h: (far[h], -h))
             want[u, t] = order.index(label[best]) if far[best] <= 1.5 else -1
     assert got == want and len(set(want.values())) > 4
+
+
+def wide_corridor(seed, trips, points=12):
+    """Trips side by side without a space between routes, some of them bent, some across the others or the other way."""
+    draw, lines = random.Random(seed), {}
+    for t in range(trips):
+        north, bend = draw.choice([draw.random() * 0.03, 0.05 + draw.random() * 0.004]), draw.choice([0, 0, 0, 0.012])
+        line = [(-97 + k * 0.006 + draw.gauss(0, 0.0006), 32 + north + bend * math.sin(k / 3) + draw.gauss(0, 0.0006)) for k in range(points)]
+        if t % 11 == 5:
+            line = [(-97 + draw.random() * 0.07, 32 + k * 0.005) for k in range(points)]
+        lines[(t % 4, t)] = line[::-1] if t % 7 == 3 else line
+    return lines
+
+
+@pytest.mark.parametrize("rounds, trips", [(0, 40), (3, 40), (3, 90)])
+def test_parts_without_pairs_are_those_of_all_pairs(spark, monkeypatch, rounds, trips):
+    monkeypatch.setattr(routes, "ROUNDS", rounds)
+    rows, want = [], {}
+    for zones, seed in (((1, 2), 21), ((2, 1), 22)):
+        lines = wide_corridor(seed + trips, trips)
+        rows += [(*zones, *t, k, *p) for t, line in lines.items() for k, p in enumerate(line)]
+        label = {t: t for t in lines}
+        pairs = [(i, j) for i in lines for j in lines if i < j and plain_distance(lines[i], lines[j]) <= 0.002]
+        assert len(pairs) > trips
+        for _ in lines:
+            for i, j in pairs:
+                label[i] = label[j] = min(label[i], label[j])
+        want |= {(zones, t): x for t, x in label.items()}
+    df = spark.createDataFrame(rows, "o_zone long, d_zone long, " + SHAPE)
+    got = {((r.o_zone, r.d_zone), tuple(r.trip)): tuple(r.part) for r in routes.near_parts(df, 0.002, routes.CORRIDOR, routes.TRIP).collect()}
+    assert got == want and 2 < len(set(want.values())) < trips
+
+
+def test_alike_trips_of_a_corridor_are_not_paired(spark, monkeypatch):
+    """Three routes of 60 trips: 5,310 pairs within the limit before."""
+    draw, formed, measured = random.Random(4), [], routes._measured
+    monkeypatch.setattr(routes, "_measured", lambda pairs, *a: formed.append(pairs.count()) or measured(pairs, *a))
+    line = lambda north: [(-97 + k * 0.006 + draw.gauss(0, 0.0003), 32 + north * math.sin(k / 11 * math.pi) + draw.gauss(0, 0.0003)) for k in range(12)]
+    rows = [(1, 2, u, 0, k, *p) for u in range(180) for k, p in enumerate(line((u % 3 - 1) * 0.04))]
+    found = routes.corridor_clusters(spark.createDataFrame(rows, "o_zone long, d_zone long, " + SHAPE), 3, 0.004)
+    assert {(r.user_id, tuple(r.label)) for r in found.collect()} == {(u, (u % 3, 0)) for u in range(180)}
+    assert 0 < sum(formed) < 4 * 180
