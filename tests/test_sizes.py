@@ -101,6 +101,16 @@ def test_gaps_are_filled_from_cells_that_are_written_once(spark, many_orders):
     assert "o_orderkey" not in plan and plan.count("Join ") <= 2
 
 
+@pytest.mark.parametrize("name", ["combine_trips", "number_trips"])
+def test_tasks_that_number_trips_hold_so_many_points(spark, many_orders, monkeypatch, name):
+    """2,700,000 points were dealt to the session's partitions at most, and to fewer as they compress well."""
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr("pingmill.operators.trips.TASK_ROWS", 100_000, raising=False)
+    sizes = [r["count"] for r in entry.queries()[name](spark, many_orders).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_700_000 and max(sizes) < 130_000
+
+
 @pytest.mark.parametrize("w", [0, 1, 2])
 def test_gaps_across_strips_against_plain_loops(spark, w):
     """Cells on all sides of a strip's border and of a column's end, negative numbers among them."""
