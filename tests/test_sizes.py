@@ -111,6 +111,15 @@ def test_tasks_that_number_trips_hold_so_many_points(spark, many_orders, monkeyp
     assert sum(sizes) == 2_700_000 and max(sizes) < 130_000
 
 
+@pytest.mark.parametrize(("rows", "tasks"), [(100_000, 8), (1000, 100), (100, 200), (10, 1000)])
+def test_tasks_grow_before_they_are_more_than_are_written_without_a_sort(spark, monkeypatch, rows, tasks):
+    """With 912 tasks those that read 730,000,000 points held 940 MB and spilled all of them."""
+    from pingmill.operators import trips
+
+    monkeypatch.setattr(trips, "TASK_ROWS", rows)
+    assert trips.task_count(spark.range(100_000)) == tasks
+
+
 @pytest.mark.parametrize("w", [0, 1, 2])
 def test_gaps_across_strips_against_plain_loops(spark, w):
     """Cells on all sides of a strip's border and of a column's end, negative numbers among them."""
