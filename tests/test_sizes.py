@@ -120,6 +120,46 @@ def test_tasks_grow_before_they_are_more_than_are_written_without_a_sort(spark,
     assert trips.task_count(spark.range(100_000)) == tasks
 
 
+def test_orders_are_dealt_by_user_and_no_pings_move(spark, many_orders):
+    """All pings went through a shuffle by user, 51 MB on sf0.1; now their orders do."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["smooth_traces"](spark, many_orders)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(o_custkey" in plan
+
+
+def test_dealt_pings_are_the_pings_in_tasks_of_so_many(spark, many_orders, monkeypatch):
+    monkeypatch.setattr(fx, "TASK_ROWS", 100_000, raising=False)
+    dealt = fx.pings(spark, many_orders, dealt=True)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_700_000 and max(sizes) < 130_000
+    assert dealt.exceptAll(fx.pings(spark, many_orders)).isEmpty()
+
+
+def test_alike_sizes_are_smoothed_at_once_as_one_by_one(spark):
+    """Chains within the distance, copies, lines of less than four points left, and lines too long to be reckoned with others."""
+    import numpy as np
+
+    from pingmill.operators import routes
+
+    rng = np.random.default_rng(5)
+    size = np.append(rng.integers(1, 18, 600), [64, 65, 200])
+    lines = [rng.normal(size=(1, 2)) + np.cumsum(rng.normal(scale=rng.choice([0, 2e-4, 8e-4, 4e-3]), size=(n, 2)), axis=0) for n in size]
+    for eps in (None, 0.001):
+        steps = [routes._collapsed(x, eps) if eps else x for x in lines]
+        want = [routes._spline(s, np.linspace(0, len(s) - 1, 30)) if len(s) >= 4 else x for s, x in zip(steps, lines, strict=True)]
+        got, n = routes.splines(30, eps)(np.concatenate(lines), size)
+        assert n.tolist() == [len(x) for x in want] and np.array_equal(got, np.concatenate(want)) and 3 < (n != 30).sum() < 600
+
+
+def test_rounding_of_many_rows_is_that_of_spark(spark):
+    from pingmill.plans import registry
+
+    rows = spark.range(200_000).selectExpr("(rand(3) - 0.5) * 200 as x").union(spark.range(20_000).selectExpr("(id - 10000) / 2000000 + 97 as x"))
+    rows = rows.union(spark.sql("select explode(array(null, double('nan'), double('inf'), -double('inf'), -0.0d, -1e-7d, 1e300d, 123456789.1234565d, 1e-320d)) as x"))
+    assert registry.many_r6(rows, "x").exceptAll(registry.r6(rows, "x")).isEmpty()
+
+
 @pytest.mark.parametrize("w", [0, 1, 2])
 def test_gaps_across_strips_against_plain_loops(spark, w):
     """Cells on all sides of a strip's border and of a column's end, negative numbers among them."""
