@@ -189,3 +189,72 @@ def test_gaps_across_strips_against_plain_loops(spark, w):
     for r in trips.fill_grid_gaps(table(coarse), table(fine), w).orderBy("trip_id", "seq").collect():
         got.setdefault(r.trip_id, []).append(r.grid)
     assert got == want and got != coarse
+
+
+def trip_rows(users=2, trips=40, seed=4):
+    """Trips of a few routes, and sparse ones, some of them near no route; a user's trips are in several blocks of 5."""
+    draw, rows = __import__("random").Random(seed), []
+    for u in range(users):
+        for t in range(trips * (u + 1)):
+            north, sparse, n = draw.choice([0, 0.004, 0.03]), draw.random() < 0.4, draw.randrange(18, 24)
+            xy = [(-97 + u + k * 0.004 + draw.gauss(0, 4e-4), 32 + north + draw.gauss(0, 4e-4) + (0.2 if sparse and t % 5 == 0 else 0)) for k in range(n)][:: 5 if sparse else 1]
+            rows += [(u, t, 100 * t + k, 60 * k, x, y) for k, (x, y) in enumerate(xy)]
+    return rows + [(9, 1, k, 60 * k, -97 + k / 10, 32.0) for k in range(5)]  # a user without a high-resolution trip
+
+
+@pytest.mark.parametrize("block", [5, 1000])
+def test_routes_of_users_of_many_blocks_against_all_pairs(spark, monkeypatch, block):
+    """Components of all pairs, and the nearest of all high-resolution trips, the last of equal ones."""
+    import numpy as np
+
+    from pingmill.operators import routes
+
+    monkeypatch.setattr(routes, "BLOCK", block)
+    points = spark.createDataFrame(trip_rows(), "user_id long, trip_id long, ping_id long, ts long, lon double, lat double").cache()
+    high = {tuple(r) for r in routes.high_res_trips(points).collect()}
+    low = {(r.user_id, r.trip_id) for r in points.select("user_id", "trip_id").distinct().collect() if r.user_id < 9} - high
+    shaped = routes.shapes(points, routes.high_res_trips(points), 30).cache()
+    labels = {t: t[1] for t in high} | {(r.user_id, r.trip_id): r.label for r in routes.cluster_pairs(routes.route_distances(shaped), 0.0006).collect()}
+    route = {t: sorted({v for (u, _), v in labels.items() if u == t[0]}).index(labels[t]) for t in high}
+    trace, raw = {}, {}
+    for df, out in ((shaped.orderBy("k"), trace), (points.orderBy("ts"), raw)):
+        for r in df.collect():
+            out.setdefault((r.user_id, r.trip_id), []).append((r.lon, r.lat))
+    for t in low:
+        km = {h: routes._farthest_km(*np.array(raw[t]).T, *np.array(trace[h]).T, 1.5) for h in high if h[0] == t[0]}
+        near = [(v, -h[1], h) for h, v in km.items() if v is not None]
+        route[t] = route[min(near)[2]] if near else -1
+    assert len(set(route.values())) > 3 and -1 in route.values() and len(high) < len(route)
+    found = lambda df: {(r.user_id, r.trip_id): r.route_id for r in df.collect()}
+    assert found(routes.detect_routes(points, 0.0006, 30)) == route
+    assert found(routes.main_routes(points, 0.0006, 30)) == {t: v for t, v in route.items() if t in high}
+    given = spark.createDataFrame([(*t, v) for t, v in route.items() if t in high], "user_id long, trip_id long, route_id int")
+    want = {t: v for t, v in route.items() if t in low}
+    assert found(routes.assign_low_res(points, given, shaped=shaped)) == want == found(routes.assign_low_res(points, eps=0.0006, trace=routes.splines(30, 0.001)))
+    all_ = routes.resample_linear(points, 10).cache()
+    pairs = {(r.user_id, r.trip_id): r.label for r in routes.cluster_pairs(routes.route_distances(all_), 0.0006).collect()}
+    for df in (routes.route_clusters(all_, 0.0006), routes.line_clusters(routes.trip_lines(points), 0.0006, routes.linear(10))):
+        assert {(r.user_id, r.trip_id): r.label for r in df.collect()} == pairs
+
+
+def test_points_without_a_place_do_not_count(spark):
+    from pingmill.operators import routes
+
+    line = [(-97 + k * 0.004, 32.0) for k in range(12)]
+    rows = [(1, t, 100 * t + k, 60 * k, *p) for t, xy in {1: line, 2: [*line[::5], (None, None)], 3: [(-97.0, 33.0), (None, None), (-96.9, 33.0)]}.items() for k, p in enumerate(xy)]
+    got = {r.trip_id: r.route_id for r in routes.detect_routes(spark.createDataFrame(rows, "user_id long, trip_id long, ping_id long, ts long, lon double, lat double")).collect()}
+    assert got == {1: 0, 2: 0, 3: -1}
+
+
+@pytest.mark.parametrize("name", ["assign_low_res", "main_routes", "route_clusters"])
+def test_routes_write_one_row_a_trip(spark, many_orders, tmp_path, monkeypatch, name):
+    """Pings were segmented up to six times, and traces and cells joined: 608 MB of shuffle on sf0.1. Now each trip is written as one short row."""
+    import __spark_entry__ as entry
+    from pingmill.operators import routes
+
+    written = []
+    monkeypatch.setattr(routes, "materialise", lambda df, name: written.append(df) or df)
+    entry.queries()[name](spark, many_orders)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Exchange hashpartitioning(o_custkey" in plan and "Join" not in plan
+    assert len(written) == 1 and not {"lon", "lat"} & set(written[0].columns)
