@@ -246,7 +246,7 @@ def test_points_without_a_place_do_not_count(spark):
     assert got == {1: 0, 2: 0, 3: -1}
 
 
-@pytest.mark.parametrize("name", ["assign_low_res", "main_routes", "route_clusters"])
+@pytest.mark.parametrize("name", ["assign_low_res", "detect_routes", "main_routes", "route_clusters"])
 def test_routes_write_one_row_a_trip(spark, many_orders, tmp_path, monkeypatch, name):
     """Pings were segmented up to six times, and traces and cells joined: 608 MB of shuffle on sf0.1. Now each trip is written as one short row."""
     import __spark_entry__ as entry
